@@ -6,5 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.operators import nested
+from textloom.workspace import table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+# 7: deeply nested semi-structured records
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.nodes(table(spark, d, "wikidata_dump")).select("line_no", "kind", "node_path")
+
+
+@query
+def p7_refsnaks_of_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Reference snaks with the claim that contains them, linked by intervals over two levels."""
+    labelled = nested.nodes(table(spark, d, "wikidata_dump"))
+    return nested.link(nested.kind_table(labelled, "claim"), nested.kind_table(labelled, "refsnak"), "claim").select(
+        "line_no", "claim_path", "node_path", "name", "value"
+    )
