@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import distinct, frequency, topn
-from textloom.workspace import new_dir, table
+from textloom.llm import distinct, frequency, mixing, packing, tokens, topn
+from textloom.workspace import materialise, new_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,3 +133,35 @@ marked AS (
 """
 SQL["p6_found"] = _COUNTS + "SELECT src_field, term, mark FROM marked WHERE mark IS NOT NULL"
 SQL["p6_counts"] = _COUNTS + "SELECT src_field, term, occurrences, records, mark FROM marked"
+
+# 8: filling fixed-capacity containers; 9: mixing sources
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens"))
+    return materialise(docs, "sizes")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    capacities = {r[0]: r[1] for r in table(spark, d, "containers").select("container_kind", "capacity_tokens").collect()}  # 4 rows, fixed
+    return packing.pack(_sizes(spark, d), capacities, "doc_id", "n_tokens")
+
+
+@query
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+@query
+def p8_filled(spark: SparkSession, d: str) -> DataFrame:
+    return packing.filled(_packed(spark, d), table(spark, d, "containers"))
+
+
+@query
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+@query
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(_sizes(spark, d), table(spark, d, "mix_targets"))
