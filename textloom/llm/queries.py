@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import distinct, frequency, mixing, packing, tokens, topn
+from textloom.llm import distinct, frequency, mixing, packing, sentences, tokens, topn
 from textloom.workspace import materialise, new_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,22 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+# 5: sentence boundaries
+
+
+def _long_texts(spark: SparkSession, d: str) -> DataFrame:
+    reports, rules = table(spark, d, "reach_reports"), table(spark, d, "regulation")
+    parts = [(reports, "content"), (reports, "abstract"), (rules, "enmainrequire")]
+    rows = [t.select(F.lit(c).alias("src_field"), "rec_id", F.col(c).alias("text")) for t, c in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(_long_texts(spark, d))
+
+
+@query
+def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(_long_texts(spark, d), with_text=True)
