@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import distinct, frequency, mixing, packing, sentences, tokens, topn
+from textloom.llm import distinct, frequency, mixing, packing, quality, sentences, tokens, topn
 from textloom.workspace import materialise, new_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(_long_texts(spark, d), with_text=True)
+
+# 10: text quality
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(table(spark, d, "documents")).filter("not_prose").select("doc_id")
+
+
+@query
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(table(spark, d, "documents"))

@@ -65,6 +65,7 @@ _CASELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 _MARKLESS = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _MARKLESS_GAP = regex.compile(r"(?<=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{M}][^\s\p{L}]{0,12})\s+(?=[^\s\p{Ll}])")
 _TOKEN = regex.compile(r"(?:[\p{L}\p{M}\p{N}№]+\.)*[\p{L}\p{M}\p{N}№]+$")
+_NUMBERED = regex.compile(r"(?m)^[ \t]*\d{1,3}\. ")
 _ALNUM = regex.compile(r"[\p{L}\p{N}]")
 _BRACKETS = frozenset("(（[【{")
 _GO_ON = frozenset(",;:、，；：،؛")
@@ -244,8 +245,16 @@ def _ends(text: str, beg: int, end: int, start: int, marks: str, at: int, stop:
             return False
         if not _ALNUM.match(text[at - 1 : at] or " ") and prev in ")]”»\"":
             return True
-        if at - start <= 4 and text[start:at].strip().isdigit() and not any(c.isspace() and c in "\n\r" for c in skipped):
-            return False  # the number of a list item
+        if prev.isdigit():
+            line = at
+            while line > beg and text[line - 1].isdigit():
+                line -= 1
+            while line > beg and text[line - 1] in " \t":
+                line -= 1
+            if line == beg or text[line - 1] in "\r\n":
+                numbers = _NUMBERED.findall(text, beg, end)
+                if len(numbers) > 1 or line == beg and at - line <= 4 and not any(c in "\r\n" for c in skipped):
+                    return False  # the number of a list item
         if prev.isdigit() and nxt.isupper():
             word = regex.match(r"\p{L}+", text[n : n + 20])
             if word and word.group() in ORDINAL_AFTER:
