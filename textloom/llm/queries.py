@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import distinct, frequency, mixing, packing, quality, sentences, tokens, topn
+from textloom.llm import distinct, encoding, frequency, mixing, packing, quality, sentences, tokens, topn
 from textloom.workspace import materialise, new_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,19 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality(table(spark, d, "documents"))
+
+# 4: garbled text from wrong character encoding
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "ygp_rows").select("row_uid", "lang", F.col("row_str").alias("text"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.restored(_cells(spark, d)).select("row_uid")
+
+
+@query
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.restored(_cells(spark, d)).select("row_uid", "chain", "restored")
