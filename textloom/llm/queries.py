@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import distinct, encoding, frequency, mixing, packing, quality, sentences, tokens, topn
+from textloom.llm import distinct, encoding, frequency, mixing, neighbours, packing, quality, sentences, tokens, topn
 from textloom.workspace import materialise, new_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,3 +212,30 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restored(_cells(spark, d)).select("row_uid", "chain", "restored")
+
+# 1: most similar vectors for every vector
+
+
+def _graph(spark: SparkSession, d: str) -> neighbours.Graph:
+    return neighbours.nn_descent(table(spark, d, "word_vectors"), "voca_idx", "wvec", dim=100, k=10)
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = neighbours.similar_pairs(_graph(spark, d), table(spark, d, "word_vectors"), "voca_idx", "wvec", k=10, least=0.80)
+    return pairs.select(F.col("a").alias("voca_idx_a"), F.col("b").alias("voca_idx_b"))
+
+
+@query
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    e = _graph(spark, d).edges()
+    return e.select(F.col("src").alias("voca_idx"), F.col("dst").alias("similar_voca_idx"), F.round(F.col("sim").cast("double"), 2).alias("cosine"))
+
+
+@query
+def p1_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose voca_idx is divisible by 20 as a query against all rows, by greedy search on the graph."""
+    g = _graph(spark, d)
+    asked = g.nodes.filter(F.col("id") % 20 == 0).select(F.col("id").alias("query"), "vec")
+    found = neighbours.greedy_search(g, asked, k=11).filter(F.col("query") != F.col("id"))
+    return found.select(F.col("query").alias("voca_idx"), F.col("id").alias("similar_voca_idx"), F.round(F.col("sim").cast("double"), 2).alias("cosine"))
