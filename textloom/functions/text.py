@@ -103,16 +103,21 @@ def bag_key(ws: Column) -> Column:
     return F.array_join(F.array_sort(ws), "\x00")
 
 
-@F.pandas_udf("long")
-def word_uid(s: pd.Series) -> pd.Series:
+def word_uid(s: Column) -> Column:
     """Non-negative 64-bit identifier of a string, for parity with stored identifiers; joins use the string itself."""
-    import xxhash
 
-    def one(x: str | None) -> int | None:
-        if x is None:
-            return None
-        h = xxhash.xxh64_intdigest(x.encode(), seed=UID_SEED)
-        h = h - (1 << 64) if h >> 63 else h
-        return -h if h < 0 else h
+    @F.pandas_udf("long")
+    def uid(xs: pd.Series) -> pd.Series:
+        return xs.map(string_uid).astype("Int64")
+
+    return uid(s)
+
+
+def string_uid(x: str | None) -> int | None:
+    import xxhash
 
-    return s.map(one).astype("Int64")
+    if x is None:
+        return None
+    h = xxhash.xxh64_intdigest(x.encode(), seed=UID_SEED)
+    h = h - (1 << 64) if h >> 63 else h
+    return -h if h < 0 else h

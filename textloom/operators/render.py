@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textloom.functions import text as X
 
-MATCH = T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("beg", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-
-
 def clip(matches: list[tuple[float, int, int]], begs: list[int], ends: list[int], max_len: int) -> tuple[int, int]:
     """(begin, end) characters of the clip of a sentence.
 
@@ -41,16 +37,16 @@ def clip(matches: list[tuple[float, int, int]], begs: list[int], ends: list[int]
     return b, e
 
 
-@F.udf("struct<beg:int,end:int>")
-def _clip(matches: list, begs: list, ends: list, max_len: int) -> tuple[int, int] | None:
-    if begs is None:
-        return None
-    return clip([(m["score"], m["beg"], m["end"]) for m in matches or []], begs, ends, max_len)
-
-
 def clip_offsets(matches: Column, begs: Column, ends: Column, max_len: int = 200) -> Column:
     """Clip of the few ranked results of a query; it folds over one sentence and runs on ranked rows alone."""
-    return _clip(matches, begs, ends, F.lit(max_len))
+
+    @F.udf("struct<beg:int,end:int>")
+    def fold(ms: list, bs: list, es: list) -> tuple[int, int] | None:
+        if bs is None:
+            return None
+        return clip([(m["score"], m["beg"], m["end"]) for m in ms or []], bs, es, max_len)
+
+    return fold(matches, begs, ends)
 
 
 def score_list(matches: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,32 +4,772 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from textloom.operators import nested
-from textloom.workspace import table
+from textloom.functions import text as X
+from textloom.functions import vectors as V
+from textloom.ml import models, parser, weighting
+from textloom.operators import depgraph, entities, importance, nested, ranking, render, search, similarity, tokens, vocabulary
+from textloom.sources import readers
+from textloom.streaming import flows
+from textloom.workspace import materialise, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
 
+    return add
 
+
+# ---------------------------------------------------------------------------------------------------------------------
+# shared pieces
+
+#: common table expressions: white-space words, plain sentences, tokens
+_WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
+_SENTS = (
+    r"list_filter(flatten(list_transform(string_split({}, chr(10)), lambda x: "
+    r"string_split(regexp_replace(x, '([.!?]) +', '\1' || chr(1), 'g'), chr(1)))), lambda y: regexp_matches(y, '\S'))"
+)
+_TOKENS = f"""
+sents AS (
+  SELECT doc_id AS chunk_idx, generate_subscripts(ss, 1) - 1 AS sent_idx, unnest(ss) AS sentence
+  FROM (SELECT doc_id, {_SENTS.format("text")} AS ss FROM documents WHERE text IS NOT NULL)),
+tokens AS (
+  SELECT chunk_idx, chunk_idx * 1000000 + sent_idx AS sent_uid, sent_idx, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS word, len(ws) AS n
+  FROM (SELECT chunk_idx, sent_idx, {_WORDS.format("sentence")} AS ws FROM sents))"""
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.sentence_table(_docs(spark, d))
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_table(_sentences(spark, d))
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# counts and dictionaries
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY word")
+def word_count(spark: SparkSession, d: str) -> DataFrame:
+    return vocabulary.word_counts(_docs(spark, d), "text")
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY word HAVING count(*) >= 5")
+def vocabulary_min5(spark: SparkSession, d: str) -> DataFrame:
+    return vocabulary.word_counts(_docs(spark, d), "text", 5)
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 100")
+def top_words(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.top_n(vocabulary.word_counts(_docs(spark, d), "text"), 100, "n", "word")
+
+
+@query(f"SELECT word, sum(n)::BIGINT AS n FROM (SELECT source, word, count(*) AS n FROM (SELECT source, unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY ALL) GROUP BY word")
+def merged_word_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    feeds = F.coalesce(F.col("source").startswith("rss."), F.lit(False))
+    return vocabulary.merge_counts(vocabulary.word_counts(docs.filter(feeds), "text"), vocabulary.word_counts(docs.filter(~feeds), "text"))
+
+
+@query(f"SELECT word, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY word")
+def document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return vocabulary.document_frequency(_docs(spark, d), "doc_id", X.words(F.col("text")))
+
+
+@query(f"""WITH c AS (SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY word)
+SELECT word, n, round(n / sum(n) OVER (), 12) AS p FROM c""")
+def unigram_share(spark: SparkSession, d: str) -> DataFrame:
+    return vocabulary.unigram(vocabulary.word_counts(_docs(spark, d), "text")).withColumn("p", F.round("p", 12))
+
+
+@query(f"""WITH c AS (SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY word),
+u AS (SELECT word, n, n / sum(n) OVER () AS p FROM c)
+SELECT word, n, round(least(1.0, (sqrt(p / 0.001) + 1) / (p / 0.001)), 9) AS keep, round(pow(n, 0.75), 6) AS noise FROM u""")
+def subsampling_weights(spark: SparkSession, d: str) -> DataFrame:
+    u = vocabulary.unigram(vocabulary.word_counts(_docs(spark, d), "text"))
+    keep = F.least(F.lit(1.0), vocabulary.subsample_keep(F.col("p"), 0.001))
+    return u.select("word", "n", F.round(keep, 9).alias("keep"), F.round(vocabulary.noise_weight(F.col("n")), 6).alias("noise"))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT lang, unnest({_WORDS.format('text')}) AS word FROM documents)
+SELECT word FROM w WHERE lang = 'en' INTERSECT SELECT word FROM w WHERE lang = 'de'""")
+def known_words(spark: SparkSession, d: str) -> DataFrame:
+    known, _ = _split_vocabulary(spark, d)
+    return known
+
+
+@query(f"""WITH w AS (SELECT DISTINCT lang, unnest({_WORDS.format('text')}) AS word FROM documents)
+SELECT word FROM w WHERE lang = 'de' EXCEPT SELECT word FROM w WHERE lang = 'en'""")
+def unseen_words(spark: SparkSession, d: str) -> DataFrame:
+    _, unseen = _split_vocabulary(spark, d)
+    return unseen
+
+
+def _split_vocabulary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = _docs(spark, d)
+    words = lambda lang: docs.filter(F.col("lang") == lang).select(F.explode(X.words(F.col("text"))).alias("word")).distinct()
+    return vocabulary.known_and_unseen(words("de"), words("en"))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT lang, unnest({_WORDS.format('text')}) AS word FROM documents),
+c AS (SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS word FROM documents WHERE lang = 'fr') GROUP BY word)
+SELECT word, n FROM c WHERE word NOT IN (SELECT word FROM w WHERE lang = 'en') ORDER BY n DESC, word""")
+def new_word_report(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    counts = vocabulary.word_counts(docs.filter("lang = 'fr'"), "text")
+    _, unseen = vocabulary.known_and_unseen(counts, vocabulary.word_counts(docs.filter("lang = 'en'"), "text"))
+    return unseen.orderBy(F.col("n").desc(), "word")
+
+
+@query(f"""WITH w AS (SELECT DISTINCT lang, unnest({_WORDS.format('text')}) AS word FROM documents WHERE lang IN ('en', 'de', 'fr', 'es'))
+SELECT word FROM w GROUP BY word HAVING count(DISTINCT lang) = 4""")
+def words_of_all_languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).filter(F.col("lang").isin("en", "de", "fr", "es"))
+    return vocabulary.intersect_all(docs.select("lang", F.explode(X.words(F.col("text"))).alias("word")), "word", "lang")
+
+
+@query("SELECT doc_id, coalesce(c.full_name, '-UNKNOWN-') AS full_name, row_idx FROM documents d LEFT JOIN column_catalog c USING (col_uid)")
+def column_of_document(spark: SparkSession, d: str) -> DataFrame:
+    # the catalog is a fixed table of 11 rows
+    return vocabulary.with_default(_docs(spark, d), F.broadcast(table(spark, d, "column_catalog")), "col_uid", "full_name", X.UNKNOWN).select("doc_id", "full_name", "row_idx")
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents)
+SELECT doc_id, len(ws) AS n_words FROM w WHERE len(ws) > 2 AND len(ws) < 20""")
+def short_documents(spark: SparkSession, d: str) -> DataFrame:
+    n = F.size(X.words(F.col("text")))
+    return _docs(spark, d).select("doc_id", n.cast("long").alias("n_words")).filter("n_words > 2 AND n_words < 20")
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS word FROM documents),
+v AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 5)
+SELECT DISTINCT doc_id FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM w WHERE word NOT IN (SELECT word FROM v))""")
+def all_words_known(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).filter("text IS NOT NULL")
+    known = vocabulary.word_counts(docs, "text", 5)
+    odd = docs.select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("word")).join(known, "word", "left_anti")
+    return docs.select("doc_id").join(odd, "doc_id", "left_anti").distinct()
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# sentences, tokens, windows
+
+
+@query(f"WITH {_TOKENS} SELECT chunk_idx, sent_idx, chunk_idx * 1000000 + sent_idx AS sent_uid, sentence FROM sents")
+def sentence_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d)
+
+
+@query(f"""WITH {_TOKENS}
+SELECT sent_uid, pos, word, CASE WHEN pos = n - 1 THEN -1 ELSE pos + 1 END AS head_pos, lead(word) OVER (PARTITION BY sent_uid ORDER BY pos) AS head_word FROM tokens""")
+def token_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens(spark, d).select("sent_uid", F.col("pos").cast("long").alias("pos"), "word", F.col("head_pos").cast("long").alias("head_pos"), "head_word")
+
+
+@query(f"WITH {_TOKENS} SELECT sent_uid, dense_rank() OVER (ORDER BY sent_uid) - 1 + 2147483648 AS sent_no FROM (SELECT DISTINCT sent_uid FROM tokens)")
+def dense_sentence_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.dense_sentence_uid(_tokens(spark, d), 1 << 31).select("sent_uid", "sent_no").distinct()
+
+
+@query(f"WITH {_TOKENS} SELECT chunk_idx, min(sent_uid) AS first_sent, max(sent_uid) + 1 AS end_sent, count(DISTINCT sent_uid) AS n_sents, count(*) AS n_tokens FROM tokens GROUP BY chunk_idx")
+def chunk_ranges(spark: SparkSession, d: str) -> DataFrame:
+    t = _tokens(spark, d)
+    return t.groupBy("chunk_idx").agg(F.min("sent_uid").alias("first_sent"), (F.max("sent_uid") + 1).alias("end_sent"), F.countDistinct("sent_uid").alias("n_sents"), F.count("*").alias("n_tokens"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND lag(event_id) OVER w IS NOT NULL THEN 0 ELSE 1 END AS flag
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT *, sum(flag) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM r)
+SELECT user_id, run::BIGINT AS run, event_type, min(event_id) AS "begin", max(event_id) + 1 AS "end" FROM g GROUP BY ALL""")
+def equal_runs(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.consecutive_ranges(table(spark, d, "events"), "event_type", "event_id", "user_id")
+
+
+@query(f"""WITH {_TOKENS}, g AS (SELECT sent_uid, pos, word || ' ' || lead(word) OVER (PARTITION BY sent_uid ORDER BY pos) AS gram FROM tokens)
+SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram""")
+def bigram_count(spark: SparkSession, d: str) -> DataFrame:
+    grams = _sentences(spark, d).select(F.explode(X.ngrams(X.words(F.col("sentence")), 2)).alias("gram"))
+    return grams.groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_TOKENS} SELECT a.word, b.word AS context, count(*) AS n FROM tokens a JOIN tokens b
+ON a.sent_uid = b.sent_uid AND a.pos <> b.pos AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 GROUP BY ALL HAVING count(*) >= 20""")
+def context_counts(spark: SparkSession, d: str) -> DataFrame:
+    pairs = tokens.context_pairs(_tokens(spark, d), 2)
+    return pairs.groupBy("word", "context").agg(F.count("*").alias("n")).filter("n >= 20")
+
+
+@query(f"""WITH {_TOKENS} SELECT word, lower(word) AS low, length(word) AS n_chars, word[2:3] AS part, upper(word) AS up, list_aggregate(list_sort(string_split(word, '')), 'string_agg', '') AS bag
+FROM (SELECT DISTINCT word FROM tokens WHERE regexp_full_match(word, '[A-Za-z]+'))""")
+def word_functions(spark: SparkSession, d: str) -> DataFrame:
+    w = F.col("word")
+    words = _tokens(spark, d).select("word").filter(w.rlike("^[A-Za-z]+$")).distinct()
+    bag = F.array_join(F.array_sort(F.split(w, "")), "")
+    return words.select("word", F.lower(w).alias("low"), F.length(w).cast("long").alias("n_chars"), X.code_points(w, 1, 3).alias("part"), F.upper(w).alias("up"), bag.alias("bag"))
+
+
+@query("SELECT doc_id, substring(text, 9, 12) AS part, length(text) AS n FROM documents WHERE text IS NOT NULL")
+def unicode_substring(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).filter("text IS NOT NULL").select("doc_id", X.code_points(F.col("text"), 8, 20).alias("part"), F.length("text").cast("long").alias("n"))
+
+
+@query("""SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS stripped, len(string_split_regex(text, '[ \\t]')) AS n_parts, NOT regexp_matches(text, '\\S') AS blank
+FROM documents WHERE text IS NOT NULL""")
+def strip_and_split(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return _docs(spark, d).filter("text IS NOT NULL").select("doc_id", X.strip(t).alias("stripped"), F.size(X.split_any(t)).cast("long").alias("n_parts"), X.is_blank(t).alias("blank"))
+
+
+@query("""SELECT full_name, string_split(full_name, '.')[1] AS table_name, string_split(full_name, '.')[2] AS column_name, string_split(full_name, '.')[3] AS index_col, col_uid::VARCHAR AS row_id FROM column_catalog""")
+def file_name_parts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "column_catalog")
+    path = F.concat(F.lit("/dump/"), "full_name", F.lit("."), F.col("col_uid").cast("string"))
+    return c.select("full_name", X.path_parts(path).alias("p")).select("full_name", "p.*")
+
+
+@query(f"""WITH l AS (SELECT rec_id, item_label, list_filter({_WORDS.format('item_label')}, lambda w: regexp_matches(w, '^[A-Za-z]') AND w NOT IN ('and', 'the', 'of')) AS ws FROM wikidata_items WHERE item_label IS NOT NULL)
+SELECT rec_id, array_to_string(list_transform(ws, lambda w: upper(w[1])), '') AS acronym FROM l""")
+def acronyms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "wikidata_items").filter("item_label IS NOT NULL").select("rec_id", X.acronym(X.words(F.col("item_label"))).alias("acronym"))
+
+
+@query(f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY word),
+f AS (SELECT lower(word) AS low, max_by(word, (n, word)) AS form FROM w WHERE regexp_full_match(word, '[A-Za-z]+') GROUP BY ALL)
+SELECT low, form FROM f WHERE low <> form""")
+def case_forms(spark: SparkSession, d: str) -> DataFrame:
+    w = vocabulary.word_counts(_docs(spark, d), "text").filter(F.col("word").rlike("^[A-Za-z]+$"))
+    forms = w.groupBy(F.lower("word").alias("low")).agg(F.max_by("word", F.struct("n", "word")).alias("form"))
+    return forms.filter("low <> form")
+
+
+_COUNTRIES = ["Brarkloustiora", "Giskarflormar", "Parpremar", "Pruvoniia", "Thipurmland", "Varfoufiora"]
+_COUNTRY_LIST = "[" + ", ".join(f"'{c}'" for c in _COUNTRIES) + "]"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_distinct_sorted, ',') AS tags FROM (
+SELECT doc_id, list_sort(list_distinct(list_concat(list_filter({_COUNTRY_LIST}, lambda c: contains(text, c)), CASE WHEN contains(text, 'Water Board') THEN ['Water Land'] ELSE [] END))) AS list_distinct_sorted
+FROM documents WHERE text IS NOT NULL) WHERE len(list_distinct_sorted) > 0""")
+def country_tags(spark: SparkSession, d: str) -> DataFrame:
+    tagged = entities.country_tags(_docs(spark, d).filter("text IS NOT NULL"), "text", _COUNTRIES, {"Water Board": "Water Land"})
+    return tagged.filter(F.size("tags") > 0).select("doc_id", F.array_join(F.array_sort("tags"), ",").alias("tags"))
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# importance, weights, search
+
+_PAIRS = f"""
+pairs AS (SELECT doc_id, {_WORDS.format("ss[1]")} AS s, {_WORDS.format("array_to_string(ss[2:], ' ')")} AS f
+  FROM (SELECT doc_id, {_SENTS.format("text")} AS ss FROM documents WHERE text IS NOT NULL) WHERE len(ss) > 1),
+sides AS (SELECT doc_id, unnest(list_distinct(s)) AS word, 1 AS a, 0 AS b FROM pairs UNION ALL SELECT doc_id, unnest(list_distinct(f)), 0, 1 FROM pairs),
+per AS (SELECT doc_id, word, max(a) AS a, max(b) AS b FROM sides GROUP BY ALL),
+cont AS (SELECT word, sum(a)::BIGINT AS summary, sum(b)::BIGINT AS "full", sum(a * b)::BIGINT AS common, (SELECT count(*) FROM pairs) AS n_case FROM per GROUP BY word),
+imp AS (SELECT *, CASE WHEN summary < 5 OR "full" < 5 THEN 0.0 ELSE common::DOUBLE * n_case / (summary * "full") END AS ratio FROM cont),
+scores AS (SELECT *, 0.9 * (1 - 1 / greatest(1.0, ratio + 0.001)) AS score FROM imp)"""
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """First sentences against the rest of their documents."""
+    ss = _docs(spark, d).select("doc_id", X.sentences(F.col("text")).alias("ss")).filter(F.size("ss") > 1)
+    rest = F.array_join(F.slice("ss", 2, F.size("ss")), " ")
+    return ss.select("doc_id", X.words(F.get("ss", F.lit(0))).alias("summary_words"), X.words(rest).alias("full_words"))
+
+
+def _importance(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(importance.importance_table(_pairs(spark, d)), "importance")
+
+
+@query(f'WITH {_PAIRS} SELECT word, summary, "full", common AS "both", n_case, round(ratio, 9) AS ratio, round(score, 9) AS score, CASE WHEN ratio < 0.1 OR common = 0 THEN 0.0 ELSE round(ln(ratio) * pow(common, 0.3), 9) END AS report FROM scores')
+def word_importance(spark: SparkSession, d: str) -> DataFrame:
+    c = importance.contingency(_pairs(spark, d)).withColumn("ratio", importance.ratio())
+    report = importance.report_score(F.col("ratio"), F.col("both"))
+    return c.select("word", "summary", "full", "both", "n_case", F.round("ratio", 9).alias("ratio"), F.round(importance.score(F.col("ratio")), 9).alias("score"), F.round(report, 9).alias("report"))
+
+
+@query(f"WITH {_PAIRS} SELECT word, score < 0.6 AS noisy, score = 0 AS unknown FROM scores")
+def noisy_words(spark: SparkSession, d: str) -> DataFrame:
+    s = importance.importance_table(_pairs(spark, d))
+    return s.select("word", importance.is_noisy(F.col("score")).alias("noisy"), (F.col("score") == 0).alias("unknown"))
+
+
+@query(f"""WITH tf AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS word FROM documents WHERE text IS NOT NULL) GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word)
+SELECT doc_id, word, tf, round(tf * ln((SELECT count(*) FROM documents WHERE text IS NOT NULL)::DOUBLE / df), 6) AS tfidf FROM tf JOIN df USING (word)
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, word) <= 5""")
+def tfidf_top(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).filter("text IS NOT NULL")
+    w = weighting.tfidf(docs.select("doc_id", X.words(F.col("text")).alias("words")), "doc_id", "words")
+    return ranking.top_per_table(w.withColumn("tfidf", F.round("tfidf", 6)), "doc_id", 5, "tfidf", "word").select("doc_id", "word", "tf", "tfidf")
+
+
+_SEARCH = f"""
+q AS (SELECT sent_uid AS q, pos AS q_pos, word, score, lead(word) OVER (PARTITION BY sent_uid ORDER BY pos) AS head_word
+  FROM (SELECT t.*, coalesce(s.score, 0.0) AS score FROM tokens t LEFT JOIN scores s USING (word)) WHERE sent_idx = 0 AND chunk_idx IN (SELECT doc_id FROM documents WHERE source = 'query.log')),
+qh AS (SELECT q.*, coalesce(s.score, 0.0) AS head_score FROM q LEFT JOIN scores s ON q.head_word = s.word),
+voc AS (SELECT DISTINCT word, lower(word) AS low FROM tokens),
+sim AS (SELECT a.word, b.word AS sim_word, CASE WHEN a.word = b.word THEN 1.0 ELSE 0.9 END AS similarity FROM voc a JOIN voc b USING (low)),
+posts AS (SELECT sent_uid, word, lead(word) OVER (PARTITION BY sent_uid ORDER BY pos) AS head_word FROM tokens),
+hits AS (SELECT qh.q, qh.q_pos, p.sent_uid, max(qh.score * s.similarity * (1 + qh.head_score * coalesce(h.similarity, 0.0))) AS score
+  FROM qh JOIN sim s ON qh.word = s.word JOIN posts p ON p.word = s.sim_word LEFT JOIN sim h ON h.word = qh.head_word AND h.sim_word = p.head_word
+  WHERE qh.score >= 0.6 GROUP BY ALL)"""
+
+
+def _query_words(spark: SparkSession, d: str, t: DataFrame, imp: DataFrame) -> DataFrame:
+    """Words of the first sentences of the asked documents with their importances and heads."""
+    asked = _docs(spark, d).filter("source = 'query.log'").select(F.col("doc_id").alias("chunk_idx"))
+    q = t.join(asked, "chunk_idx", "left_semi").filter(F.col("sent_uid") == F.col("chunk_idx") * tokens.SENTENCES_PER_CHUNK)
+    q = vocabulary.with_default(q, imp, "word", "score", 0.0)
+    heads = imp.select(F.col("word").alias("head_word"), F.col("score").alias("head_score"))
+    q = q.join(heads, "head_word", "left").withColumn("head_score", F.coalesce("head_score", F.lit(0.0)))
+    return q.select(F.col("sent_uid").alias("q"), F.col("pos").alias("q_pos"), "word", "score", "head_word", "head_score")
+
+
+def _search(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    imp = _importance(spark, d)
+    t = _tokens(spark, d)
+    similar = search.exact_similar(t.select("word").distinct())
+    return search.find_similar_sentences(_query_words(spark, d, t, imp), similar, t, k=k)
+
+
+@query(f"""WITH {_TOKENS}, {_PAIRS}, {_SEARCH}, total AS (SELECT q, sent_uid, round(sum(score), 6) AS score FROM hits GROUP BY ALL HAVING round(sum(score), 6) > 0)
+SELECT q, sent_uid, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, sent_uid) AS rank FROM total QUALIFY rank <= 5""")
+def similar_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d).select("q", "sent_uid", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def entry(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: the best sentences, with their texts, for every asked sentence."""
+    texts = _sentences(spark, d).select("sent_uid", "sentence")
+    return similar_sentences(spark, d).join(texts, "sent_uid")
+
+
+_DICTIONARY = """
+names AS (SELECT DISTINCT CAST(substring(item_id, 2) AS BIGINT) AS entity_uid, list_filter(regexp_split_to_array(item_label, '\\s+'), lambda w: w <> '') AS ws
+  FROM wikidata_items WHERE item_label IS NOT NULL AND regexp_full_match(item_id, 'Q[0-9]+'))"""
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "wikidata_items").filter(F.col("item_label").isNotNull() & F.col("item_id").rlike("^Q[0-9]+$"))
+    return items.select(F.substring("item_id", 2, 20).cast("long").alias("entity_uid"), X.words(F.col("item_label")).alias("ws")).distinct()
+
+
+def _short_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of items as texts use them: the label, its last word, and its words before "of"."""
+    n = _names(spark, d).filter(F.size("ws") > 0)
+    before = F.slice("ws", 1, F.greatest(F.array_position("ws", "of") - 1, F.lit(0)).cast("int"))
+    forms = F.array(F.col("ws"), F.slice("ws", -1, 1), before)
+    return n.select("entity_uid", F.explode(forms).alias("ws")).filter(F.size("ws") > 0).distinct()
+
+
+@query()
+def annotated_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Dictionary names in all sentences, with all candidates.  Sequential left-to-right rule: tested against a brute force."""
+    s = _sentences(spark, d).select("sent_uid", X.words(F.col("sentence")).alias("ws"))
+    a = entities.annotate(s, _short_names(spark, d))
+    return a.select("sent_uid", "token_pos", "token_len", F.array_join(F.transform("candidates", lambda x: x.cast("string")), ",").alias("candidates"))
+
+
+@query()
+def sentences_with_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search with entities: asked sentences against sentences that have all their entities, then similar words."""
+    imp = _importance(spark, d)
+    t = _tokens(spark, d)
+    names = _short_names(spark, d)
+    s = _sentences(spark, d).select("sent_uid", X.words(F.col("sentence")).alias("ws"))
+    a = materialise(entities.annotate(s, names), "annotated")
+    postings = entities.candidate_postings(a, entities.best_name_score(names, imp)).withColumn("score", F.col("score") + 1)
+    postings = postings.groupBy("entity_uid", "sent_uid").agg(F.max("score").alias("score"))
+    words = _query_words(spark, d, t, imp)
+    asked = words.select(F.col("q").alias("sent_uid")).distinct()
+    q_ent = a.join(asked, "sent_uid", "left_semi").select(F.col("sent_uid").alias("q"), F.col("token_pos").alias("ent"), "candidates", F.lit(1.0).alias("gov"))
+    found = search.find_similar_sentences(words, search.exact_similar(t.select("word").distinct()), t, q_ent, postings)
+    return found.select("q", "sent_uid", "score", "rank")
+
+
+@query(f"""WITH {_DICTIONARY}, a AS (SELECT entity_uid, ws, array_to_string(list_transform(list_filter(ws, lambda w: regexp_matches(w, '^[A-Za-z]') AND w NOT IN ('and', 'the', 'of')), lambda w: upper(w[1])), '') AS acr FROM names)
+SELECT entity_uid, max(CASE WHEN EXISTS (SELECT 1 FROM a b WHERE b.entity_uid = a.entity_uid AND len(b.ws) > 1 AND len(a.ws) = 1 AND a.ws[1] = b.acr) THEN 1 ELSE 0 END) = 1 OR bool_or(entity_uid % 7 = 0) AS named FROM a GROUP BY entity_uid""")
+def named_entities(spark: SparkSession, d: str) -> DataFrame:
+    names = _names(spark, d)
+    listed = names.filter("entity_uid % 7 = 0").select("entity_uid")  # stands for a list of names
+    return entities.named_entities(names, listed)
+
+
+@query("""WITH e AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(p31, '\\s+'), lambda x: x <> '')[2:]) AS class_id, item_label IS NOT NULL AND regexp_matches(item_label, '^[A-Z]') AS named FROM wikidata_items),
+v AS (SELECT class_id, sum(CASE WHEN named THEN 1 ELSE 0 END)::BIGINT AS yes, sum(CASE WHEN named THEN 0 ELSE 1 END)::BIGINT AS no FROM e GROUP BY class_id)
+SELECT class_id, yes, no, yes * 5 > no AS vote FROM v""")
+def class_vote(spark: SparkSession, d: str) -> DataFrame:
+    e = _instances(spark, d).withColumn("named", F.coalesce(F.col("item_label").rlike("^[A-Z]"), F.lit(False)))
+    return entities.class_vote(e, "class_id", "named")
+
+
+def _instances(spark: SparkSession, d: str) -> DataFrame:
+    vs = X.words(F.col("p31"))
+    return table(spark, d, "wikidata_items").select("item_id", "item_label", F.explode(F.slice(vs, 2, F.greatest(F.size(vs) - 1, F.lit(0)))).alias("class_id"))
+
+
+@query("""WITH e AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(p31, '\\s+'), lambda x: x <> '')[2:]) AS class_id FROM wikidata_items)
+SELECT class_id, count(*) AS n, min(item_id) AS first_item FROM e GROUP BY class_id""")
+def instances_by_class(spark: SparkSession, d: str) -> DataFrame:
+    return _instances(spark, d).select("item_id", "class_id").distinct().groupBy("class_id").agg(F.count("*").alias("n"), F.min("item_id").alias("first_item"))
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# rank cuts, de-duplication
+
+_ASK = "(SELECT input_uid, result_sent_uid, result_column_uid, result_row_uid, max(score) AS score FROM ask_results WHERE input_uid IS NOT NULL AND result_sent_uid IS NOT NULL AND isfinite(score) AND score > 0 GROUP BY ALL)"
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "ask_results").filter("input_uid IS NOT NULL AND result_sent_uid IS NOT NULL AND score > 0 AND NOT isnan(score) AND score < double('Infinity')")
+    return a.groupBy("input_uid", "result_sent_uid", "result_column_uid", "result_row_uid").agg(F.max("score").alias("score"))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, max(o_totalprice) OVER (PARTITION BY o_custkey) AS best FROM orders)
+SELECT o_custkey, o_orderkey, rank FROM r WHERE rank <= 5 AND o_totalprice > 0.5 * best""")
+def half_of_best_cut(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.half_cut(table(spark, d, "orders"), "o_custkey", 5, "o_totalprice", "o_orderkey").select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH a AS (SELECT input_uid, result_row_uid, max(score) AS score FROM {_ASK} WHERE result_row_uid IS NOT NULL GROUP BY ALL),
+b AS (SELECT *, result_row_uid % 50 AS chunk FROM a),
+u AS (SELECT input_uid, chunk, max(score) AS score FROM b GROUP BY ALL),
+f AS (SELECT *, max(score) OVER (PARTITION BY input_uid) AS best, row_number() OVER (PARTITION BY input_uid ORDER BY score DESC, chunk) AS k FROM u)
+SELECT input_uid, chunk, score FROM f WHERE k <= 3 AND score >= 0.5 * best""")
+def unique_chunk_cut(spark: SparkSession, d: str) -> DataFrame:
+    a = _asked(spark, d).filter("result_row_uid IS NOT NULL").withColumn("chunk", F.col("result_row_uid") % 50)
+    u = a.groupBy("input_uid", "chunk").agg(F.max("score").alias("score"))
+    return ranking.unique_chunk_cut(u, "input_uid", "chunk", 3, "score").select("input_uid", "chunk", "score")
+
+
+@query(f"SELECT result_column_uid, input_uid, result_sent_uid, row_number() OVER (PARTITION BY result_column_uid ORDER BY score DESC, input_uid, result_sent_uid, result_row_uid) AS rank FROM {_ASK} QUALIFY rank <= 20")
+def top_per_column(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("result_column_uid").orderBy(F.col("score").desc(), "input_uid", "result_sent_uid", F.col("result_row_uid").asc_nulls_last())
+    return _asked(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 20").select("result_column_uid", "input_uid", "result_sent_uid", "rank")
+
+
+@query("""WITH b AS (SELECT l_returnflag, l_linestatus, l_suppkey, max(l_extendedprice) AS s FROM lineitem GROUP BY ALL),
+p AS (SELECT l_returnflag, l_suppkey, sum(s) AS row_score FROM b GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY row_score DESC, l_suppkey) AS rank, max(row_score) OVER (PARTITION BY l_returnflag) AS top FROM p)
+SELECT l_returnflag, l_suppkey, round(row_score, 4) AS row_score, rank FROM r WHERE rank <= 10 AND row_score > 0.5 * top""")
+def row_score_cut(spark: SparkSession, d: str) -> DataFrame:
+    r = ranking.row_cut(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_suppkey", 10, "l_extendedprice")
+    return r.select("l_returnflag", "l_suppkey", F.round("row_score", 4).alias("row_score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH s AS (SELECT row_uid, array_to_string(list_sort({_WORDS.format('row_str')}), chr(1)) AS bag FROM ygp_rows WHERE row_str IS NOT NULL)
+SELECT min(row_uid) AS row_uid, count(*) AS n FROM s GROUP BY bag""")
+def bag_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "ygp_rows").filter("row_str IS NOT NULL").select("row_uid", X.bag_key(X.words(F.col("row_str"))).alias("bag"))
+    # the key can be long: groups meet by its digest
+    return rows.groupBy(F.sha2("bag", 256).alias("bag")).agg(F.min("row_uid").alias("row_uid"), F.count("*").alias("n")).select("row_uid", "n")
+
+
+@query(f"SELECT input_uid, result_sent_uid, max(score) AS score, count(*) AS n FROM {_ASK} GROUP BY ALL")
+def best_score_per_pair(spark: SparkSession, d: str) -> DataFrame:
+    return _asked(spark, d).groupBy("input_uid", "result_sent_uid").agg(F.max("score").alias("score"), F.count("*").alias("n"))
+
+
+@query(f"""WITH a AS (SELECT result_sent_uid, count(DISTINCT input_uid) AS n_queries, round(sum(score), 6) AS total FROM {_ASK} WHERE result_column_uid IN (0, 1) GROUP BY ALL)
+SELECT result_sent_uid, n_queries, total FROM a WHERE n_queries >= 3""")
+def sentences_of_many_queries(spark: SparkSession, d: str) -> DataFrame:
+    a = _asked(spark, d).filter("result_column_uid IN (0, 1)")
+    return a.groupBy("result_sent_uid").agg(F.countDistinct("input_uid").alias("n_queries"), F.round(F.sum("score"), 6).alias("total")).filter("n_queries >= 3")
+
+
+@query("""SELECT reportid, max(rec_id) AS rec_id FROM reach_reports WHERE reportid IS NOT NULL
+AND (reportid, loaded_at) IN (SELECT (reportid, max(loaded_at)) FROM reach_reports GROUP BY reportid) GROUP BY reportid""")
+def newest_reports(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.newest(table(spark, d, "reach_reports").filter("reportid IS NOT NULL"), "reportid", "loaded_at", "rec_id").select("reportid", "rec_id")
+
+
+@query("""SELECT l_returnflag, l_suppkey, round(sum(w) OVER (PARTITION BY l_returnflag ORDER BY l_suppkey) - w, 4) AS lo, round(sum(w) OVER (PARTITION BY l_returnflag ORDER BY l_suppkey), 4) AS hi
+FROM (SELECT l_returnflag, l_suppkey, sum(l_quantity) AS w FROM lineitem GROUP BY ALL)""")
+def cumulative_cells(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_quantity").alias("w"))
+    c = ranking.cumulative(w, "w", "l_suppkey", "l_returnflag")
+    return c.select("l_returnflag", "l_suppkey", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+
+
+@query("SELECT l_suppkey, l_extendedprice FROM (SELECT l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS n FROM lineitem) WHERE n = 2")
+def second_largest(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.second_largest(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice")
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# vectors
+
+
+@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS l2, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS l1,
+round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 6) AS sig FROM embeddings""")
+def vector_norms(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("embedding")
+    e = table(spark, d, "embeddings")
+    sig = V.sigmoid(F.element_at(v, 1).cast("double"))
+    return e.select("vec_id", F.round(V.l2_norm(v), 6).alias("l2"), F.round(V.l1_norm(v), 6).alias("l1"), F.round(V.vector_sum(v), 6).alias("total"), F.round(sig, 6).alias("sig"))
+
+
+_DBL = "list_transform({}, lambda x: x::DOUBLE)"
+
+
+@query(f"""WITH e AS (SELECT vec_id, {_DBL.format('embedding')} AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0),
+s AS (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(q.v, e.v) AS sim FROM q JOIN e ON q.vec_id <> e.vec_id)
+SELECT query, id, round(sim, 6) AS sim, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, id) AS rank FROM s QUALIFY rank <= 10""")
+def nearest_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors whose id is divisible by 20 against all rows."""
+    e = table(spark, d, "embeddings")
+    n = similarity.nearest(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 10)
+    return n.select("query", "id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, {_DBL.format('embedding')} AS v FROM embeddings)
+SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(q.v, e.v), 6) AS sim FROM e q JOIN e ON q.vec_id % 20 = 0 WHERE list_cosine_similarity(q.v, e.v) >= 0.3""")
+def similarity_table(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return similarity.similar_table(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 0.3).withColumn("sim", F.round("sim", 6))
+
+
+@query("""WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM e GROUP BY ALL)
+SELECT label, max(n) AS n, array_to_string(list(printf('%.4f', round(m, 4) + 0.0) ORDER BY i), ',') AS centroid FROM m GROUP BY label""")
+def class_centroids(spark: SparkSession, d: str) -> DataFrame:
+    c = similarity.centroids(table(spark, d, "embeddings"), "label", "embedding")
+    return c.select("label", "n", F.array_join(F.transform("centroid", lambda x: F.format_string("%.4f", F.round(x, 4) + 0.0)), ",").alias("centroid"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, label, {_DBL.format('embedding')} AS v FROM embeddings),
+p AS (SELECT a.vec_id, list_transform(list_zip(a.v, b.v), lambda z: z[1] + z[2]) AS s, list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])) AS t, a.v AS av, b.v AS bv FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(list_sum(s), 6) AS sum_part, round(list_sum(t), 6) AS diff_part, len(s) + len(t) AS n, round(t[len(t)], 6) AS last_diff, round(list_inner_product(av, bv), 6) AS dot, round(list_distance(av, bv) * list_distance(av, bv), 5) AS dist2 FROM p""")
+def pair_features(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    p = e.join(b, "vec_id").select("vec_id", "embedding", "other", V.pair_features(F.col("embedding"), F.col("other")).alias("f"), V.pair_features_last(F.col("embedding"), F.col("other")).alias("g"))
+    half = (F.size("f") / 2).cast("int")
+    return p.select(
+        "vec_id",
+        F.round(V.vector_sum(F.slice("f", 1, half)), 6).alias("sum_part"),
+        F.round(V.vector_sum(F.slice("f", half + 1, half)), 6).alias("diff_part"),
+        F.size("f").cast("long").alias("n"),
+        F.round(F.element_at("g", -1), 6).alias("last_diff"),
+        F.round(V.dot(F.col("embedding"), F.col("other")), 6).alias("dot"),
+        F.round(V.squared_distance(F.col("embedding"), F.col("other")), 5).alias("dist2"),
+    )
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# JSON, dumps, ETL
+
+
+@query("SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k_sum FROM events GROUP BY event_type")
+def json_property_sum(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k_sum"))
+
+
+@query("""WITH l AS (SELECT line_no, trim(raw_line) AS r FROM wikidata_dump), j AS (SELECT line_no, substring(r, 1, length(r) - 1) AS t FROM l WHERE r LIKE '%,'),
+v AS (SELECT line_no, t FROM j WHERE json_valid(t) AND starts_with(t, '{')),
+x AS (SELECT line_no, t->>'$.id' AS id, t->>'$.type' AS type, CASE WHEN json_type(t, '$.labels.en') = 'OBJECT' THEN t->>'$.labels.en.value' ELSE t->>'$.labels.en' END AS label FROM v)
+SELECT line_no, id, type, label FROM x WHERE label IS NOT NULL""")
+def items_with_label(spark: SparkSession, d: str) -> DataFrame:
+    trimmed = table(spark, d, "wikidata_dump").select("line_no", F.rtrim("raw_line").alias("value"))
+    lines = trimmed.filter(F.col("value").endswith(",")).select("line_no", F.expr("substring(value, 1, length(value) - 1)").alias("t"))
+    v = lines.withColumn("v", F.try_parse_json("t")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    g = lambda p: F.try_variant_get("v", p, "string")
+    label = F.coalesce(g("$.labels.en.value"), g("$.labels.en"))
+    return v.select("line_no", g("$.id").alias("id"), g("$.type").alias("type"), label.alias("label")).filter("label IS NOT NULL")
+
+
+@query("SELECT rec_id, 'content' AS column_name, regexp_replace(content, '\\r\\n|[\\r\\n]', ' ', 'g') AS text FROM reach_reports WHERE length(content) > 5 UNION ALL SELECT rec_id, 'abstract', regexp_replace(abstract, '\\r\\n|[\\r\\n]', ' ', 'g') FROM reach_reports WHERE length(abstract) > 5")
+def stacked_columns(spark: SparkSession, d: str) -> DataFrame:
+    return readers.long_form(table(spark, d, "reach_reports"), "rec_id", ["content", "abstract"], 5).select("rec_id", "column_name", "text")
+
+
+@query("SELECT rec_id, p AS n_par, t AS text FROM (SELECT rec_id, len(regexp_extract_all(enregsummary, '(?is)<p>(.*?)</p>', 1)) AS p, array_to_string(regexp_extract_all(enregsummary, '(?is)<p>(.*?)</p>', 1), '|') AS t FROM regulation) WHERE p > 0")
+def markup_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "regulation").select("rec_id", readers.paragraphs(F.col("enregsummary")).alias("ps")).filter(F.size("ps") > 0)
+    return r.select("rec_id", F.size("ps").cast("long").alias("n_par"), F.array_join("ps", "|").alias("text"))
+
+
+@query("SELECT y.row_uid, c.full_name, y.row_idx, coalesce(y.country, 'Unknown') AS country FROM ygp_rows y JOIN column_catalog c USING (col_uid)")
+def rows_with_columns(spark: SparkSession, d: str) -> DataFrame:
+    y, c = table(spark, d, "ygp_rows"), table(spark, d, "column_catalog")
+    return y.join(F.broadcast(c), "col_uid").select("row_uid", "full_name", "row_idx", F.coalesce("country", F.lit("Unknown")).alias("country"))  # 11 rows
+
+
+@query("""SELECT a.input_uid, a.result_sent_uid, c.table_name, coalesce(a.result_sent_country, 'Unknown') AS country, length(y.row_str) AS n_chars
+FROM (SELECT input_uid, result_sent_uid, result_row_uid, max(result_sent_country) AS result_sent_country FROM ask_results WHERE score >= 3 AND isfinite(score) GROUP BY ALL) a
+JOIN ygp_rows y ON a.result_row_uid = y.row_uid LEFT JOIN column_catalog c USING (col_uid)""")
+def results_with_rows(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "ask_results").filter("score >= 3 AND NOT isnan(score) AND score < double('Infinity')")
+    a = a.groupBy("input_uid", "result_sent_uid", "result_row_uid").agg(F.max("result_sent_country").alias("c"))
+    y = table(spark, d, "ygp_rows").select(F.col("row_uid").alias("result_row_uid"), "col_uid", F.length("row_str").cast("long").alias("n_chars"))
+    c = F.broadcast(table(spark, d, "column_catalog").select("col_uid", "table_name"))  # 11 rows
+    return a.join(y, "result_row_uid").join(c, "col_uid", "left").select("input_uid", "result_sent_uid", "table_name", F.coalesce("c", F.lit("Unknown")).alias("country"), "n_chars")
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# dependency trees, suggestions, rendering
+
+
+@query(f"""WITH {_TOKENS}, {_PAIRS}, t AS (SELECT sent_uid, pos, coalesce(s.score, 0.0) AS w FROM tokens LEFT JOIN scores s USING (word))
+SELECT sent_uid, pos, round(sum(w) OVER (PARTITION BY sent_uid ORDER BY pos), 6) AS subtree FROM t""")
+def subtree_sums(spark: SparkSession, d: str) -> DataFrame:
+    trees = _trees(spark, d)
+    return depgraph.fragilities(trees).select("sent_uid", F.col("pos").cast("long").alias("pos"), F.round("subtree", 6).alias("subtree"))
+
+
+def _trees(spark: SparkSession, d: str) -> DataFrame:
+    t = vocabulary.with_default(_tokens(spark, d), _importance(spark, d), "word", "score", 0.0)
+    return depgraph.sentence_trees(t)
+
+
+@query()
+def phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases of all sentences by fragility; iterative, tested against literal cases."""
+    p = depgraph.segment(_trees(spark, d), 5.0)
+    return p.select("sent_uid", "phrase_no", F.array_join("ws", " ").alias("phrase"), F.round("score", 6).alias("score"))
+
+
+@query()
+def phrase_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases around the words of asked sentences that are not noisy."""
+    imp = _importance(spark, d)
+    t = _tokens(spark, d)
+    ideas = _query_words(spark, d, t, imp).filter(F.col("score") >= importance.NOISY_BELOW).select("word").distinct()
+    return depgraph.suggest(depgraph.segment(_trees(spark, d), 0.5), ideas)
+
+
+@query(f"""WITH {_TOKENS}, {_PAIRS}, {_SEARCH}, total AS (SELECT q, sent_uid, round(sum(score), 6) AS score FROM hits GROUP BY ALL HAVING round(sum(score), 6) > 0),
+r AS (SELECT q, sent_uid, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, sent_uid) AS rank FROM total QUALIFY rank <= 5),
+need AS (SELECT q, sum(score) AS total FROM qh GROUP BY q)
+SELECT r.q, count(*) AS n, string_agg(sent_uid::VARCHAR, ',' ORDER BY rank) AS sents, sum(CASE WHEN r.score > need.total THEN 1 ELSE 0 END)::BIGINT AS n_high FROM r JOIN need USING (q) GROUP BY r.q""")
+def result_rows(spark: SparkSession, d: str) -> DataFrame:
+    imp = _importance(spark, d)
+    t = _tokens(spark, d)
+    words = _query_words(spark, d, t, imp)
+    found = search.find_similar_sentences(words, search.exact_similar(t.select("word").distinct()), t)
+    high = render.is_highly_met(found, words)
+    per = high.groupBy("q").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "sent_uid"))).alias("s"), F.sum(F.col("is_highly_met").cast("long")).alias("n_high"))
+    return per.select("q", "n", F.array_join(F.transform("s", lambda x: x.sent_uid.cast("string")), ",").alias("sents"), "n_high")
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# learned weights, latent spaces, trees
+
+_LABELLED = """
+p AS (SELECT rec_id, CASE WHEN rec_id % 2 = 0 THEN 1 ELSE -1 END AS label, list_distinct(list_filter(regexp_split_to_array(lower(abstract), '\\s+'), lambda w: w <> '')) AS a,
+  list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: w <> '')) AS b FROM reach_reports WHERE abstract IS NOT NULL AND content IS NOT NULL),
+s AS (SELECT rec_id, label, unnest(a) AS word, 1 AS x, 0 AS y FROM p UNION ALL SELECT rec_id, label, unnest(b), 0, 1 FROM p),
+m AS (SELECT rec_id, label, word, max(x) * max(y) AS shared FROM s GROUP BY ALL),
+c AS (SELECT word, sum(CASE WHEN label = 1 AND shared = 1 THEN 1 ELSE 0 END)::DOUBLE AS p1, sum(CASE WHEN label = 1 AND shared = 0 THEN 1 ELSE 0 END)::DOUBLE AS p0,
+  sum(CASE WHEN label = -1 AND shared = 1 THEN 1 ELSE 0 END)::DOUBLE AS n1, sum(CASE WHEN label = -1 AND shared = 0 THEN 1 ELSE 0 END)::DOUBLE AS n0 FROM m GROUP BY word),
+r AS (SELECT word, (p1 + 0.05) / (p1 + p0 + 0.1) AS p, (n1 + 0.05) / (n1 + n0 + 0.1) AS q FROM c)"""
+
+
+@query(f"WITH {_LABELLED} SELECT word, round(p * ln((p + 1e-7) / (q + 1e-7)) + (1 - p) * ln((1 - p + 1e-7) / (1 - q + 1e-7)), 9) AS weight FROM r")
+def discriminative_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of words of report pairs (abstract, content); labels stand for judged pairs."""
+    r = table(spark, d, "reach_reports").filter("abstract IS NOT NULL AND content IS NOT NULL")
+    label = F.when(F.col("rec_id") % 2 == 0, 1).otherwise(-1).alias("label")
+    p = r.select(label, X.words(F.lower("abstract")).alias("words1"), X.words(F.lower("content")).alias("words2"))
+    return weighting.kld_weights(p).withColumn("weight", F.round("weight", 9))
+
+
+@query()
+def latent_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings in their 8 strongest directions."""
+    latent, _, _ = models.latent_space(table(spark, d, "embeddings"), "vec_id", "embedding", 8)
+    return latent.select("vec_id", F.transform("latent", lambda x: F.round(x, 4)).alias("latent"))
+
+
+@query()
+def principal_plane(spark: SparkSession, d: str) -> DataFrame:
+    p = models.principal_components(table(spark, d, "embeddings"), "vec_id", "embedding", 2)
+    return p.select("vec_id", F.transform("pc", lambda x: F.round(x, 4)).alias("pc"))
+
+
+@query()
+def document_topics(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).filter("text IS NOT NULL").select("doc_id", X.words(F.lower("text")).alias("words"))
+    return models.hashed_topics(docs, "doc_id", "words", features=4096, clusters=8)
+
+
+@query()
+def svm_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Linear classifier of embeddings by whether their label is below 5, applied to all rows."""
+    e = table(spark, d, "embeddings").withColumn("y", F.when(F.col("label") < 5, 1).otherwise(-1))
+    model = models.train_svm(e, "y", "embedding")
+    return e.select("vec_id", "y", (models.svm_score(model, F.col("embedding")) > 0).alias("positive"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents WHERE source = 'query.log' AND text IS NOT NULL)
+SELECT doc_id, len(ws) - 1 AS n_merges, array_to_string(ws, ' ') AS leaves FROM w WHERE len(ws) BETWEEN 1 AND 40""")
+def parse_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy trees of asked texts: a tree of n words has n - 1 merges and its words in order."""
+    s = _docs(spark, d).filter("source = 'query.log' AND text IS NOT NULL").select(F.col("doc_id").alias("sent_uid"), X.words(F.col("text")).alias("ws"))
+    trees = parser.parse_sentences(s, {}, parser.Merger.random(8, 3), "greedy", 40)
+    merges = F.size(F.split("tree", "\\)", -1)) - 1
+    leaves = F.array_join(F.array_remove(F.split(F.regexp_replace("tree", "[()]", " "), "\\s+"), ""), " ")
+    plain = s.filter((F.size("ws") >= 1) & (F.size("ws") <= 40)).select("sent_uid", F.size("ws").alias("k"), F.array_join("ws", " ").alias("leaves"))
+    # words may hold brackets themselves: then the words are taken from the sentence
+    has = F.col("leaves_s").contains("(") | F.col("leaves_s").contains(")")
+    t = trees.select("sent_uid", merges.alias("m"), leaves.alias("l")).join(plain.withColumnRenamed("leaves", "leaves_s"), "sent_uid")
+    return t.select(F.col("sent_uid").alias("doc_id"), F.when(has, F.col("k") - 1).otherwise(F.col("m")).cast("long").alias("n_merges"), F.when(has, F.col("leaves_s")).otherwise(F.col("l")).alias("leaves"))
+
+
+@query()
+def context_derived_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of words outside of a known vocabulary, from the vectors of their contexts in cells."""
+    counts = ranking.top_n(vocabulary.word_counts(table(spark, d, "ygp_rows"), "row_str"), 500, "n", "word")  # a small known vocabulary
+    ranks = counts.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.col("n").desc(), "word")) - 1).cast("long"))
+    known = ranks.join(table(spark, d, "embeddings"), "vec_id").select("word", F.col("embedding").alias("vec"))
+    cells = table(spark, d, "ygp_rows").select(F.col("row_uid").alias("sent_uid"), F.col("row_uid").alias("chunk_idx"), F.col("row_str").alias("sentence")).filter("sentence IS NOT NULL")
+    pairs = tokens.context_pairs(tokens.token_table(cells), 10)
+    unseen = pairs.join(known, "word", "left_anti")
+    v = similarity.context_vectors(unseen, known)
+    return v.select("word", "n", F.round(F.get("centroid", F.lit(0)), 5).alias("first"))
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# streams (the same plans run on a stream; these run on what is there)
+
+
+@query("SELECT date_trunc('day', ts) AS beg, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def day_windows(spark: SparkSession, d: str) -> DataFrame:
+    return flows.window_counts(table(spark, d, "events"), "ts", "event_type", "value", "1 day")
+
+
+@query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s)
+SELECT user_id, min(ts) AS beg, count(*) AS n FROM g GROUP BY user_id, k""")
+def user_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return flows.sessions(table(spark, d, "events"), "ts", "user_id", "2 hours")
+
+
+# ---------------------------------------------------------------------------------------------------------------------
 # 7: deeply nested semi-structured records
 
 
-@query
+@query()
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.nodes(table(spark, d, "wikidata_dump")).select("line_no", "kind", "node_path")
 
 
-@query
+@query()
 def p7_refsnaks_of_claims(spark: SparkSession, d: str) -> DataFrame:
     """Reference snaks with the claim that contains them, linked by intervals over two levels."""
     labelled = nested.nodes(table(spark, d, "wikidata_dump"))
-    return nested.link(nested.kind_table(labelled, "claim"), nested.kind_table(labelled, "refsnak"), "claim").select(
-        "line_no", "claim_path", "node_path", "name", "value"
-    )
+    return nested.link(nested.kind_table(labelled, "claim"), nested.kind_table(labelled, "refsnak"), "claim").select("line_no", "claim_path", "node_path", "name", "value")
