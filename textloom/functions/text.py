@@ -55,9 +55,13 @@ def unpack_words(s: Column) -> Column:
 
 
 def ngrams(ws: Column, n: int) -> Column:
-    """Joined runs of n words; fewer than n words give none."""
-    starts = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(ws, i, n), " "))
+    """Joined runs of n words; fewer than n words give none.
+
+    The word list is zipped with itself, shifted, so the work is linear in its length.
+    """
+    count = F.greatest(F.size(ws) - (n - 1), F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(ws, i + 1, count).alias(f"w{i}") for i in range(n)])
+    return F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(n)]))
 
 
 def acronym(ws: Column) -> Column:

@@ -63,6 +63,13 @@ def dense_sentence_uid(tokens: DataFrame, first: int = 0) -> DataFrame:
     return tokens.join(numbers, "sent_uid")
 
 
+def ngram_rows(df: DataFrame, ws: str, n: int) -> DataFrame:
+    """(gram): a row per run of n words of the word list; the words are joined after the explode, in generated code."""
+    count = F.size(ws) - (n - 1)
+    shifted = F.arrays_zip(*[F.slice(ws, i + 1, count).alias(f"w{i}") for i in range(n)])
+    return df.filter(F.size(ws) >= n).select(F.explode(shifted).alias("z")).select(F.concat_ws(" ", *[F.col(f"z.w{i}") for i in range(n)]).alias("gram"))
+
+
 def context_pairs(tokens: DataFrame, k: int) -> DataFrame:
     """(sent_uid, pos, word, context): every word with the words at most k positions away in its sentence, itself excluded."""
     per = tokens.groupBy("sent_uid").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("ws"))

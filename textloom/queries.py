@@ -203,7 +203,7 @@ def equal_runs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_TOKENS}, g AS (SELECT sent_uid, pos, word || ' ' || lead(word) OVER (PARTITION BY sent_uid ORDER BY pos) AS gram FROM tokens)
 SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram""")
 def bigram_count(spark: SparkSession, d: str) -> DataFrame:
-    grams = _sentences(spark, d).select(F.explode(X.ngrams(X.words(F.col("sentence")), 2)).alias("gram"))
+    grams = tokens.ngram_rows(_sentences(spark, d).select(X.words(F.col("sentence")).alias("ws")), "ws", 2)
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
