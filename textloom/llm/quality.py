@@ -10,6 +10,9 @@ prose if it ends with a sentence mark, holds no dot leaders, has few symbols tha
 not mostly crumbs; in scripts without sentence marks, long stretches between white space count.  ``prose_share`` is the
 share of the characters, without white space, in such units.
 
+All counts of whole chunks and of merged ones agree exactly, but for the number of a list line right beside a cut, which is
+judged without the line on the other side.
+
 Defined cases: null texts give no row; a text without characters has counts of 0, null means and shares, and no rule
 fails; repeated ids are documents of their own; texts of any length are read whole.
 """
