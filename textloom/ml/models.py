@@ -134,12 +134,13 @@ def project(v: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return basis.T @ (basis @ v) if len(basis) else np.zeros_like(v)
 
 
-def embed_plane(x: np.ndarray, perplexity: float = 20.0, steps: int = 300, rate: float = 100.0, seed: int = 1) -> np.ndarray:
+def embed_plane(x: np.ndarray, perplexity: float = 20.0, steps: int = 300, rate: float | None = None, seed: int = 1) -> np.ndarray:
     """t-SNE in two dimensions of a bounded sample (at most 3,000 rows), exact gradients."""
     x = np.asarray(x, float)
     n = len(x)
     if n > 3000:
         raise ValueError("a sample of at most 3,000 rows")
+    rate = max(n / 12, 5.0) if rate is None else rate
     d2 = np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T)
     p = np.zeros((n, n))
     for i in range(n):

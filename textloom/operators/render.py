@@ -72,7 +72,7 @@ def as_json(results: DataFrame, query: str, order: str, fields: list[str]) -> Da
     """(query, result_json): per query one document of parallel arrays, one per field, in rank order."""
     ranked = F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order])))
     rows = results.groupBy(query).agg(ranked.alias("rs"))
-    return rows.select(query, F.to_json(F.struct(*[F.transform("rs", lambda r, f=f: r[f]).alias(f) for f in fields])).alias("result_json"))
+    return rows.select(query, F.to_json(F.struct(*[F.col(f"rs.{f}").alias(f) for f in fields])).alias("result_json"))
 
 
 def did_you_mean(words: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
