@@ -93,6 +93,12 @@ def test_twice_garbled_and_lost_pieces(describer):
     assert encoding.restore("amostras n�o s�o", describer)[0]
 
 
+def test_escaped_garbled_text(describer):
+    assert encoding.restore("F&Atilde;&frac14;r die Pr&Atilde;&frac14;fung", describer)[::2] == (True, "Für die Prüfung")
+    assert encoding.restore("L&eacute;gende : l&#39;arr&ecirc;t&eacute; n&deg; 5", describer)[0] is False
+    assert encoding.restore("R&D; A &amp; B", describer)[0] is False
+
+
 @pytest.mark.parametrize("text", ["The register lists Ã, Â and Ð as letters.", "Ðórunn and Þrándur reported Å-class filters.", "│ name │ ± 8 │ √ 119 ├─ ok", "Âmbito: a licença será publicada. © Firma™ 1989", "Temp. 20 °C ± 2 °C; “X” – £108 or ¥45 per m³…", "INSPEÇÃO: A LICENÇA NÃO ESTÁ EM VIGOR", "Giấy phép số 118 được cấp", "plain ASCII", "", "Проверка прошла в городе."])
 def test_right_texts_stay(describer, text):
     assert encoding.restore(text, describer) == (False, None, text)
