@@ -46,7 +46,7 @@ def annotate_words(ws: list[object], trie: dict) -> list[tuple[int, int, list[ob
     return out
 
 
-def annotate(sentences: DataFrame, names: DataFrame, max_names: int = 2_000_000) -> DataFrame:
+def annotate(sentences: DataFrame, names: DataFrame, max_names: int = 100_000) -> DataFrame:
     """(sent_uid, token_pos, token_len, candidates) of dictionary names in sentences (sent_uid, ws).
 
     names: entity_uid long, ws array<string>.  The dictionary goes to the tasks as a trie if it has at most ``max_names``

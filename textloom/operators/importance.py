@@ -25,8 +25,7 @@ def contingency(pairs: DataFrame) -> DataFrame:
         ).alias("x")
     )
     counts = each.groupBy(F.col("x.word").alias("word")).agg(F.sum("x.a").alias("summary"), F.sum("x.b").alias("full"), F.sum(F.col("x.a") * F.col("x.b")).alias("both"))
-    n = pairs.agg(F.count("*").alias("n_case"))
-    return counts.crossJoin(F.broadcast(n))  # one row
+    return counts.withColumn("n_case", pairs.agg(F.count("*")).scalar())
 
 
 def ratio(least: int = 5) -> Column:

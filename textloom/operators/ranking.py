@@ -13,26 +13,36 @@ def top_n(df: DataFrame, n: int, score: str, tie: str) -> DataFrame:
 
 def max_per_key(df: DataFrame, keys: list[str], score: str, carry: list[str]) -> DataFrame:
     """One row per key: the one of highest score; ties go to the smallest carried values."""
-    best = F.min(F.struct((-F.col(score)).alias("neg"), *carry)).alias("b")
-    return df.groupBy(*keys).agg(best).select(*keys, (-F.col("b.neg")).alias(score), *[F.col(f"b.{c}").alias(c) for c in carry])
+    best = F.min(F.struct((-F.col(score)).alias("neg"), *carry)).alias("_tx_b")
+    return df.groupBy(*keys).agg(best).select(*keys, (-F.col("_tx_b.neg")).alias(score), *[F.col(f"_tx_b.{c}").alias(c) for c in carry])
 
 
 def half_cut(df: DataFrame, query: str, n: int, score: str, tie: str) -> DataFrame:
-    """Per query the n best rows whose score is strictly above half of the best."""
+    """Per query the n best rows whose score is strictly above half of the best.
+
+    The n best come first, from a window that keeps n rows per task, so the best score is looked up among n rows.
+    """
     w = Window.partitionBy(query).orderBy(F.col(score).desc(), F.col(tie).asc())
+    kept = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     best = F.max(score).over(Window.partitionBy(query))
-    return df.withColumn("best", best).withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= n) & (F.col(score) > 0.5 * F.col("best"))).drop("best")
+    return kept.withColumn("_tx_best", best).filter(F.col(score) > 0.5 * F.col("_tx_best")).drop("_tx_best")
 
 
 def unique_chunk_cut(df: DataFrame, query: str, chunk: str, n: int, score: str) -> DataFrame:
-    """Per query, rows in order of score until the n-th distinct chunk appears, with at least half of the best score."""
-    w = Window.partitionBy(query).orderBy(F.col(score).desc(), F.col(chunk).asc())
-    in_chunk = Window.partitionBy(query, chunk).orderBy(F.col(score).desc())
-    first = (F.row_number().over(in_chunk) == 1).cast("int")
-    rows = df.withColumn("first", first).withColumn("best", F.max(score).over(Window.partitionBy(query)))
-    seen = F.sum("first").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("seen", F.coalesce(seen, F.lit(0))).filter((F.col("seen") < n) & (F.col(score) >= 0.5 * F.col("best")))
-    return rows.drop("first", "best", "seen")
+    """Per query, rows in order of score until the n-th distinct chunk appears, with at least half of the best score.
+
+    The n best chunks of a query, found from one row per chunk by a window that keeps n rows per task, give the place where
+    its list ends; rows are then only compared with that place.  Rows that equal the last one in score and chunk are in.
+    """
+    per = df.groupBy(query, chunk).agg(F.max(score).alias("_tx_s"))
+    w = Window.partitionBy(query).orderBy(F.col("_tx_s").desc(), F.col(chunk).asc())
+    top = per.withColumn("_tx_k", F.row_number().over(w)).filter(F.col("_tx_k") <= n)
+    last = F.max_by(F.struct(F.col("_tx_s").alias("s"), F.col(chunk).alias("c")), "_tx_k")
+    ends = top.groupBy(query).agg(F.max("_tx_s").alias("_tx_best"), F.count("*").alias("_tx_chunks"), last.alias("_tx_last"))
+    rows = df.join(ends, query)
+    before = (F.col(score) > F.col("_tx_last.s")) | ((F.col(score) == F.col("_tx_last.s")) & (F.col(chunk) <= F.col("_tx_last.c")))
+    kept = rows.filter((F.col(score) >= 0.5 * F.col("_tx_best")) & (before | (F.col("_tx_chunks") < n)))
+    return kept.drop("_tx_best", "_tx_chunks", "_tx_last")
 
 
 def top_per_table(df: DataFrame, table: str, n: int, score: str, tie: str) -> DataFrame:
@@ -45,14 +55,15 @@ def row_cut(df: DataFrame, table: str, column: str, row: str, n: int, score: str
     best = df.groupBy(table, column, row).agg(F.max(score).alias("s"))
     per_row = best.groupBy(table, row).agg(F.sum("s").alias("row_score"))
     w = Window.partitionBy(table).orderBy(F.col("row_score").desc(), F.col(row).asc())
-    ranked = per_row.withColumn("rank", F.row_number().over(w)).withColumn("top", F.max("row_score").over(Window.partitionBy(table)))
-    return ranked.filter((F.col("rank") <= n) & (F.col("row_score") > 0.5 * F.col("top"))).drop("top")
+    ranked = per_row.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)  # n rows a task and table
+    ranked = ranked.withColumn("_tx_top", F.max("row_score").over(Window.partitionBy(table)))
+    return ranked.filter(F.col("row_score") > 0.5 * F.col("_tx_top")).drop("_tx_top")
 
 
 def bag_dedup(df: DataFrame, key: str, score: str, tie: str) -> DataFrame:
     """One row per bag key: the best ranked."""
     w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(tie).asc())
-    return df.withColumn("dup", F.row_number().over(w)).filter("dup = 1").drop("dup")
+    return df.withColumn("_tx_n", F.row_number().over(w)).filter("_tx_n = 1").drop("_tx_n")
 
 
 def cumulative(df: DataFrame, weight: str, order: str, part: str) -> DataFrame:
@@ -65,4 +76,4 @@ def cumulative(df: DataFrame, weight: str, order: str, part: str) -> DataFrame:
 def newest(df: DataFrame, key: str, *versions: str) -> DataFrame:
     """The row of the highest version of every key."""
     w = Window.partitionBy(key).orderBy(*[F.col(v).desc() for v in versions])
-    return df.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+    return df.withColumn("_tx_n", F.row_number().over(w)).filter("_tx_n = 1").drop("_tx_n")

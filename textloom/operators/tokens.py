@@ -83,5 +83,5 @@ def consecutive_ranges(df: DataFrame, key: str, order: str, within: str) -> Data
     """(within, key, begin, end): runs of equal keys in order, half open."""
     w = Window.partitionBy(within).orderBy(order)
     flag = F.when(F.lag(key).over(w).eqNullSafe(F.col(key)), 0).otherwise(1)
-    runs = df.withColumn("flag", flag).withColumn("run", F.sum("flag").over(w))
+    runs = df.withColumn("_tx_flag", flag).withColumn("run", F.sum("_tx_flag").over(w))
     return runs.groupBy(within, "run", key).agg(F.min(order).alias("begin"), (F.max(order) + 1).alias("end"))

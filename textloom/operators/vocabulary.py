@@ -27,9 +27,9 @@ def document_frequency(df: DataFrame, key: str, words: Column) -> DataFrame:
 
 
 def unigram(counts: DataFrame) -> DataFrame:
-    """(word, n, p): share of all occurrences; the total is one row."""
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("word", "n", (F.col("n") / F.col("total")).alias("p"))  # one row
+    """(word, n, p): share of all occurrences; the total is a scalar subquery."""
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("word", "n", (F.col("n") / total).alias("p"))
 
 
 def known_and_unseen(words: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,5 +56,5 @@ def noise_weight(n: Column) -> Column:
 
 def intersect_all(df: DataFrame, key: str, group: str) -> DataFrame:
     """Keys that every group has: one aggregation instead of a chain of joins."""
-    n = df.agg(F.countDistinct(group).alias("n_groups"))
-    return df.groupBy(key).agg(F.countDistinct(group).alias("n")).crossJoin(F.broadcast(n)).filter("n = n_groups").select(key)  # n is one row
+    n = df.agg(F.countDistinct(group)).scalar()
+    return df.groupBy(key).agg(F.countDistinct(group).alias("n")).filter(F.col("n") == n).select(key)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.functions import vectors as V
 from textloom.ml import models, parser, weighting
-from textloom.operators import depgraph, entities, importance, nested, ranking, render, search, similarity, tokens, vocabulary
+from textloom.operators import depgraph, entities, importance, knowledge, nested, ranking, render, sampling, search, similarity, tokens, vocabulary
 from textloom.sources import readers
 from textloom.streaming import flows
 from textloom.workspace import materialise, table
@@ -592,6 +592,45 @@ def items_with_label(spark: SparkSession, d: str) -> DataFrame:
     return v.select("line_no", g("$.id").alias("id"), g("$.type").alias("type"), label.alias("label")).filter("label IS NOT NULL")
 
 
+_DUMP = """
+l AS (SELECT line_no, regexp_replace(raw_line, '^[\\s,\\[\\]]+|[\\s,\\[\\]]+$', '', 'g') AS t FROM wikidata_dump),
+j AS (SELECT line_no, t::JSON AS j FROM l WHERE starts_with(t, '{') AND ends_with(t, '}') AND json_valid(t)),
+n AS (SELECT line_no, j, CASE WHEN json_type(j, '$.labels.en') = 'OBJECT' THEN j->>'$.labels.en.value' ELSE j->>'$.labels.en' END AS label FROM j)"""
+
+
+@query(f"""WITH {_DUMP} SELECT line_no, j->>'$.id' AS id, j->>'$.type' AS type, label,
+array_to_string(list_concat(['P31'], list_filter(coalesce(json_extract_string(j, '$.claims.P31[*].mainsnak.datavalue.value.id'), []), lambda x: x IS NOT NULL)), ' ') AS p31,
+array_to_string(list_concat(['P279'], list_filter(coalesce(json_extract_string(j, '$.claims.P279[*].mainsnak.datavalue.value.id'), []), lambda x: x IS NOT NULL)), ' ') AS p279 FROM n WHERE label IS NOT NULL""")
+def dump_items(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.items(table(spark, d, "wikidata_dump"))
+
+
+@query(f"""WITH {_DUMP} SELECT line_no, j->>'$.id' AS id, alias FROM (SELECT line_no, j, unnest(CASE WHEN json_type(j, '$.aliases.en') = 'ARRAY' THEN json_extract_string(j, '$.aliases.en[*].value')
+WHEN json_type(j, '$.aliases.en') = 'OBJECT' THEN [j->>'$.aliases.en.value'] ELSE [] END) AS alias FROM n WHERE label IS NOT NULL) WHERE alias IS NOT NULL""")
+def dump_aliases(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.aliases(table(spark, d, "wikidata_dump"))
+
+
+@query(f"""WITH {_DUMP}, k AS (SELECT line_no, j, unnest(json_keys(j, '$.claims')) AS property FROM j WHERE json_type(j, '$.claims') = 'OBJECT')
+SELECT line_no, j->>'$.id' AS id, property, json_extract_string(j, '$.claims.' || property || '[0].mainsnak.datavalue.value.id') AS value FROM k WHERE value IS NOT NULL""")
+def first_claims(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.first_claims(table(spark, d, "wikidata_dump"))
+
+
+@query("""WITH e AS (SELECT item_id AS entity, unnest(list_filter(regexp_split_to_array(p31, '\\s+'), lambda x: x <> '')[2:]) AS class_id, coalesce(regexp_matches(item_label, '^[A-Z]'), false) AS named FROM wikidata_items),
+v AS (SELECT class_id, sum(CASE WHEN named THEN 1 ELSE 0 END) * 5 > sum(CASE WHEN named THEN 0 ELSE 1 END) AS vote FROM e GROUP BY class_id),
+a AS (SELECT DISTINCT item_id AS entity FROM wikidata_items)
+SELECT a.entity, CASE WHEN bool_or(vote) THEN 'True' WHEN bool_or(NOT vote) THEN 'False' ELSE 'Unknown' END AS flag FROM a LEFT JOIN e USING (entity) LEFT JOIN v USING (class_id) GROUP BY a.entity""")
+def entity_flags(spark: SparkSession, d: str) -> DataFrame:
+    vs = X.words(F.col("p31"))
+    e = table(spark, d, "wikidata_items").select(
+        F.col("item_id").alias("entity"),
+        F.explode_outer(F.slice(vs, 2, F.greatest(F.size(vs) - 1, F.lit(0)))).alias("class_id"),
+        F.coalesce(F.col("item_label").rlike("^[A-Z]"), F.lit(False)).alias("named"),
+    )
+    return knowledge.entity_flags(e, "named")
+
+
 @query("SELECT rec_id, 'content' AS column_name, regexp_replace(content, '\\r\\n|[\\r\\n]', ' ', 'g') AS text FROM reach_reports WHERE length(content) > 5 UNION ALL SELECT rec_id, 'abstract', regexp_replace(abstract, '\\r\\n|[\\r\\n]', ' ', 'g') FROM reach_reports WHERE length(abstract) > 5")
 def stacked_columns(spark: SparkSession, d: str) -> DataFrame:
     return readers.long_form(table(spark, d, "reach_reports"), "rec_id", ["content", "abstract"], 5).select("rec_id", "column_name", "text")
@@ -688,6 +727,33 @@ def discriminative_weights(spark: SparkSession, d: str) -> DataFrame:
     return weighting.kld_weights(p).withColumn("weight", F.round("weight", 9))
 
 
+@query(f"""WITH tf AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS.format('lower(text)')}) AS word FROM documents WHERE text IS NOT NULL) GROUP BY ALL),
+df AS (SELECT word, ln((SELECT count(*) FROM documents WHERE text IS NOT NULL)::DOUBLE / count(*)) AS idf FROM tf GROUP BY word),
+w AS (SELECT doc_id, word, tf * idf AS w FROM tf JOIN df USING (word)), m AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
+u AS (SELECT doc_id, word, w / norm AS u FROM w JOIN m USING (doc_id) WHERE norm > 0),
+s AS (SELECT a.doc_id AS query, b.doc_id, round(sum(a.u * b.u), 6) AS sim FROM u a JOIN u b USING (word) JOIN documents d ON d.doc_id = a.doc_id AND d.source = 'wiki.intro' WHERE a.doc_id <> b.doc_id GROUP BY ALL)
+SELECT query, doc_id, sim, row_number() OVER (PARTITION BY query ORDER BY sim DESC, doc_id) AS rank FROM s QUALIFY rank <= 5""")
+def similar_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of one source as queries against all documents."""
+    docs = _docs(spark, d).filter("text IS NOT NULL")
+    w = weighting.tfidf(docs.select("doc_id", X.words(F.lower("text")).alias("words")), "doc_id", "words").select("doc_id", "word", F.col("tfidf").alias("w"))
+    found = weighting.document_similarity(w, docs.filter("source = 'wiki.intro'"), "doc_id", 5)
+    return found.select("query", "doc_id", "sim", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def sampled_events(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded sample of 100 events: the sample is the feature."""
+    return sampling.random_rows(table(spark, d, "events"), "event_id", 100).select("event_id", "event_type")
+
+
+@query()
+def noise_draws(spark: SparkSession, d: str) -> DataFrame:
+    """A word per cell, drawn with probability proportional to its count^0.75."""
+    counts = vocabulary.word_counts(_docs(spark, d), "text", 20).withColumn("w", vocabulary.noise_weight(F.col("n")))
+    return sampling.weighted_draws(counts, "word", "w", table(spark, d, "ygp_rows").select("row_uid"), "row_uid")
+
+
 @query()
 def latent_documents(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings in their 8 strongest directions."""

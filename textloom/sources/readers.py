@@ -171,3 +171,33 @@ def latest_version(names: DataFrame, column: str) -> DataFrame:
     v = names.withColumn("v", X.version(F.col(column))).filter("v.base <> ''")
     best = v.groupBy("v.base").agg(F.max(F.struct("v.major", "v.minor", F.col(column).alias("name"))).alias("b"))
     return best.select("base", "b.major", "b.minor", "b.name")
+
+
+def files_named(spark: SparkSession, path: str, table: str, row: int) -> DataFrame:
+    """(value, path): lines of the feed files of a table and row, whatever their folder; other files are not opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", X.feed_path_parts(F.col("path")).alias("p"))
+    paths = [r.path for r in files.filter((F.col("p.table_name") == table) & (F.col("p.row_id") == row)).select("path").collect()]  # file names
+    empty = spark.createDataFrame([], "value string, path string")
+    return spark.read.text(paths).withColumn("path", F.input_file_name()) if paths else empty
+
+
+def catalog_columns(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """(table_name, column_name, data_type) of the session's tables."""
+    rows = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables(database) for c in spark.catalog.listColumns(t.name)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
+
+
+def valid_request(request: dict, kind: str = "cells") -> bool:
+    """Whether a request has the keys that its kind needs."""
+    need = {"sent_uids", "max_clip_len"} | ({"Countries"} if kind == "cells" else set())
+    return need <= request.keys()
+
+
+def confined(df: DataFrame, full_name: str, wanted: list[str]) -> DataFrame:
+    """Rows whose column's full name contains one of the wanted strings; all rows if none is given."""
+    if not wanted:
+        return df
+    hit = F.lit(False)
+    for w in wanted:
+        hit = hit | F.contains(F.col(full_name), F.lit(w))
+    return df.filter(hit)

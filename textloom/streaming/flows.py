@@ -15,16 +15,16 @@ def running_word_counts(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def window_counts(events: DataFrame, time: str, key: str, value: str, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts and sums per tumbling or sliding window and key; events later than the watermark are dropped by a stream."""
-    w = F.window("t", size, slide) if slide else F.window("t", size)
-    rows = events.withColumn("t", F.col(time).cast("timestamp")).withWatermark("t", late)
-    return rows.groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total")).select(F.col("w.start").alias("beg"), key, "n", "total")
+    w = F.window("_tx_t", size, slide) if slide else F.window("_tx_t", size)
+    rows = events.withColumn("_tx_t", F.col(time).cast("timestamp")).withWatermark("_tx_t", late)
+    return rows.groupBy(w.alias("_tx_w"), key).agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total")).select(F.col("_tx_w.start").alias("beg"), key, "n", "total")
 
 
 def sessions(events: DataFrame, time: str, key: str, gap: str, late: str = "1 hour") -> DataFrame:
     """Sessions of a key that end after a gap."""
-    rows = events.withColumn("t", F.col(time).cast("timestamp")).withWatermark("t", late)
-    s = rows.groupBy(F.session_window("t", gap).alias("w"), key).agg(F.count("*").alias("n"))
-    return s.select(key, F.col("w.start").alias("beg"), "n")
+    rows = events.withColumn("_tx_t", F.col(time).cast("timestamp")).withWatermark("_tx_t", late)
+    s = rows.groupBy(F.session_window("_tx_t", gap).alias("_tx_w"), key).agg(F.count("*").alias("n"))
+    return s.select(key, F.col("_tx_w.start").alias("beg"), "n")
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
