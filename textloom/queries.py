@@ -829,13 +829,27 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
 # 7: deeply nested semi-structured records
 
 
-@query()
+_NODES = r"""
+WITH l AS (SELECT line_no, regexp_replace(raw_line, '^[\s,\[\]]+|[\s,\[\]]+$', '', 'g') AS t FROM wikidata_dump),
+j AS (SELECT line_no, t::JSON AS j FROM l WHERE starts_with(t, '{') AND ends_with(t, '}') AND json_valid(t)),
+n AS (SELECT line_no, t.type, regexp_replace(regexp_replace(replace(substring(t.fullkey, 3), '"', ''), '\.', '/', 'g'), '\[(\d+)\]', '/\1', 'g') AS p FROM j, json_tree(j.j) t),
+k AS (SELECT line_no, p AS node_path, CASE
+  WHEN regexp_full_match(p, 'labels/[^/]+') AND type IN ('OBJECT', 'VARCHAR') THEN 'label'
+  WHEN regexp_full_match(p, 'aliases/[^/]+(/\d+)?') AND type = 'OBJECT' THEN 'alias'
+  WHEN regexp_full_match(p, 'claims/P\d+/\d+') AND type = 'OBJECT' THEN 'claim'
+  WHEN regexp_full_match(p, 'claims/P\d+/\d+/qualifiers/(P\d+/)?\d+') AND type = 'OBJECT' THEN 'qualifier'
+  WHEN regexp_full_match(p, 'claims/P\d+/\d+/references/\d+') AND type = 'OBJECT' THEN 'reference'
+  WHEN regexp_full_match(p, 'claims/P\d+/\d+/references/\d+/snaks/(P\d+/)?\d+') AND type = 'OBJECT' THEN 'refsnak' END AS kind FROM n)
+"""
+
+
+@query(_NODES + "SELECT line_no, kind, node_path FROM k WHERE kind IS NOT NULL")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.nodes(table(spark, d, "wikidata_dump")).select("line_no", "kind", "node_path")
 
 
-@query()
+@query(_NODES + "SELECT line_no, kind, node_path, array_to_string(string_split(node_path, '/')[:3], '/') AS claim_path FROM k WHERE kind = 'refsnak'")
 def p7_refsnaks_of_claims(spark: SparkSession, d: str) -> DataFrame:
     """Reference snaks with the claim that contains them, linked by intervals over two levels."""
     labelled = nested.nodes(table(spark, d, "wikidata_dump"))
-    return nested.link(nested.kind_table(labelled, "claim"), nested.kind_table(labelled, "refsnak"), "claim").select("line_no", "claim_path", "node_path", "name", "value")
+    return nested.link(nested.kind_table(labelled, "claim"), nested.kind_table(labelled, "refsnak"), "claim").select("line_no", F.lit("refsnak").alias("kind"), "node_path", "claim_path")
