@@ -226,6 +226,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("voca_idx_a"), F.col("b").alias("voca_idx_b"))
 
 
+#: all pairs, for comparison on small tables
+SQL["p1_found"] = """
+WITH v AS (SELECT voca_idx, list_transform(wvec, lambda x: x::DOUBLE) AS v FROM word_vectors WHERE len(wvec) = 100 AND len(list_filter(wvec, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT voca_idx, v, sqrt(list_inner_product(v, v)) AS n FROM v),
+w AS (SELECT voca_idx, list_transform(v, lambda x: x / n)::DOUBLE[100] AS v FROM u WHERE n > 0),
+p AS (SELECT a.voca_idx AS a, b.voca_idx AS b, array_inner_product(a.v, b.v) AS c FROM w a JOIN w b ON a.voca_idx <> b.voca_idx),
+r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM p WHERE c >= 0.7)
+SELECT DISTINCT least(a, b) AS voca_idx_a, greatest(a, b) AS voca_idx_b FROM r WHERE k <= 10 AND c >= 0.8"""
+
+
 @query
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     e = _graph(spark, d).edges()
