@@ -114,6 +114,17 @@ def test_chart_is_never_below_greedy():
         assert high >= low - 1e-12 and trees.leaves(best) == words
 
 
+def test_greedy_parse_in_context():
+    m = parser.ContextMerger.random(4, 1)
+    vs = list(np.random.default_rng(2).normal(size=(5, 4)))
+    words = list("abcde")
+    tree, score = parser.greedy_in_context(m, words, vs)
+    assert trees.leaves(tree) == words and math.isfinite(score)
+    m.v[:] = 0
+    assert parser.greedy_in_context(m, words, vs)[0] == parser.greedy(m, words, vs)[0]
+    assert parser.greedy_in_context(m, ["a"], vs[:1]) == ("a", 0.0)
+
+
 def test_gradient_against_differences_and_optimizers_climb():
     m = parser.Merger.random(3, 1)
     vs = {w: np.random.default_rng(i).normal(size=3) for i, w in enumerate("abc")}

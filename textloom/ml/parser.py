@@ -33,6 +33,37 @@ class Merger:
         return float(self.u @ phrase / np.linalg.norm(self.u))
 
 
+@dataclass
+class ContextMerger(Merger):
+    """A merger that also sees the nodes beside the pair: tanh(W [left; right] + V [before; after] + b), zeros at the edges."""
+
+    v: np.ndarray | None = None
+
+    @classmethod
+    def random(cls, dim: int, seed: int = 0) -> ContextMerger:
+        m = Merger.random(dim, seed)
+        return cls(m.w, m.b, m.u, np.random.default_rng(seed + 1).normal(0, 0.5 / np.sqrt(2 * dim), (dim, 2 * dim)))
+
+    def phrase_in(self, left: np.ndarray, right: np.ndarray, before: np.ndarray | None, after: np.ndarray | None) -> np.ndarray:
+        zero = np.zeros(len(self.b))
+        beside = np.concatenate([zero if before is None else before, zero if after is None else after])
+        return np.tanh(self.w @ np.concatenate([left, right]) + self.v @ beside + self.b)
+
+
+def greedy_in_context(m: ContextMerger, words: list[str], vectors: list[np.ndarray]) -> tuple[Tree, float]:
+    """Greedy parse in which a pair's phrase depends on its neighbours."""
+    nodes: list[tuple[Tree, np.ndarray]] = list(zip(words, vectors, strict=True))
+    total = 0.0
+    while len(nodes) > 1:
+        n = len(nodes)
+        made = [m.phrase_in(nodes[i][1], nodes[i + 1][1], nodes[i - 1][1] if i else None, nodes[i + 2][1] if i + 2 < n else None) for i in range(n - 1)]
+        scores = [m.score(p) for p in made]
+        k = int(np.argmax(scores))
+        total += scores[k]
+        nodes[k : k + 2] = [((nodes[k][0], nodes[k + 1][0]), made[k])]
+    return nodes[0][0], total
+
+
 def greedy(m: Merger, words: list[str], vectors: list[np.ndarray]) -> tuple[Tree, float]:
     """Merges the best neighbouring pair until one node is left; the score is the sum over merges."""
     nodes: list[tuple[Tree, np.ndarray]] = list(zip(words, vectors, strict=True))

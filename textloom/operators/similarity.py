@@ -86,3 +86,16 @@ def context_vectors(contexts: DataFrame, vectors: DataFrame, word: str = "word",
     counts = contexts.groupBy(word, context).agg(F.count("*").alias("c"))
     known = counts.join(vectors.select(F.col("word").alias(context), "vec"), context)
     return centroids(known, word, "vec", "c")
+
+
+def context_scores(pairs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """(key, n, score): sum of ln sigmoid(cosine) over a sentence's word-context pairs of known words; pairs count once each
+    with their number, so vectors meet pairs of words and not their occurrences."""
+    from textloom.functions import vectors as V
+
+    counts = pairs.groupBy(key, "word", "context").agg(F.count("*").alias("n"))
+    a = vectors.select("word", F.col("vec").alias("va"))
+    b = vectors.select(F.col("word").alias("context"), F.col("vec").alias("vb"))
+    distinct = counts.select("word", "context").distinct().join(a, "word").join(b, "context")
+    scored = distinct.select("word", "context", F.log(V.sigmoid(V.cosine(F.col("va"), F.col("vb")))).alias("s"))
+    return counts.join(scored, ["word", "context"]).groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("s")).alias("score"))

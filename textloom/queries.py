@@ -796,12 +796,35 @@ def parse_trees(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("sent_uid").alias("doc_id"), F.when(has, F.col("k") - 1).otherwise(F.col("m")).cast("long").alias("n_merges"), F.when(has, F.col("leaves_s")).otherwise(F.col("l")).alias("leaves"))
 
 
+_KNOWN = f"""
+c AS (SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format('row_str')}) AS word FROM ygp_rows) GROUP BY word ORDER BY n DESC, word LIMIT 500),
+known AS (SELECT word, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS vec_id FROM c) JOIN embeddings USING (vec_id))"""
+
+
+def _known_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A small known vocabulary: the most frequent words of cells, with the vectors of embeddings in order."""
+    counts = ranking.top_n(vocabulary.word_counts(table(spark, d, "ygp_rows"), "row_str"), 500, "n", "word")
+    ranks = counts.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.col("n").desc(), "word")) - 1).cast("long"))  # 500 rows
+    return ranks.join(table(spark, d, "embeddings"), "vec_id").select("word", F.col("embedding").alias("vec"))
+
+
+@query(f"""WITH {_KNOWN},
+t AS (SELECT row_uid, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM (SELECT row_uid, {_WORDS.format('row_str')} AS ws FROM ygp_rows WHERE row_str IS NOT NULL)),
+p AS (SELECT a.row_uid, a.word, b.word AS context FROM t a JOIN t b ON a.row_uid = b.row_uid AND a.pos <> b.pos AND b.pos BETWEEN a.pos - 5 AND a.pos + 5),
+s AS (SELECT row_uid, ln(1 / (1 + exp(-list_cosine_similarity(x.vec, y.vec)))) AS s FROM p JOIN known x USING (word) JOIN known y ON y.word = p.context)
+SELECT row_uid, count(*) AS n, round(sum(s), 6) AS score FROM s GROUP BY row_uid""")
+def context_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How well the words of a cell fit their contexts, within five words."""
+    cells = table(spark, d, "ygp_rows").select(F.col("row_uid").alias("sent_uid"), F.col("row_uid").alias("chunk_idx"), F.col("row_str").alias("sentence")).filter("sentence IS NOT NULL")
+    pairs = tokens.context_pairs(tokens.token_table(cells), 5)
+    s = similarity.context_scores(pairs, _known_vectors(spark, d), "sent_uid")
+    return s.select(F.col("sent_uid").alias("row_uid"), "n", F.round("score", 6).alias("score"))
+
+
 @query()
 def context_derived_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of words outside of a known vocabulary, from the vectors of their contexts in cells."""
-    counts = ranking.top_n(vocabulary.word_counts(table(spark, d, "ygp_rows"), "row_str"), 500, "n", "word")  # a small known vocabulary
-    ranks = counts.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.col("n").desc(), "word")) - 1).cast("long"))
-    known = ranks.join(table(spark, d, "embeddings"), "vec_id").select("word", F.col("embedding").alias("vec"))
+    known = _known_vectors(spark, d)
     cells = table(spark, d, "ygp_rows").select(F.col("row_uid").alias("sent_uid"), F.col("row_uid").alias("chunk_idx"), F.col("row_str").alias("sentence")).filter("sentence IS NOT NULL")
     pairs = tokens.context_pairs(tokens.token_table(cells), 10)
     unseen = pairs.join(known, "word", "left_anti")

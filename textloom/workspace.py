@@ -10,10 +10,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,15 +42,17 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _clean() -> None:
-    for spark, path in _made:
+def clean() -> None:
+    """Removes the written tables of this driver; DataFrames that read them can't be used any more."""
+    while _made:
+        spark, path = _made.pop()
         try:
             remove(spark, path)
         except Exception:  # the session may be gone already
             pass
 
 
-atexit.register(_clean)
+atexit.register(clean)
 
 
 def materialise(df: DataFrame, name: str, **options: object) -> DataFrame:
@@ -56,7 +60,16 @@ def materialise(df: DataFrame, name: str, **options: object) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table behind a DataFrame of ``materialise`` that no plan needs any more."""
+    path = _paths.pop(df, None)
+    if path:
+        remove(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
