@@ -37,6 +37,17 @@ def cluster_by_group(df: DataFrame, path: str, row_group_bytes: int = 1 << 20) -
     )
 
 
+def _open(uri: str):  # noqa: ANN202
+    """An Arrow input file of a Hadoop-style URI, on whatever file system the shared folder is."""
+    from pyarrow import fs
+
+    for hadoop, arrow in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        if uri.startswith(hadoop):
+            uri = arrow + uri[len(hadoop) :]
+    where, name = fs.FileSystem.from_uri(uri)
+    return where.open_input_file(name)
+
+
 def row_group_index(spark: SparkSession, path: str) -> DataFrame:
     """(path, rg, n_rows, lo, hi, top) of every row group, read from the footers by the executors."""
     files = spark.read.parquet(path).inputFiles()
@@ -44,13 +55,11 @@ def row_group_index(spark: SparkSession, path: str) -> DataFrame:
 
     def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
-        from pyarrow import fs
 
         for pdf in batches:
             out = []
             for uri in pdf.path:
-                where, name = fs.FileSystem.from_uri(uri)
-                with where.open_input_file(name) as f:
+                with _open(uri) as f:
                     meta = pq.ParquetFile(f).metadata
                 cols = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
                 for k in range(meta.num_row_groups):
@@ -69,12 +78,10 @@ def _read_row_groups(chosen: DataFrame, schema: str, n: int, tasks: int) -> Data
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
-        from pyarrow import fs
 
         for pdf in batches:
             for uri, mine in pdf.groupby("path", sort=False):
-                where, name = fs.FileSystem.from_uri(uri)
-                with where.open_input_file(name) as f:
+                with _open(uri) as f:
                     pf = pq.ParquetFile(f)
                     for rg in mine.rg:
                         rows = pf.read_row_group(rg, columns=["grp", "item", "score"], use_threads=False).to_pandas()
