@@ -416,13 +416,12 @@ def _with_copies(graph: Graph, pairs: DataFrame, k: int) -> DataFrame:
     return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 12, steps: int = 2, starts: int = 12, homes: int = 2, reach: float = 0.2) -> DataFrame:
+def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 96, steps: int = 4, starts: int = 64, homes: int = 2) -> DataFrame:
     """(query, id, sim, rank): the k most similar nodes of every query (query, vec) by greedy search on the graph.
 
     A query enters at the nearest members of the cells of its nearest landmarks, found by one matrix product per cell, and in
-    each step expands its ``beam`` best nodes to their neighbours.  All queries walk together: a step joins their frontiers
-    with edges and vectors.  A neighbour is visited if, from the similarities of query to node and node to neighbour, it can
-    be expected to enter the beam (``reach`` as in the descent).
+    each step expands its ``beam`` best nodes to their neighbours, along edges of both directions.  All queries walk together: a
+    step joins their frontiers with edges and vectors.
     """
     dim, cells = graph.dim, graph.cells
     q = workspace.materialise(queries.select("query", "vec"), "queries")
@@ -469,6 +468,9 @@ def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 12,
     keep = Window.partitionBy("query").orderBy(F.col("sim").desc(), "node")
     node_vec = graph.nodes.select(F.col("id").alias("node"), F.col("vec").alias("node_vec"))
     width = max(beam, k)
+    e = graph.edges().select("src", F.col("dst").alias("node"))
+    # both directions of every edge: a node that is nobody's neighbour can still be reached
+    ways = workspace.materialise(e.unionByName(e.select(F.col("node").alias("src"), F.col("src").alias("node"))).distinct(), "ways")
     for step in range(steps + 1):
         met = met.groupBy("query", "node").agg(F.max("sim").alias("sim")).withColumn("open", F.lit(1))
         pool = met if best is None else met.unionByName(best)
@@ -479,11 +481,8 @@ def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 12,
         written = best
         if step == steps:
             break
-        worst = best.groupBy("query").agg(F.when(F.count("*") >= width, F.min("sim")).otherwise(F.lit(-1.0)).alias("worst"))
-        expand = best.filter("open = 1").select("query", F.col("node").alias("src"), F.col("sim").alias("s")).join(worst, "query")
-        e = graph.edges().select("src", "dst", F.col("sim").alias("e"))
-        hope = F.col("s") * F.col("e") + reach * F.sqrt((1 - F.col("s") * F.col("s")) * (1 - F.col("e") * F.col("e")))
-        frontier = expand.join(e, "src").filter(F.isnan(hope) | (hope >= F.col("worst"))).select("query", F.col("dst").alias("node")).distinct()
+        expand = best.filter("open = 1").select("query", F.col("node").alias("src"))
+        frontier = expand.join(ways, "src").select("query", "node").distinct()
         frontier = frontier.join(best.select("query", "node"), ["query", "node"], "left_anti")
         met = frontier.join(node_vec, "node").join(q, "query").select("query", "node", "node_vec", "vec").mapInArrow(measure, found)
         best = best.withColumn("open", F.lit(0)).drop("rank")
