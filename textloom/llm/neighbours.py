@@ -416,6 +416,28 @@ def _with_copies(graph: Graph, pairs: DataFrame, k: int) -> DataFrame:
     return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
+def rows_of_copies(graph: Graph, e: DataFrame, k: int) -> DataFrame:
+    """(src, dst, sim) of all vectors, at most k a source, from those of representatives; copies are the nearest of each other.
+
+    Of many copies the smaller ids are neighbours.
+    """
+    if graph.nodes is graph.packed:
+        return e
+    groups = graph.packed.groupBy("copy").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("n"))
+    every = graph.packed.select("copy", "id").distinct().join(groups, "copy").select("rep", "id", "n")
+    firsts = _members(graph, k + 1).select("rep", F.col("id").alias("other"), "place")
+    among = every.filter("n > 1").join(firsts, "rep").filter(F.col("id") != F.col("other"))
+    own = F.when(F.col("id") <= F.col("other"), F.col("place") - 1).otherwise(F.col("place"))
+    among = among.filter(own <= k).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.lit(1.0).cast("float").alias("sim"))
+    others = firsts.select("rep", "other").unionByName(every.filter("n = 1").select("rep", F.col("id").alias("other")))
+    room = every.filter("id = rep").select(F.col("rep").alias("src"), "n")
+    w = Window.partitionBy("src").orderBy(F.col("sim").desc(), "other")
+    across = e.join(others.withColumnRenamed("rep", "dst"), "dst").join(room, "src").withColumn("place", F.row_number().over(w))
+    across = across.filter(F.col("place") <= k - (F.col("n") - 1)).select(F.col("src").alias("rep"), F.col("other").alias("dst"), "sim")
+    across = across.join(every.select("rep", F.col("id").alias("src")), "rep").select("src", "dst", "sim")
+    return among.unionByName(across)
+
+
 def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 96, steps: int = 4, starts: int = 64, homes: int = 2) -> DataFrame:
     """(query, id, sim, rank): the k most similar nodes of every query (query, vec) by greedy search on the graph.
 

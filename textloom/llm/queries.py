@@ -238,7 +238,8 @@ SELECT DISTINCT least(a, b) AS voca_idx_a, greatest(a, b) AS voca_idx_b FROM r W
 
 @query
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    e = _graph(spark, d).edges()
+    g = _graph(spark, d)
+    e = neighbours.rows_of_copies(g, g.edges(), 10)
     return e.select(F.col("src").alias("voca_idx"), F.col("dst").alias("similar_voca_idx"), F.round(F.col("sim").cast("double"), 2).alias("cosine"))
 
 
@@ -246,6 +247,9 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def p1_search(spark: SparkSession, d: str) -> DataFrame:
     """Every vector whose voca_idx is divisible by 20 as a query against all rows, by greedy search on the graph."""
     g = _graph(spark, d)
-    asked = g.nodes.filter(F.col("id") % 20 == 0).select(F.col("id").alias("query"), "vec")
-    found = neighbours.greedy_search(g, asked, k=11).filter(F.col("query") != F.col("id"))
-    return found.select(F.col("query").alias("voca_idx"), F.col("id").alias("similar_voca_idx"), F.round(F.col("sim").cast("double"), 2).alias("cosine"))
+    asked = g.nodes.filter(F.col("id") % 20 == 0)
+    if g.nodes is not g.packed:  # a representative is asked for all of its copies
+        asked = g.nodes.join(g.packed.filter(F.col("id") % 20 == 0).select("copy").distinct(), "copy", "left_semi")
+    found = neighbours.greedy_search(g, asked.select(F.col("id").alias("query"), "vec"), k=11).filter(F.col("query") != F.col("id"))
+    found = neighbours.rows_of_copies(g, found.select(F.col("query").alias("src"), F.col("id").alias("dst"), "sim"), 10).filter(F.col("src") % 20 == 0)
+    return found.select(F.col("src").alias("voca_idx"), F.col("dst").alias("similar_voca_idx"), F.round(F.col("sim").cast("double"), 2).alias("cosine"))
