@@ -329,9 +329,9 @@ hits AS (SELECT qh.q, qh.q_pos, p.sent_uid, max(qh.score * s.similarity * (1 + q
 
 
 def _query_words(spark: SparkSession, d: str, t: DataFrame, imp: DataFrame) -> DataFrame:
-    """Words of the first sentences of the asked documents with their importances and heads."""
+    """Words of all sentences of the asked documents with their importances and heads."""
     asked = _docs(spark, d).filter("source = 'query.log'").select(F.col("doc_id").alias("chunk_idx"))
-    q = t.join(asked, "chunk_idx", "left_semi").filter(F.col("sent_uid") == F.col("chunk_idx") * tokens.SENTENCES_PER_CHUNK)
+    q = t.join(asked, "chunk_idx", "left_semi")
     q = vocabulary.with_default(q, imp, "word", "score", 0.0)
     heads = imp.select(F.col("word").alias("head_word"), F.col("score").alias("head_score"))
     q = q.join(heads, "head_word", "left").withColumn("head_score", F.coalesce("head_score", F.lit(0.0)))
