@@ -17,3 +17,10 @@ def test_every_sentence_of_an_asked_text_is_a_query(spark, tmp_path):
     docs += [(9, "red cat runs. blue dog sleeps.", "query.log")]
     got = run(spark, "similar_sentences", tmp_path, documents=(docs, DOCS))
     assert {r.q for r in got} == {9 * tokens.SENTENCES_PER_CHUNK, 9 * tokens.SENTENCES_PER_CHUNK + 1}
+
+
+def test_documents_of_all_sources_are_asked(spark, tmp_path):
+    docs = [(i, f"shared{i % 3} text{i % 2} other{i}", "wiki.intro" if i % 7 == 0 else "news") for i in range(1, 61)]
+    got = run(spark, "similar_documents", tmp_path, documents=(docs, DOCS))
+    assert {r["query"] for r in got} == {20, 40, 60}
+    assert all(r.doc_id != r["query"] and r["rank"] <= 5 for r in got)

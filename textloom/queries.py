@@ -734,10 +734,10 @@ u AS (SELECT doc_id, word, w / norm AS u FROM w JOIN m USING (doc_id) WHERE norm
 s AS (SELECT a.doc_id AS query, b.doc_id, round(sum(a.u * b.u), 6) AS sim FROM u a JOIN u b USING (word) JOIN documents d ON d.doc_id = a.doc_id AND d.source = 'wiki.intro' WHERE a.doc_id <> b.doc_id GROUP BY ALL)
 SELECT query, doc_id, sim, row_number() OVER (PARTITION BY query ORDER BY sim DESC, doc_id) AS rank FROM s QUALIFY rank <= 5""")
 def similar_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of one source as queries against all documents."""
+    """Documents whose doc_id is divisible by 20 as queries against all documents."""
     docs = _docs(spark, d).filter("text IS NOT NULL")
     w = weighting.tfidf(docs.select("doc_id", X.words(F.lower("text")).alias("words")), "doc_id", "words").select("doc_id", "word", F.col("tfidf").alias("w"))
-    found = weighting.document_similarity(w, docs.filter("source = 'wiki.intro'"), "doc_id", 5)
+    found = weighting.document_similarity(w, docs.filter("doc_id % 20 = 0"), "doc_id", 5)
     return found.select("query", "doc_id", "sim", F.col("rank").cast("long").alias("rank"))
 
 
