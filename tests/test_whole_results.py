@@ -24,3 +24,10 @@ def test_documents_of_all_sources_are_asked(spark, tmp_path):
     got = run(spark, "similar_documents", tmp_path, documents=(docs, DOCS))
     assert {r["query"] for r in got} == {20, 40, 60}
     assert all(r.doc_id != r["query"] and r["rank"] <= 5 for r in got)
+
+
+def test_long_sentences_have_phrases(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(150))
+    got = run(spark, "phrases", tmp_path, documents=([(1, text, "news"), (2, "short text. next one.", "news")], DOCS))
+    words = [w for r in got if r.sent_uid == tokens.SENTENCES_PER_CHUNK for w in r.phrase.split()]
+    assert sorted(words) == sorted(text.split())

@@ -91,8 +91,8 @@ def fragilities(trees: DataFrame) -> DataFrame:
     return trees.select("sent_uid", "heads", "weights").mapInPandas(run, "sent_uid long, pos int, subtree double, fragility double")
 
 
-def segment(trees: DataFrame, cutoff: float, longest: int = 100) -> DataFrame:
-    """(sent_uid, phrase_no, positions, ws, score) of the sentences of at most ``longest`` tokens."""
+def segment(trees: DataFrame, cutoff: float, longest: int | None = None) -> DataFrame:
+    """(sent_uid, phrase_no, positions, ws, score) of all sentences, or of those of at most ``longest`` tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -102,7 +102,9 @@ def segment(trees: DataFrame, cutoff: float, longest: int = 100) -> DataFrame:
                     rows.append((s, k, p, [ws[i] for i in p], float(sum(w[i] for i in p))))
             yield pd.DataFrame(rows, columns=["sent_uid", "phrase_no", "positions", "ws", "score"])
 
-    return trees.filter(F.size("ws") <= longest).mapInPandas(run, "sent_uid long, phrase_no int, positions array<int>, ws array<string>, score double")
+    if longest is not None:
+        trees = trees.filter(F.size("ws") <= longest)
+    return trees.mapInPandas(run, "sent_uid long, phrase_no int, positions array<int>, ws array<string>, score double")
 
 
 def suggest(phrase_rows: DataFrame, ideas: DataFrame, most: int = 21) -> DataFrame:

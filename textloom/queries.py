@@ -688,7 +688,7 @@ def phrase_suggestions(spark: SparkSession, d: str) -> DataFrame:
     imp = _importance(spark, d)
     t = _tokens(spark, d)
     ideas = _query_words(spark, d, t, imp).filter(F.col("score") >= importance.NOISY_BELOW).select("word").distinct()
-    return depgraph.suggest(depgraph.segment(_trees(spark, d), 0.5), ideas)
+    return depgraph.suggest(depgraph.segment(_trees(spark, d), 0.5, longest=100), ideas)
 
 
 @query(f"""WITH {_TOKENS}, {_PAIRS}, {_SEARCH}, total AS (SELECT q, sent_uid, round(sum(score), 6) AS score FROM hits GROUP BY ALL HAVING round(sum(score), 6) > 0),
