@@ -31,3 +31,10 @@ def test_long_sentences_have_phrases(spark, tmp_path):
     got = run(spark, "phrases", tmp_path, documents=([(1, text, "news"), (2, "short text. next one.", "news")], DOCS))
     words = [w for r in got if r.sent_uid == tokens.SENTENCES_PER_CHUNK for w in r.phrase.split()]
     assert sorted(words) == sorted(text.split())
+
+
+def test_every_ranked_word_with_a_vector_is_known(spark, tmp_path):
+    cells = [(i, f"w{i} w{i + 1}") for i in range(0, 1200, 2)]
+    vectors = [(i, [1.0, float(i % 5)]) for i in range(1200)]
+    got = run(spark, "context_scores", tmp_path, ygp_rows=(cells, "row_uid long, row_str string"), embeddings=(vectors, "vec_id long, embedding array<float>"))
+    assert len(got) == 600 and {r.n for r in got} == {2}

@@ -802,9 +802,10 @@ known AS (SELECT word, list_transform(embedding, lambda x: x::DOUBLE) AS vec FRO
 
 
 def _known_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """A small known vocabulary: the most frequent words of cells, with the vectors of embeddings in order."""
-    counts = ranking.top_n(vocabulary.word_counts(table(spark, d, "ygp_rows"), "row_str"), 500, "n", "word")
-    ranks = counts.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.col("n").desc(), "word")) - 1).cast("long"))  # 500 rows
+    """The known vocabulary: the most frequent words of cells, as many as embeddings has vectors, in order."""
+    vectors = (table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+    counts = ranking.top_n(vocabulary.word_counts(table(spark, d, "ygp_rows"), "row_str"), vectors, "n", "word")
+    ranks = counts.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.col("n").desc(), "word")) - 1).cast("long"))  # a row per vector
     return ranks.join(table(spark, d, "embeddings"), "vec_id").select("word", F.col("embedding").alias("vec"))
 
 
