@@ -38,3 +38,20 @@ def test_every_ranked_word_with_a_vector_is_known(spark, tmp_path):
     vectors = [(i, [1.0, float(i % 5)]) for i in range(1200)]
     got = run(spark, "context_scores", tmp_path, ygp_rows=(cells, "row_uid long, row_str string"), embeddings=(vectors, "vec_id long, embedding array<float>"))
     assert len(got) == 600 and {r.n for r in got} == {2}
+
+
+def test_rare_contexts_are_counted(spark, tmp_path):
+    got = run(spark, "context_counts", tmp_path, documents=([(1, "red cat", "news")], DOCS))
+    assert {tuple(r) for r in got} == {("red", "cat", 1), ("cat", "red", 1)}
+
+
+def test_all_valid_matches_are_joined(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    scores = [(1, 0.5), (2, 3.5), (3, 0.0), (4, -1.0), (5, nan), (6, inf), (7, None)]
+    got = run(
+        spark, "results_with_rows", tmp_path,
+        ask_results=([(1, i, 9, s, None) for i, s in scores], "input_uid long, result_sent_uid long, result_row_uid long, score double, result_sent_country string"),
+        ygp_rows=([(9, 3, "abc")], "row_uid long, col_uid long, row_str string"),
+        column_catalog=([(3, "t")], "col_uid long, table_name string"),
+    )
+    assert {r.result_sent_uid for r in got} == {1, 2}

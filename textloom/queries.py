@@ -211,7 +211,7 @@ def bigram_count(spark: SparkSession, d: str) -> DataFrame:
 ON a.sent_uid = b.sent_uid AND a.pos <> b.pos AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 GROUP BY ALL HAVING count(*) >= 20""")
 def context_counts(spark: SparkSession, d: str) -> DataFrame:
     pairs = tokens.context_pairs(_tokens(spark, d), 2)
-    return pairs.groupBy("word", "context").agg(F.count("*").alias("n")).filter("n >= 20")
+    return pairs.groupBy("word", "context").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_TOKENS} SELECT word, lower(word) AS low, length(word) AS n_chars, word[2:3] AS part, upper(word) AS up, list_aggregate(list_sort(string_split(word, '')), 'string_agg', '') AS bag
@@ -652,7 +652,7 @@ def rows_with_columns(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT input_uid, result_sent_uid, result_row_uid, max(result_sent_country) AS result_sent_country FROM ask_results WHERE score >= 3 AND isfinite(score) GROUP BY ALL) a
 JOIN ygp_rows y ON a.result_row_uid = y.row_uid LEFT JOIN column_catalog c USING (col_uid)""")
 def results_with_rows(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "ask_results").filter("score >= 3 AND NOT isnan(score) AND score < double('Infinity')")
+    a = table(spark, d, "ask_results").filter("score > 0 AND NOT isnan(score) AND score < double('Infinity')")
     a = a.groupBy("input_uid", "result_sent_uid", "result_row_uid").agg(F.max("result_sent_country").alias("c"))
     y = table(spark, d, "ygp_rows").select(F.col("row_uid").alias("result_row_uid"), "col_uid", F.length("row_str").cast("long").alias("n_chars"))
     c = F.broadcast(table(spark, d, "column_catalog").select("col_uid", "table_name"))  # 11 rows
