@@ -7,7 +7,7 @@ def test_search_finds_nine_tenths_of_the_ten_nearest(spark):
     """Of vectors without any clusters: their ten nearest are hardly nearer than others."""
     x = np.random.default_rng(8).normal(size=(4000, 100)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<float>")
-    graph = neighbours.nn_descent(df, "k", "v", k=10)
+    graph = neighbours.nn_descent(df, "k", "v", k=10, cell_rows=400)
     q = graph.nodes.filter("id % 20 = 0").selectExpr("id as query", "vec")
     rows = neighbours.greedy_search(graph, q, k=11).filter("query <> id").collect()
     assert all(r["rank"] <= 11 for r in rows)
