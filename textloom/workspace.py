@@ -75,3 +75,15 @@ def discard(df: DataFrame) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the project's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop what no DataFrame refers to any more, so that shuffle files of finished steps are removed.
+
+    Spark removes them when the driver's JVM happens to collect its garbage; an iterative job on a large heap would keep
+    the files of all of its rounds.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
