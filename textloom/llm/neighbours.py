@@ -3,15 +3,18 @@
 * Vectors are normalised and kept as 100 signed bytes each (an error of about 0.001 in the cosine), so joins move a
   quarter of the floats.  Exact copies are represented by the one of smallest id.
 * *Start.* Landmarks are drawn from a bounded sample; every vector goes to the cells of its ``probes`` nearest landmarks,
-  and each cell, of bounded size, gives its members' first neighbours by blocked matrix products.  Cells that the sample
-  shows to be crowded are split by further hyperplanes, so a dense region does not fall on one task.
-* *Descent.* In every round, each node's neighbours, forward and reverse, are joined at the node (ids first, then vectors) and
-  compared with each other; closer ones replace farther ones in the lists.  An edge takes part while the neighbours of a
-  neighbour so close can be expected to beat the node's worst neighbour: s^2 + reach * (1 - s^2) is what a random vector at
-  the same two angles has at about two standard deviations.  Lists of popular nodes are compared in random blocks that
-  change with the round.  The rounds end when few lists changed.
-* *Search.* Queries start at the nearest members of the cells of their nearest landmarks and walk to the neighbours of their
-  best nodes.
+  and each cell gives its members' first lists by blocked matrix products.  Cells that the sample shows to be crowded are
+  split by further hyperplanes, and a cell that is still larger is worked off in runs of bounded length.
+* *Descent.* Lists hold ``width`` neighbours, more than the k that are asked for.  In every round each node gathers a
+  sample of its new and of its old neighbours, forward and reverse; new ones are compared with each other and with the
+  old, and whatever is closer than the last of a list enters that list as new.  Samples are drawn by a hash that changes
+  with the round, so a popular node meets other visitors every time.  Rounds end when few lists change.
+* The nodes are hashed to blocks; a step of a round is a join of tables by block: edges to the blocks of their ends,
+  requests for vectors to the blocks that have them, vectors to the blocks that compare them (each once for a block, not
+  for each visit), closer neighbours to the blocks of the lists.  A round runs in ``waves`` over the comparing blocks, so
+  that only a part of its vectors is on the way at a time.
+* *Search.* All queries walk the graph together, along edges of both directions, from the nearest of a bounded sample of
+  nodes, until none of them has an open node among its ``beam`` best.
 
 Defined cases: vectors that are null, of another length, with nulls, not finite or all zero are no nodes; equal
 similarities go to the smaller id; a vector has its copies as neighbours first; fewer than two vectors give no pairs;
@@ -21,7 +24,7 @@ repeated ids keep one vector; words and further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom import workspace
+from textloom.llm import blocks
+from textloom.llm.blocks import Inbox, Row
 
-LISTS = "id long, nbrs binary, sims binary, updates int"
-
+#: kinds of messages
+RAW, NODE, LIST, CANDIDATE, EDGE, VISIT, NEED, LAST, VECTOR, LINK, STATE, ASK, ANSWER = range(13)
+#: flags of list entries: joined before, new, new and drawn for the coming round
+OLD, NEW, DRAWN = 0, 1, 3
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int, dtype: type = np.int8) -> np.ndarray:
     """The rows of a binary column of equal widths, without a copy per row."""
@@ -52,24 +59,6 @@ def _binary(rows: np.ndarray) -> pa.Array:
     offsets = pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32))
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows)])
 
-
-def _lists_binary(counts: np.ndarray, flat: np.ndarray) -> pa.Array:
-    """A binary column of ragged rows: counts[i] items of flat each."""
-    ends = np.zeros(len(counts) + 1, np.int32)
-    np.cumsum(counts * flat.itemsize, out=ends[1:])
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
-
-
-def _ragged(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, items) of a binary column of ragged rows."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if len(column) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, dtype)
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return np.diff(offsets) // np.dtype(dtype).itemsize, data.view(dtype)
-
-
 def pack_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     """(id, vec, copy): the valid vectors, normalised to signed bytes; copy is a hash of the exact vector."""
 
@@ -104,7 +93,6 @@ def _unit(q: np.ndarray) -> np.ndarray:
     x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
     return x
 
-
 class Cells:
     """Landmarks, and for the crowded cells further hyperplanes."""
 
@@ -141,156 +129,358 @@ class Cells:
         return cells
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
-    """Tables that hold whole groups of equal keys, from batches sorted by the key column."""
-    kept: list[pa.RecordBatch] = []
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        k = b.column(key).to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(k, k[-1]))
-        if last > 0 or (kept and kept[-1].column(key)[-1].as_py() != k[0]):
-            if last > 0:
-                kept.append(b.slice(0, last))
-            if kept:
-                yield pa.Table.from_batches(kept)
-            kept = [b.slice(last)]
-        else:
-            kept.append(b)
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
-def _top(rows: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, fresh: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per row the k most similar distinct neighbours; equal similarities go to the smaller id."""
-    order = np.lexsort((fresh, nbrs, rows))
-    rows, nbrs, sims, fresh = rows[order], nbrs[order], sims[order], fresh[order]
-    first = np.ones(len(rows), bool)
-    first[1:] = (rows[1:] != rows[:-1]) | (nbrs[1:] != nbrs[:-1])
-    rows, nbrs, sims, fresh = rows[first], nbrs[first], sims[first], fresh[first]
-    order = np.lexsort((nbrs, -sims, rows))
-    rows, nbrs, sims, fresh = rows[order], nbrs[order], sims[order], fresh[order]
-    begin = np.ones(len(rows), bool)
-    begin[1:] = rows[1:] != rows[:-1]
-    start = np.maximum.accumulate(np.where(begin, np.arange(len(rows)), 0))
-    keep = np.arange(len(rows)) - start < k
-    return rows[keep], nbrs[keep], sims[keep], fresh[keep]
-
-
-def _cell_lists(packed: DataFrame, cells: Cells, dim: int, k: int, block: int = 1024) -> DataFrame:
-    """The k nearest members of each of its cells for every vector (id, nbrs, sims)."""
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            q = _matrix(b.column(1), dim)
-            c = cells.of(_unit(q)) if len(q) else np.zeros((0, 1), np.int64)
-            n = c.shape[1]
-            rows = np.repeat(np.arange(len(q)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(c.ravel()), b.column(0).take(pa.array(rows)), _binary(q[rows])], ["cell", "id", "vec"])
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
-            cell = t.column(0).to_numpy()
-            ids, x = t.column(1).to_numpy(), _unit(_matrix(t.column(2), dim))
-            cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
-            for b, e in zip(cuts[:-1], cuts[1:], strict=True):
-                m, own = x[b:e], ids[b:e]
-                take = min(k, e - b - 1)
-                if take < 1:
-                    continue
-                for at in range(0, e - b, block):
-                    g = m[at : at + block] @ m.T
-                    g[np.arange(len(g)), np.arange(at, at + len(g))] = -2
-                    near = np.argpartition(g, g.shape[1] - take, axis=1)[:, -take:]
-                    sims = np.take_along_axis(g, near, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[at : at + block]), _binary(own[near]), _binary(sims)], ["id", "nbrs", "sims"])
-
-    spread = packed.select("id", "vec").mapInArrow(assign, "cell long, id long, vec binary")
-    return spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(inside, "id long, nbrs binary, sims binary")
+def _mix(*parts: np.ndarray | int) -> np.ndarray:
+    """A hash of 32 bits of the parts together."""
+    h = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            h = (h ^ np.asarray(p).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = h ^ (h >> np.uint64(29))
+    return (h >> np.uint64(32)).astype(np.int64)
+
+
+def _places(group: np.ndarray) -> np.ndarray:
+    """The place of each item within its group; equal groups stand together."""
+    if not len(group):
+        return np.zeros(0, np.int64)
+    begin = np.r_[True, group[1:] != group[:-1]]
+    at = np.arange(len(group))
+    return at - np.maximum.accumulate(np.where(begin, at, 0))
+
+
+def _table(group: np.ndarray, item: np.ndarray, priority: np.ndarray, n_groups: int, most: int) -> np.ndarray:
+    """(n_groups, most): the items of smallest priority of each group, -1 where there are no more."""
+    order = np.argsort((group.astype(np.int64) << 32) | priority)
+    group, item = group[order], item[order]
+    place = _places(group)
+    keep = place < most
+    out = np.full((n_groups, most), -1, item.dtype)
+    out[group[keep], place[keep]] = item[keep]
+    return out
+
+
+def _drawn(gids: np.ndarray, nbrs: np.ndarray, flags: np.ndarray, flag: int, turn: int, most: int) -> np.ndarray:
+    """(nodes, most) places in the lists of entries with the flag, drawn by a hash; -1 where there are no more."""
+    h = np.where((flags == flag) & (nbrs >= 0), _mix(gids[:, None], nbrs, turn), 1 << 40)
+    places = np.argsort(h, axis=1)[:, :most]
+    return np.where(np.take_along_axis(h, places, 1) < 1 << 40, places, -1)
+
+
+class Shape:
+    """What all steps of a descent have to know."""
+
+    def __init__(self, dim: int, n: int, n_blocks: int, width: int, sample: int):
+        self.dim, self.n_blocks, self.width, self.sample = dim, n_blocks, width, sample
+        self.gid = np.int32 if n * 2 < 2**31 else np.int64  # numbers of nodes: block + n_blocks * place within the block
+
+    def list_rows(self, inbox: Inbox, kind: int = LIST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        w = self.width
+        got = inbox.get(kind, (self.gid, 0), (self.gid, w), (np.float32, w), (np.int8, w), (np.int64, 0))
+        order = np.argsort(got[0])
+        return tuple(x[order] for x in got)
+
+    def lists(self, block: int, gids: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, flags: np.ndarray, ids: np.ndarray, fresh: int, rows: int = 8192) -> Iterator[Row]:
+        for at in range(0, len(gids), rows):
+            part = slice(at, at + rows)
+            yield blocks.pack(block, LIST, 0 if at else fresh, gids[part], nbrs[part], sims[part], flags[part], ids[part])
+
+
+def _numbered(nodes: DataFrame, dim: int, n_blocks: int) -> DataFrame:
+    """The nodes (id, vec) hashed to blocks and numbered there: messages NODE of gids, ids, bytes and inverse norms."""
+
+    def scatter(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            yield from blocks.batches(blocks.send(RAW, _mix(ids) % n_blocks, ids, _matrix(b.column(1), dim)))
+
+    def number(inbox: Inbox) -> Iterator[Row]:
+        ids, vec = inbox.get(RAW, (np.int64, 0), (np.int8, dim))
+        order = np.argsort(ids)
+        ids, vec = ids[order], vec[order]
+        gids = inbox.block + n_blocks * np.arange(len(ids), dtype=np.int64)
+        inverse = 1 / np.sqrt(np.einsum("ij,ij->i", vec, vec, dtype=np.float32))
+        for at in range(0, len(ids), 8192):
+            part = slice(at, at + 8192)
+            yield blocks.pack(inbox.block, NODE, 0, gids[part], ids[part], vec[part], inverse[part].astype(np.float32))
+
+    return blocks.at_blocks([nodes.select("id", "vec").mapInArrow(scatter, blocks.MESSAGE)], n_blocks, number)
+
+
+def _cell_candidates(nodes: DataFrame, cells: Cells, shape: Shape, longest: int) -> DataFrame:
+    """The nearest members of each of its cells for every node, as messages CANDIDATE to the blocks of the lists."""
+    dim, width, gid = shape.dim, shape.width, shape.gid
+
+    def assign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for g, v in zip(b.column("a"), b.column("c"), strict=True):
+                gids, q = np.frombuffer(g.as_buffer(), np.int64), np.frombuffer(v.as_buffer(), np.int8).reshape(-1, dim)
+                c = cells.of(_unit(q))
+                row = np.repeat(np.arange(len(q)), c.shape[1])
+                cell = c.ravel()
+                order = np.argsort(cell, kind="stable")
+                cell, row = cell[order], row[order]
+                cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+                names, members, vectors = [], [], []
+                for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                    for at in range(s, e, longest):
+                        part = row[at : min(e, at + longest)]
+                        names.append(int(cell[s]))
+                        members.append(gids[part].astype(gid).tobytes())
+                        vectors.append(q[part].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(members, pa.binary()), pa.array(vectors, pa.binary())], ["cell", "a", "c"])
+
+    def runs(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Members of a cell; of a cell beyond the longest run, in parts."""
+        last, members, vectors, size = None, [], [], 0
+        for b in rows:
+            for cell, g, v in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if size and (cell != last or size + len(g.as_buffer()) // np.dtype(gid).itemsize > longest):
+                    yield np.concatenate(members), np.concatenate(vectors)
+                    members, vectors, size = [], [], 0
+                last = cell
+                members.append(np.frombuffer(g.as_py(), gid))
+                vectors.append(np.frombuffer(v.as_py(), np.int8).reshape(-1, dim))
+                size += len(members[-1])
+        if size:
+            yield np.concatenate(members), np.concatenate(vectors)
+
+    def inside(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list) -> Iterator[pa.RecordBatch]:
+            t, c, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from blocks.batches(blocks.send(CANDIDATE, t % shape.n_blocks, t, c, s))
+
+        held, size = [], 0
+        for own, q in runs(rows):
+            m = _unit(q)
+            take = min(width, len(m) - 1)
+            for at in range(0, len(m) if take > 0 else 0, 1024):
+                g = m[at : at + 1024] @ m.T
+                g[np.arange(len(g)), np.arange(at, at + len(g))] = -2
+                near = np.argpartition(g, g.shape[1] - take, axis=1)[:, -take:]
+                held.append((np.repeat(own[at : at + 1024], take), own[near].ravel(), np.take_along_axis(g, near, 1).ravel()))
+                size += near.size
+            if size > 1_000_000:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    spread = nodes.select("a", "c").mapInArrow(assign, "cell long, a binary, c binary")
+    return spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(inside, blocks.MESSAGE)
+
+
+def _merged(shape: Shape, turn: int, closing: bool) -> Callable[[Inbox], Iterator[Row]]:
+    """Takes candidates into the lists of a block.  closing: the round ends, entries are drawn for the next one."""
+    w, nb = shape.width, shape.n_blocks
+
+    def run(inbox: Inbox) -> Iterator[Row]:
+        gids, nbrs, sims, flags, ids = shape.list_rows(inbox)
+        if not len(gids):  # the first time: lists are empty
+            g, ids = inbox.get(NODE, (np.int64, 0), (np.int64, 0))
+            order = np.argsort(g)
+            gids, ids = g[order].astype(shape.gid), ids[order]
+            nbrs, sims, flags = np.full((len(gids), w), -1, shape.gid), np.full((len(gids), w), -2, np.float32), np.zeros((len(gids), w), np.int8)
+        t, c, s = inbox.get(CANDIDATE, (shape.gid, 0), (shape.gid, 0), (np.float32, 0))
+        fresh = 0
+        if len(t):
+            # copies of a candidate, and entries that the list has already, are the same number
+            row = (t // nb).astype(np.int64)
+            touched = np.unique(row)
+            has = nbrs[touched] >= 0
+            r = np.r_[np.repeat(touched, w).reshape(-1, w)[has], row]
+            n = np.r_[nbrs[touched][has].astype(np.int64), c.astype(np.int64)]
+            v = np.r_[sims[touched][has], s]
+            f = np.r_[flags[touched][has], np.full(len(c), -1, np.int8)]
+            order = np.argsort(((r << 46 | n) << 1) | (f < 0))
+            r, n, v, f = r[order], n[order], v[order], f[order]
+            first = np.r_[True, (r[1:] != r[:-1]) | (n[1:] != n[:-1])]
+            r, n, v, f = r[first], n[first], v[first], f[first]
+            order = np.argsort(r << 32 | ((1.001 - v.astype(np.float64)) * 2**30).astype(np.int64), kind="stable")
+            r, n, v, f = r[order], n[order], v[order], f[order]
+            place = _places(r)
+            keep = place < w
+            r, n, v, f, place = r[keep], n[keep], v[keep], f[keep], place[keep]
+            fresh = int((f < 0).sum())
+            nbrs[touched], sims[touched], flags[touched] = -1, -2, OLD
+            nbrs[r, place], sims[r, place], flags[r, place] = n, v, np.where(f < 0, NEW, f)
+        if closing:
+            flags[flags == DRAWN] = OLD
+            p = _drawn(gids, nbrs, flags, NEW, turn + 1, shape.sample)
+            at = np.nonzero(p >= 0)
+            flags[at[0], p[at]] = DRAWN
+        yield from shape.lists(inbox.block, gids, nbrs, sims, flags, ids, fresh)
+
+    return run
+
+
+def _sent_edges(shape: Shape, turn: int, wave: int, waves: int) -> Callable[[int, int, list], Iterator[Row]]:
+    """Drawn edges to the blocks of their ends, as far as these take part in the wave, and the lists of such blocks."""
+    w, s, nb, gid = shape.width, shape.sample, shape.n_blocks, shape.gid
+
+    def run(block: int, kind: int, x: list) -> Iterator[Row]:
+        gids, nbrs, flags = np.frombuffer(x[0], gid), np.frombuffer(x[1], gid).reshape(-1, w), np.frombuffer(x[3], np.int8).reshape(-1, w)
+        for flag in (DRAWN, OLD):
+            p = _drawn(gids, nbrs, flags, flag, turn, s)
+            row, at = np.nonzero(p >= 0)
+            end = nbrs[row, p[row, at]]
+            mine = (end % nb) % waves == wave
+            row, end = row[mine], end[mine]
+            # of the edges to a popular node, each task sends as many as the node can take
+            order = np.argsort((end.astype(np.int64) // nb << 32) | _mix(end, gids[row], turn))
+            order = order[np.argsort(end[order], kind="stable")]
+            keep = order[_places(end[order]) < s]
+            yield from blocks.send(EDGE, end[keep] % nb, end[keep], gids[row[keep]], np.full(len(keep), flag, np.int8))
+        if block % waves == wave:
+            yield (block, LIST, 0, *[bytes(b) for b in x])
+
+    return run
+
+
+def _visits(shape: Shape, turn: int) -> Callable[[Inbox], Iterator[Row]]:
+    """Who meets at each node: messages VISIT of gids, new and old visitors; NEED: vectors a block asks another one for."""
+    s, nb, gid = shape.sample, shape.n_blocks, shape.gid
+
+    def run(inbox: Inbox) -> Iterator[Row]:
+        gids, nbrs, _, flags, _ = shape.list_rows(inbox)
+        if not len(gids):
+            return
+        end, src, how = inbox.get(EDGE, (gid, 0), (gid, 0), (np.int8, 0))
+        sides = []
+        for flag in (DRAWN, OLD):
+            p = _drawn(gids, nbrs, flags, flag, turn, s)
+            forward = np.where(p >= 0, np.take_along_axis(nbrs, np.maximum(p, 0), 1), -1)
+            e, v = end[how == flag], src[how == flag]
+            reverse = _table((e // nb).astype(np.int64), v, _mix(e, v, turn), len(gids), s)
+            both = np.sort(np.c_[forward, reverse], axis=1)
+            both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
+            sides.append(both)
+        meets = (sides[0] >= 0).any(axis=1) & ((sides[0] >= 0).sum(axis=1) + (sides[1] >= 0).sum(axis=1) > 1)
+        gids, sides = gids[meets], [x[meets] for x in sides]
+        for at in range(0, len(gids), 4096):
+            yield blocks.pack(inbox.block, VISIT, 0, gids[at : at + 4096], sides[0][at : at + 4096], sides[1][at : at + 4096])
+        need = np.unique(np.concatenate([x.ravel() for x in sides])) if len(gids) else np.zeros(0, gid)
+        need = need[need >= 0]
+        yield from blocks.send(NEED, need % nb, need, np.full(len(need), inbox.block, np.int32))
+
+    return run
+
+
+def _last(shape: Shape) -> Callable[[int, int, list], Iterator[Row]]:
+    def run(block: int, kind: int, x: list) -> Iterator[Row]:
+        yield blocks.pack(block, LAST, 0, np.frombuffer(x[0], shape.gid), np.frombuffer(x[2], np.float32).reshape(-1, shape.width)[:, -1])
+
+    return run
+
+
+def _served(shape: Shape) -> Callable[[Inbox], Iterator[Row]]:
+    """Answers the blocks' requests: messages VECTOR of gids, bytes, inverse norms and the lists' last similarities."""
+    dim, nb = shape.dim, shape.n_blocks
+
+    def run(inbox: Inbox) -> Iterator[Row]:
+        gids, _, vec, inverse = inbox.get(NODE, (np.int64, 0), (np.int64, 0), (np.int8, dim), (np.float32, 0))
+        order = np.argsort(gids)
+        vec, inverse = vec[order], inverse[order]
+        g, last = inbox.get(LAST, (shape.gid, 0), (np.float32, 0))
+        worst = np.full(len(gids), -2, np.float32)
+        worst[g // nb] = last
+        need, block = inbox.get(NEED, (shape.gid, 0), (np.int32, 0))
+        at = need // nb
+        yield from blocks.send(VECTOR, block, need, vec[at], inverse[at], worst[at], items=1 << 14)
+
+    return run
+
+
+def _compared(shape: Shape, rows: int = 1024) -> Callable[[Inbox], Iterator[Row]]:
+    """The local join: visitors of a node that are closer to each other than the last of their lists."""
+    dim, s, nb, gid = shape.dim, shape.sample, shape.n_blocks, shape.gid
+
+    def run(inbox: Inbox) -> Iterator[Row]:
+        known, vec, inverse, worst = inbox.get(VECTOR, (gid, 0), (np.int8, dim), (np.float32, 0), (np.float32, 0))
+        order = np.argsort(known)
+        known, vec, inverse, worst = known[order], vec[order], inverse[order], worst[order]
+        _, new, old = inbox.get(VISIT, (gid, 0), (gid, 2 * s), (gid, 2 * s))
+        held, size = [], 0
+        for at in range(0, len(new), rows):
+            who = np.c_[new[at : at + rows], old[at : at + rows]]
+            there = who >= 0
+            # fewer columns where no node has that many visitors
+            n_new, n_old = (int(x.sum(axis=1).max(initial=0)) for x in (there[:, : 2 * s], there[:, 2 * s :]))
+            who = np.c_[np.sort(who[:, : 2 * s], axis=1)[:, 2 * s - n_new :], np.sort(who[:, 2 * s :], axis=1)[:, 2 * s - n_old :]]
+            there = who >= 0
+            idx = np.searchsorted(known, who)
+            idx[~there] = 0
+            x = vec[idx].astype(np.float32)
+            x *= inverse[idx][:, :, None]
+            g = np.matmul(x[:, :n_new], x.transpose(0, 2, 1))
+            limit = np.where(there, worst[idx], np.float32(4))
+            ok = (who[:, :n_new, None] != who[:, None, :]) & there[:, None, :] & there[:, :n_new, None]
+            z, i, j = np.nonzero((g > limit[:, :n_new, None]) & ok)
+            held.append((idx[z, i] << 32 | idx[z, j], g[z, i, j]))
+            z, i, j = np.nonzero((g[:, :, n_new:] > limit[:, None, n_new:]) & ok[:, :, n_new:])
+            held.append((idx[z, n_new + j] << 32 | idx[z, i], g[z, i, n_new + j]))
+            size += len(held[-1][0]) + len(held[-2][0])
+            if size > 4_000_000:
+                yield from flush(held, known)
+                held, size = [], 0
+        if held:
+            yield from flush(held, known)
+
+    def flush(held: list, known: np.ndarray) -> Iterator[Row]:
+        key, sim = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(key)
+        key, sim = key[order], sim[order]
+        first = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        key, sim = key[first], sim[first]
+        t, c = known[key >> 32], known[key & 0xFFFFFFFF]
+        yield from blocks.send(CANDIDATE, t % nb, t, c, sim)
+
+    return run
 
 
-def _merge(lists: DataFrame, k: int) -> DataFrame:
-    """One list of the k best per node from lists (id, nbrs, sims, old); updates: neighbours that no old list had."""
+class Graph:
+    """The neighbour graph of a set of vectors, in tables of the shared folder."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
-            ids = t.column(0).to_numpy()
-            n, nbrs = _ragged(t.column(1), np.int64)
-            _, sims = _ragged(t.column(2), np.float32)
-            fresh = np.repeat(1 - t.column(3).to_numpy(), n)
-            new = np.r_[True, ids[1:] != ids[:-1]]
-            row = np.repeat(np.cumsum(new) - 1, n)
-            row, nbrs, sims, fresh = _top(row, nbrs, sims, fresh, k)
-            own = ids[new]
-            count = np.bincount(row, minlength=len(own))
-            updates = np.bincount(row, weights=fresh, minlength=len(own)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(own), _lists_binary(count, nbrs), _lists_binary(count, sims), pa.array(updates)], ["id", "nbrs", "sims", "updates"])
+    def __init__(self, packed: DataFrame, nodes: DataFrame, numbered: DataFrame | None, lists: DataFrame | None, shape: Shape | None, k: int, sample: tuple[np.ndarray, np.ndarray] | None, rounds: list[int]):
+        self.packed, self.nodes, self.numbered, self.lists = packed, nodes, numbered, lists
+        self.shape, self.k, self.sample, self.rounds = shape, k, sample, rounds
 
-    return lists.repartition("id").sortWithinPartitions("id").mapInArrow(run, LISTS)
+    def edges(self, least: float | None = None) -> DataFrame:
+        """(src, dst, sim) between representatives: the k nearest of each, as far as they have at least this similarity."""
+        spark = self.packed.sparkSession
+        schema = "src long, dst long, sim float"
+        if self.lists is None:
+            return spark.createDataFrame([], schema)
+        k, w, nb, gid = self.k, self.shape.width, self.shape.n_blocks, self.shape.gid
 
+        def leave(block: int, kind: int, x: list) -> Iterator[Row]:
+            nbrs, sims = np.frombuffer(x[1], gid).reshape(-1, w)[:, :k], np.frombuffer(x[2], np.float32).reshape(-1, w)[:, :k]
+            row, at = np.nonzero((nbrs >= 0) & (sims >= (-2 if least is None else least)))
+            end = nbrs[row, at]
+            yield from blocks.send(LINK, end % nb, end, np.frombuffer(x[4], np.int64)[row], sims[row, at])
 
-def _edges(graph: DataFrame, test: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """(src, dst, sim, worst) of the lists, where test(sims, worst of the source) holds."""
+        return self.named(blocks.each(self.lists, leave), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, nbrs = _ragged(b.column(1), np.int64)
-            _, sims = _ragged(b.column(2), np.float32)
-            src = np.repeat(b.column(0).to_numpy(), n)
-            ends = np.cumsum(n)
-            worst = np.repeat(np.where(n > 0, sims[np.maximum(ends - 1, 0)] if len(sims) else 0, -1).astype(np.float32), n)
-            keep = test(sims, worst) if test else np.ones(len(src), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(src[keep]), pa.array(nbrs[keep]), pa.array(sims[keep]), pa.array(worst[keep])], ["src", "dst", "sim", "worst"])
-
-    return graph.select("id", "nbrs", "sims").mapInArrow(run, "src long, dst long, sim float, worst float")
-
-
-def _local_join(visits: DataFrame, dim: int) -> DataFrame:
-    """Lists (id, nbrs, sims) from comparing all visitors of a node with each other.  visits: at, src, worst, vec."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
-            at = t.column(0).to_numpy()
-            src, worst = t.column(1).to_numpy(), t.column(2).to_numpy()
-            x = _unit(_matrix(t.column(3), dim))
-            cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
-            size = np.diff(cuts)
-            a_all, b_all, s_all = [], [], []
-            for n in np.unique(size[size > 1]):  # groups of equal size as one batched product
-                starts = cuts[:-1][size == n]
-                step = max(1, 4_000_000 // (n * max(n, dim)))
-                for p in range(0, len(starts), step):
-                    idx = starts[p : p + step, None] + np.arange(n)
-                    m = x[idx]
-                    g = np.matmul(m, m.transpose(0, 2, 1))
-                    better = g > worst[idx][:, :, None]
-                    better &= ~np.eye(n, dtype=bool)
-                    r, i, j = np.nonzero(better)
-                    a_all.append(src[idx[r, i]])
-                    b_all.append(src[idx[r, j]])
-                    s_all.append(g[r, i, j])
-            if not a_all:
-                continue
-            a, b, s = np.concatenate(a_all), np.concatenate(b_all), np.concatenate(s_all)
-            ok = a != b
-            a, b, s = a[ok], b[ok], s[ok]
-            row, nbrs, sims, _ = _top(a, b, s, np.ones(len(a), np.int8), 1 << 30)
-            own, count = np.unique(row, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own), _lists_binary(count, nbrs), _lists_binary(count, sims.astype(np.float32))], ["id", "nbrs", "sims"])
-
-    return visits.mapInArrow(run, "id long, nbrs binary, sims binary")
+    def named(self, links: DataFrame, schema: str) -> DataFrame:
+        """Messages LINK (node, id of the other side, similarity) as rows of ids (other side, node, similarity)."""
+        nb, gid = self.shape.n_blocks, self.shape.gid
+        columns = [c.split()[0] for c in schema.split(", ")]
 
+        def name(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            inbox = Inbox(rows)
+            _, ids = inbox.get(NODE, (np.int64, 0), (np.int64, 0))
+            ids = np.sort(ids)  # numbers follow the ids within a block
+            end, src, sims = inbox.get(LINK, (gid, 0), (np.int64, 0), (np.float32, 0))
+            for at in range(0, len(end), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(src[part]), pa.array(ids[end[part] // nb]), pa.array(sims[part])], columns)
 
-class Graph:
-    """The neighbour graph of a set of vectors, in tables of the shared folder."""
+        return links.unionByName(_kind(self.numbered, NODE, "ab")).repartitionById(nb, "block").mapInArrow(name, schema)
 
-    def __init__(self, packed: DataFrame, nodes: DataFrame, lists: DataFrame, cells: Cells, dim: int, rounds: list[int]):
-        self.packed, self.nodes, self.lists, self.cells, self.dim, self.rounds = packed, nodes, lists, cells, dim, rounds
 
-    def edges(self, least: float | None = None) -> DataFrame:
-        """(src, dst, sim) between representatives, of at least this similarity."""
-        test = None if least is None else (lambda sims, worst: sims >= least)
-        return _edges(self.lists, test).select("src", "dst", "sim")
+def _kind(table: DataFrame, kind: int, columns: str = "abcde") -> DataFrame:
+    """The messages of a kind, of which only some arrays are read."""
+    some = [c if c in ("block", "kind", "n") or c in columns else F.lit(None).cast("binary").alias(c) for c in ["block", "kind", "n", *"abcde"]]
+    return table.filter(F.col("kind") == kind).select(*some)
 
 
 def nn_descent(
@@ -299,61 +489,75 @@ def nn_descent(
     vector: str,
     dim: int = 100,
     k: int = 10,
-    probes: int = 4,
+    width: int = 32,
+    sample: int = 16,
+    probes: int = 3,
     cell_rows: int = 1500,
     max_cells: int = 4096,
     sample_rows: int = 8192,
-    reach: float = 0.2,
-    block: int = 64,
-    max_rounds: int = 6,
-    stop_share: float = 0.0005,
+    block_rows: int = 32_768,
+    waves: int = 2,
+    stop_share: float = 0.01,
 ) -> Graph:
     """Builds the graph of the k most similar vectors of every vector.  See the module's text."""
     spark = df.sparkSession
-    packed = workspace.materialise(pack_vectors(df, key, vector, dim), "vectors")
+    plain = {"compression": "none", "parquet.enable.dictionary": "false"}
+    packed = workspace.materialise(pack_vectors(df, key, vector, dim), "vectors", **plain)
     # copies of a vector, and repeated ids, are represented by the smallest id
     one = packed.groupBy("copy").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     n_all, n_copies, n_ids = packed.count(), one.filter("n > 1").count(), packed.agg(F.countDistinct("id")).first()[0]
     if n_copies or n_ids < n_all:
         nodes = packed.join(one.select("copy", "id"), ["copy", "id"], "left_semi").dropDuplicates(["id"])
-        nodes = workspace.materialise(nodes, "nodes")
+        nodes = workspace.materialise(nodes, "nodes", **plain)
     else:
         nodes = packed
     n = nodes.count()
-    sample_rows_found = nodes.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample_rows).select("vec").collect()  # bounded
-    sample = _unit(np.frombuffer(b"".join(bytes(r[0]) for r in sample_rows_found), np.int8).reshape(-1, dim)) if sample_rows_found else np.zeros((0, dim), np.float32)
-    cells = Cells(sample, n, cell_rows, probes, max_cells) if len(sample) else None
-    if cells is None:
-        return Graph(packed, nodes, spark.createDataFrame([], LISTS), Cells(np.ones((1, dim), np.float32), 1, cell_rows, 1, 1), dim, [])
-    first = _cell_lists(nodes, cells, dim, k).withColumn("old", F.lit(0))
-    lists = workspace.materialise(_merge(first, k), "lists")
+    if n == 0:
+        return Graph(packed, nodes, None, None, None, k, None, [])
+    n_blocks = max(1, min(8, n // 256), math.ceil(n / block_rows))
+    shape = Shape(dim, n, n_blocks, width, sample)
+    numbered = workspace.materialise(_numbered(nodes, dim, n_blocks), "numbered", **plain)
+    gids, vec = _sample(numbered, dim, n, sample_rows)
+    cells = Cells(_unit(vec), n, cell_rows, probes, max_cells)
+    first = _cell_candidates(numbered, cells, shape, 4 * cell_rows)
+    lists = workspace.materialise(blocks.at_blocks([first, _kind(numbered, NODE, "ab")], n_blocks, _merged(shape, 0, True)), "lists", **plain)
+    workspace.release(spark)
     rounds: list[int] = []
-
-    def strong(sims: np.ndarray, worst: np.ndarray) -> np.ndarray:
-        return sims * sims + reach * (1 - sims * sims) >= worst
-
-    for turn in range(max_rounds):
-        e = _edges(lists, strong)
-        # each node visits its neighbours and is visited by them: forward and reverse
-        both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-        mine = nodes.select(F.col("id").alias("src"), "vec")
-        worst = _edges(lists, lambda sims, w: sims == w).groupBy("src").agg(F.min("worst").alias("worst"))
-        visitors = both.join(worst, "src").join(mine, "src")
-        # popular nodes: visitors in random blocks, other ones each round
-        sized = both.groupBy("dst").agg(F.count("*").alias("n"))
-        visits = visitors.join(sized, "dst").filter("n > 1")
-        part = F.pmod(F.xxhash64("src", "dst", F.lit(turn)), F.ceil(F.col("n") / block))
-        at = F.xxhash64("dst", part)
-        visits = visits.select(at.alias("at"), "src", "worst", "vec").repartition("at").sortWithinPartitions("at")
-        found = _local_join(visits, dim).withColumn("old", F.lit(0))
-        merged = _merge(found.unionByName(lists.select("id", "nbrs", "sims").withColumn("old", F.lit(1))), k)
-        last, lists = lists, workspace.materialise(merged, "lists")
-        workspace.discard(last)
-        changed = lists.agg(F.sum("updates")).first()[0] or 0
+    waves = min(waves, n_blocks)
+    while True:
+        changed = 0
+        for wave in range(waves):
+            turn = len(rounds) + 1
+            met = blocks.at_blocks([blocks.each(lists, _sent_edges(shape, turn, wave, waves))], n_blocks, _visits(shape, turn))
+            met = workspace.materialise(met, "visits", **plain)
+            served = blocks.at_blocks([_kind(met, NEED), _kind(numbered, NODE), blocks.each(lists, _last(shape))], n_blocks, _served(shape))
+            found = blocks.at_blocks([served, _kind(met, VISIT)], n_blocks, _compared(shape))
+            merged = blocks.at_blocks([found, lists], n_blocks, _merged(shape, turn, wave == waves - 1))
+            last, lists = lists, workspace.materialise(merged, "lists", **plain)
+            workspace.discard(last)
+            workspace.discard(met)
+            changed += lists.agg(F.sum("n")).first()[0] or 0
+            workspace.release(spark)
         rounds.append(changed)
-        if changed <= stop_share * n * k:
+        if changed <= stop_share * n * width:  # lists only ever get closer, so this comes
             break
-    return Graph(packed, nodes, lists, cells, dim, rounds)
+    return Graph(packed, nodes, numbered, lists, shape, k, (gids, vec), rounds)
+
+
+def _sample(numbered: DataFrame, dim: int, n: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gids, bytes) of at most ``rows`` nodes in hash order."""
+    share = min(1.0, 2 * rows / n)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, v in zip(b.column(0), b.column(1), strict=True):
+                gids = np.frombuffer(g.as_buffer(), np.int64)
+                h = _mix(gids, 5)
+                keep = h <= share * 2**32
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(gids[keep]), _binary(np.frombuffer(v.as_buffer(), np.int8).reshape(-1, dim)[keep])], ["h", "gid", "vec"])
+
+    got = numbered.select("a", "c").mapInArrow(pick, "h long, gid long, vec binary").orderBy("h", "gid").limit(rows).collect()  # bounded
+    return np.array([r[1] for r in got], np.int64), np.frombuffer(b"".join(bytes(r[2]) for r in got), np.int8).reshape(-1, dim)
 
 
 def _members(graph: Graph, most: int) -> DataFrame:
@@ -437,75 +641,154 @@ def rows_of_copies(graph: Graph, e: DataFrame, k: int) -> DataFrame:
     across = across.join(every.select("rep", F.col("id").alias("src")), "rep").select("src", "dst", "sim")
     return among.unionByName(across)
 
+#: nodes with the ends of their edges in both directions
+WAYS = 13
+
+
+def _ways(graph: Graph, both: int) -> DataFrame:
+    """Messages WAYS: gids, numbers of ends, the ends, bytes and inverse norms.  The ``both`` nearest count backward too."""
+    shape = graph.shape
+    w, nb, gid, dim = shape.width, shape.n_blocks, shape.gid, shape.dim
+
+    def leave(block: int, kind: int, x: list) -> Iterator[Row]:
+        gids, nbrs = np.frombuffer(x[0], gid), np.frombuffer(x[1], gid).reshape(-1, w)
+        row, at = np.nonzero(nbrs >= 0)
+        yield from blocks.send(LINK, np.full(len(row), block), gids[row], nbrs[row, at])
+        back = at < both
+        end = nbrs[row[back], at[back]]
+        yield from blocks.send(LINK, end % nb, end, gids[row[back]])
 
-def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 96, steps: int = 4, starts: int = 64, homes: int = 2) -> DataFrame:
+    def gather(inbox: Inbox) -> Iterator[Row]:
+        gids, _, vec, inverse = inbox.get(NODE, (np.int64, 0), (np.int64, 0), (np.int8, dim), (np.float32, 0))
+        order = np.argsort(gids)
+        at, end = inbox.get(LINK, (gid, 0), (gid, 0))
+        key = np.unique((at // nb).astype(np.int64) << 47 | end.astype(np.int64))
+        row, end = key >> 47, (key & (1 << 47) - 1).astype(gid)
+        count = np.bincount(row, minlength=len(gids))
+        ends = np.r_[0, np.cumsum(count)]
+        for b in range(0, len(gids), 8192):
+            part = order[b : b + 8192]
+            yield blocks.pack(inbox.block, WAYS, 0, gids[part].astype(gid), count[b : b + 8192].astype(np.int32), end[ends[b] : ends[min(b + 8192, len(gids))]], vec[part], inverse[part])
+
+    return blocks.at_blocks([blocks.each(graph.lists, leave), _kind(graph.numbered, NODE)], nb, gather)
+
+
+def _pick(counts: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The items of some rows of a ragged table."""
+    starts = np.r_[0, np.cumsum(counts)][rows]
+    n = counts[rows].astype(np.int64)
+    return flat[np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(rows) else flat[:0]
+
+
+def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 128, starts: int = 32, both: int | None = None) -> DataFrame:
     """(query, id, sim, rank): the k most similar nodes of every query (query, vec) by greedy search on the graph.
 
-    A query enters at the nearest members of the cells of its nearest landmarks, found by one matrix product per cell, and in
-    each step expands its ``beam`` best nodes to their neighbours, along edges of both directions.  All queries walk together: a
-    step joins their frontiers with edges and vectors.
+    A query enters at the ``starts`` nearest nodes of the bounded sample.  A node that comes among its ``beam`` best is
+    expanded to the ends of its edges; the walk ends when no query's best nodes change any more.
     """
-    dim, cells = graph.dim, graph.cells
-    q = workspace.materialise(queries.select("query", "vec"), "queries")
-
-    def seat(kind: int, probes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                v = _matrix(b.column(1), dim)
-                c = cells.of(_unit(v))[:, :probes] if len(v) else np.zeros((0, 1), np.int64)
-                rows = np.repeat(np.arange(len(v)), c.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(c.ravel()), pa.array(np.full(len(rows), kind, np.int8)), b.column(0).take(pa.array(rows)), _binary(v[rows])], ["cell", "kind", "id", "vec"])
-
-        return run
-
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
-            cell, kind = t.column(0).to_numpy(), t.column(1).to_numpy()
-            ids, x = t.column(2).to_numpy(), _unit(_matrix(t.column(3), dim))
-            cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
-            for b, e in zip(cuts[:-1], cuts[1:], strict=True):
-                m = b + int(np.searchsorted(kind[b:e], 1))  # nodes first, then queries
-                if m == b:
+    spark = queries.sparkSession
+    schema = "query long, id long, sim float"
+    n_queries = queries.count()
+    if graph.lists is None or not n_queries:
+        return spark.createDataFrame([], schema + ", rank int")
+    shape, (sample, sample_vec) = graph.shape, graph.sample
+    nb, gid, dim, beam = shape.n_blocks, shape.gid, shape.dim, max(beam, 2 * k)
+    qb = max(1, min(8, n_queries // 64), math.ceil(n_queries / 4096))
+    plain = {"compression": "none", "parquet.enable.dictionary": "false"}
+    ways = workspace.materialise(_ways(graph, both or graph.k), "ways", **plain)
+    workspace.release(spark)
+
+    def scatter(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            yield from blocks.batches(blocks.send(RAW, _mix(ids, 3) % qb, ids, _matrix(b.column(1), dim)))
+
+    def asks(block: int, q: np.ndarray, node: np.ndarray, vec: np.ndarray, worst: np.ndarray) -> Iterator[Row]:
+        order = np.argsort(node % nb, kind="stable")
+        q, node = q[order], node[order]
+        owner = node % nb
+        cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(owner) else np.zeros(1, int)
+        for b, e in zip(cuts[:-1], cuts[1:], strict=True):
+            who, at = np.unique(q[b:e], return_inverse=True)
+            yield blocks.pack(int(owner[b]), ASK, block, node[b:e], at.astype(np.int32), vec[who], who.astype(np.int32), worst[who])
+
+    def enter(inbox: Inbox) -> Iterator[Row]:
+        ids, vec = inbox.get(RAW, (np.int64, 0), (np.int8, dim))
+        g = _unit(vec) @ _unit(sample_vec).T
+        take = min(starts, g.shape[1])
+        near = np.argpartition(g, g.shape[1] - take, axis=1)[:, -take:]
+        q = np.repeat(np.arange(len(ids)), take)
+        yield blocks.pack(inbox.block, STATE, len(q), ids, vec, np.full((len(ids), beam), -1, gid), np.full((len(ids), beam), -2, np.float32))
+        yield from asks(inbox.block, q, sample[near].ravel().astype(gid), vec, np.full(len(ids), -2, np.float32))
+
+    def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in rows if b.num_rows]
+        if held:
+            yield from blocks.batches(answers(held))
+
+    def answers(held: list[pa.RecordBatch]) -> Iterator[Row]:
+        inbox = Inbox(iter(held))
+        gids, count, flat, vec, inverse = inbox.get(WAYS, (gid, 0), (np.int32, 0), (gid, 0), (np.int8, dim), (np.float32, 0))
+        order = np.argsort(gids)  # rows come in any order: place within the block -> row of the tables
+        for b in held:
+            for kind, to, *x in zip(*(b.column(i).to_pylist() if i < 3 else b.column(i) for i in range(1, 8)), strict=True):
+                if kind != ASK:
                     continue
-                take = min(starts, m - b)
-                for at in range(m, e, 1024):
-                    g = x[at : min(at + 1024, e)] @ x[b:m].T
-                    near = np.argpartition(g, g.shape[1] - take, axis=1)[:, -take:]
-                    asked = np.repeat(ids[at : min(at + 1024, e)], take)
-                    yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ids[b:m][near].ravel()), pa.array(np.take_along_axis(g, near, 1).ravel())], ["query", "node", "sim"])
-
-    schema = "cell long, kind byte, id long, vec binary"
-    # the queries try all their cells, the nodes sit in their nearest ones
-    seats = graph.nodes.select("id", "vec").mapInArrow(seat(0, homes), schema).unionByName(q.mapInArrow(seat(1, cells.probes), schema))
-    found = "query long, node long, sim float"
-    met = seats.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(enter, found)
-    best: DataFrame | None = None
-    written: DataFrame | None = None
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = np.einsum("ij,ij->i", _unit(_matrix(b.column(2), dim)), _unit(_matrix(b.column(3), dim)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.astype(np.float32))], ["query", "node", "sim"])
-
-    keep = Window.partitionBy("query").orderBy(F.col("sim").desc(), "node")
-    node_vec = graph.nodes.select(F.col("id").alias("node"), F.col("vec").alias("node_vec"))
-    width = max(beam, k)
-    e = graph.edges().select("src", F.col("dst").alias("node"))
-    # both directions of every edge: a node that is nobody's neighbour can still be reached
-    ways = workspace.materialise(e.unionByName(e.select(F.col("node").alias("src"), F.col("src").alias("node"))).distinct(), "ways")
-    for step in range(steps + 1):
-        met = met.groupBy("query", "node").agg(F.max("sim").alias("sim")).withColumn("open", F.lit(1))
-        pool = met if best is None else met.unionByName(best)
-        best = pool.withColumn("rank", F.row_number().over(keep)).filter(F.col("rank") <= width)
-        best = workspace.materialise(best, "beam")
-        if written is not None:
-            workspace.discard(written)
-        written = best
-        if step == steps:
-            break
-        expand = best.filter("open = 1").select("query", F.col("node").alias("src"))
-        frontier = expand.join(ways, "src").select("query", "node").distinct()
-        frontier = frontier.join(best.select("query", "node"), ["query", "node"], "left_anti")
-        met = frontier.join(node_vec, "node").join(q, "query").select("query", "node", "node_vec", "vec").mapInArrow(measure, found)
-        best = best.withColumn("open", F.lit(0)).drop("rank")
-    return best.filter(F.col("rank") <= k).select("query", F.col("node").alias("id"), "sim", "rank")
+                node, at, who, worst = np.frombuffer(x[0].as_buffer(), gid), np.frombuffer(x[1].as_buffer(), np.int32), np.frombuffer(x[3].as_buffer(), np.int32), np.frombuffer(x[4].as_buffer(), np.float32)
+                q = _unit(np.frombuffer(x[2].as_buffer(), np.int8).reshape(-1, dim))
+                row = order[node // nb]
+                sim = np.empty(len(node), np.float32)
+                for s in range(0, len(node), 50_000):
+                    part = slice(s, s + 50_000)
+                    sim[part] = np.einsum("ij,ij->i", vec[row[part]].astype(np.float32), q[at[part]]) * inverse[row[part]]
+                good = sim > worst[at]
+                yield blocks.pack(to, ANSWER, 0, who[at[good]], node[good], sim[good])
+                seen = np.unique(row[good])
+                yield blocks.pack(to, WAYS, 0, gids[seen], count[seen], _pick(count, flat, seen))
+
+    def step(inbox: Inbox) -> Iterator[Row]:
+        ids, vec, best, sims = inbox.get(STATE, (np.int64, 0), (np.int8, dim), (gid, beam), (np.float32, beam))
+        q, node, sim = inbox.get(ANSWER, (np.int32, 0), (gid, 0), (np.float32, 0))
+        known, count, flat = inbox.get(WAYS, (gid, 0), (np.int32, 0), (gid, 0))
+        has = best >= 0
+        r = np.r_[np.nonzero(has)[0], q].astype(np.int64)
+        n = np.r_[best[has], node].astype(np.int64)
+        v, fresh = np.r_[sims[has], sim], np.r_[np.zeros(has.sum(), bool), np.ones(len(q), bool)]
+        order = np.argsort((r << 46 | n) << 1 | fresh)
+        r, n, v, fresh = r[order], n[order], v[order], fresh[order]
+        first = np.r_[True, (r[1:] != r[:-1]) | (n[1:] != n[:-1])][: len(r)]
+        r, n, v, fresh = r[first], n[first], v[first], fresh[first]
+        order = np.argsort(r << 32 | ((1.001 - v.astype(np.float64)) * 2**30).astype(np.int64), kind="stable")
+        r, n, v, fresh = r[order], n[order], v[order], fresh[order]
+        place = _places(r)
+        keep = place < beam
+        r, n, v, fresh, place = r[keep], n[keep], v[keep], fresh[keep], place[keep]
+        best, sims = np.full((len(ids), beam), -1, gid), np.full((len(ids), beam), -2, np.float32)
+        best[r, place], sims[r, place] = n, v
+        # expand what came in
+        order = np.argsort(known)
+        at = order[np.searchsorted(known[order], n[fresh])] if len(known) else np.zeros(0, np.int64)
+        ends = _pick(count, flat, at).astype(np.int64)
+        asked = np.unique(np.repeat(r[fresh], count[at]) << 46 | ends)
+        inside = r << 46 | n
+        asked = asked[~np.isin(asked, inside)]
+        who, node = asked >> 46, (asked & (1 << 46) - 1).astype(gid)
+        yield blocks.pack(inbox.block, STATE, len(asked), ids, vec, best, sims)
+        yield from asks(inbox.block, who, node, vec, sims[:, -1])
+
+    at = workspace.materialise(blocks.at_blocks([queries.select("query", "vec").mapInArrow(scatter, blocks.MESSAGE)], qb, enter), "walk", **plain)
+    while (at.filter(F.col("kind") == STATE).agg(F.sum("n")).first()[0] or 0) > 0:
+        answered = _kind(at, ASK).unionByName(ways).repartitionById(nb, "block").mapInArrow(answer, blocks.MESSAGE)
+        last, at = at, workspace.materialise(blocks.at_blocks([answered, _kind(at, STATE)], qb, step), "walk", **plain)
+        workspace.discard(last)
+        workspace.release(spark)
+
+    def leave(block: int, kind: int, x: list) -> Iterator[Row]:
+        best, sims = np.frombuffer(x[2], gid).reshape(-1, beam)[:, : 2 * k], np.frombuffer(x[3], np.float32).reshape(-1, beam)[:, : 2 * k]
+        row, place = np.nonzero(best >= 0)
+        end = best[row, place]
+        yield from blocks.send(LINK, end % nb, end, np.frombuffer(x[0], np.int64)[row], sims[row, place])
+
+    found = graph.named(blocks.each(_kind(at, STATE), leave), "query long, id long, sim float")
+    keep = Window.partitionBy("query").orderBy(F.col("sim").desc(), "id")
+    return found.withColumn("rank", F.row_number().over(keep)).filter(F.col("rank") <= k)
