@@ -489,15 +489,15 @@ def nn_descent(
     vector: str,
     dim: int = 100,
     k: int = 10,
-    width: int = 32,
-    sample: int = 16,
-    probes: int = 3,
+    width: int = 20,
+    sample: int = 12,
+    probes: int = 4,
     cell_rows: int = 1500,
     max_cells: int = 4096,
     sample_rows: int = 8192,
     block_rows: int = 32_768,
     waves: int = 2,
-    stop_share: float = 0.01,
+    stop_share: float = 0.02,
 ) -> Graph:
     """Builds the graph of the k most similar vectors of every vector.  See the module's text."""
     spark = df.sparkSession
@@ -514,7 +514,7 @@ def nn_descent(
     n = nodes.count()
     if n == 0:
         return Graph(packed, nodes, None, None, None, k, None, [])
-    n_blocks = max(1, min(8, n // 256), math.ceil(n / block_rows))
+    n_blocks = max(1, min(6, n // 256), math.ceil(n / block_rows))
     shape = Shape(dim, n, n_blocks, width, sample)
     numbered = workspace.materialise(_numbered(nodes, dim, n_blocks), "numbered", **plain)
     gids, vec = _sample(numbered, dim, n, sample_rows)

@@ -216,8 +216,8 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
 # 1: most similar vectors for every vector
 
 
-def _graph(spark: SparkSession, d: str) -> neighbours.Graph:
-    return neighbours.nn_descent(table(spark, d, "word_vectors"), "voca_idx", "wvec", dim=100, k=10)
+def _graph(spark: SparkSession, d: str, **how: float) -> neighbours.Graph:
+    return neighbours.nn_descent(table(spark, d, "word_vectors"), "voca_idx", "wvec", dim=100, k=10, **how)
 
 
 @query
