@@ -252,7 +252,7 @@ def _cell_candidates(nodes: DataFrame, cells: Cells, shape: Shape, longest: int)
         held, size = [], 0
         for own, q in runs(rows):
             m = _unit(q)
-            take = min(width, len(m) - 1)
+            take = min(-(-width * 3 // 5), len(m) - 1)
             for at in range(0, len(m) if take > 0 else 0, 1024):
                 g = m[at : at + 1024] @ m.T
                 g[np.arange(len(g)), np.arange(at, at + len(g))] = -2
@@ -483,6 +483,30 @@ def _kind(table: DataFrame, kind: int, columns: str = "abcde") -> DataFrame:
     return table.filter(F.col("kind") == kind).select(*some)
 
 
+#: how tables of bytes that no codec makes smaller are written
+PLAIN = {"compression": "none", "parquet.enable.dictionary": "false"}
+
+
+def _started(numbered: DataFrame, cells: Cells, shape: Shape, longest: int) -> DataFrame:
+    """The first lists: from the cells' members."""
+    first = blocks.at_blocks([_cell_candidates(numbered, cells, shape, longest), _kind(numbered, NODE, "ab")], shape.n_blocks, _merged(shape, 0, True))
+    return workspace.materialise(first, "lists", **PLAIN)
+
+
+def _wave(numbered: DataFrame, lists: DataFrame, shape: Shape, turn: int, wave: int, waves: int) -> DataFrame:
+    """The lists after the blocks of a wave have compared what meets at their nodes."""
+    nb = shape.n_blocks
+    met = blocks.at_blocks([blocks.each(lists, _sent_edges(shape, turn, wave, waves))], nb, _visits(shape, turn))
+    met = workspace.materialise(met, "visits", **PLAIN)
+    served = blocks.at_blocks([_kind(met, NEED), _kind(numbered, NODE), blocks.each(lists, _last(shape))], nb, _served(shape))
+    found = blocks.at_blocks([served, _kind(met, VISIT)], nb, _compared(shape))
+    merged = blocks.at_blocks([found, lists], nb, _merged(shape, turn, wave == waves - 1))
+    merged = workspace.materialise(merged, "lists", **PLAIN)
+    workspace.discard(lists)
+    workspace.discard(met)
+    return merged
+
+
 def nn_descent(
     df: DataFrame,
     key: str,
@@ -495,20 +519,19 @@ def nn_descent(
     cell_rows: int = 1500,
     max_cells: int = 4096,
     sample_rows: int = 8192,
-    block_rows: int = 32_768,
+    block_rows: int = 40_000,
     waves: int = 2,
     stop_share: float = 0.02,
 ) -> Graph:
     """Builds the graph of the k most similar vectors of every vector.  See the module's text."""
     spark = df.sparkSession
-    plain = {"compression": "none", "parquet.enable.dictionary": "false"}
-    packed = workspace.materialise(pack_vectors(df, key, vector, dim), "vectors", **plain)
+    packed = workspace.materialise(pack_vectors(df, key, vector, dim), "vectors", **PLAIN)
     # copies of a vector, and repeated ids, are represented by the smallest id
     one = packed.groupBy("copy").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     n_all, n_copies, n_ids = packed.count(), one.filter("n > 1").count(), packed.agg(F.countDistinct("id")).first()[0]
     if n_copies or n_ids < n_all:
         nodes = packed.join(one.select("copy", "id"), ["copy", "id"], "left_semi").dropDuplicates(["id"])
-        nodes = workspace.materialise(nodes, "nodes", **plain)
+        nodes = workspace.materialise(nodes, "nodes", **PLAIN)
     else:
         nodes = packed
     n = nodes.count()
@@ -516,26 +539,17 @@ def nn_descent(
         return Graph(packed, nodes, None, None, None, k, None, [])
     n_blocks = max(1, min(6, n // 256), math.ceil(n / block_rows))
     shape = Shape(dim, n, n_blocks, width, sample)
-    numbered = workspace.materialise(_numbered(nodes, dim, n_blocks), "numbered", **plain)
+    numbered = workspace.materialise(_numbered(nodes, dim, n_blocks), "numbered", **PLAIN)
     gids, vec = _sample(numbered, dim, n, sample_rows)
     cells = Cells(_unit(vec), n, cell_rows, probes, max_cells)
-    first = _cell_candidates(numbered, cells, shape, 4 * cell_rows)
-    lists = workspace.materialise(blocks.at_blocks([first, _kind(numbered, NODE, "ab")], n_blocks, _merged(shape, 0, True)), "lists", **plain)
+    lists = _started(numbered, cells, shape, 4 * cell_rows)
     workspace.release(spark)
     rounds: list[int] = []
     waves = min(waves, n_blocks)
     while True:
         changed = 0
         for wave in range(waves):
-            turn = len(rounds) + 1
-            met = blocks.at_blocks([blocks.each(lists, _sent_edges(shape, turn, wave, waves))], n_blocks, _visits(shape, turn))
-            met = workspace.materialise(met, "visits", **plain)
-            served = blocks.at_blocks([_kind(met, NEED), _kind(numbered, NODE), blocks.each(lists, _last(shape))], n_blocks, _served(shape))
-            found = blocks.at_blocks([served, _kind(met, VISIT)], n_blocks, _compared(shape))
-            merged = blocks.at_blocks([found, lists], n_blocks, _merged(shape, turn, wave == waves - 1))
-            last, lists = lists, workspace.materialise(merged, "lists", **plain)
-            workspace.discard(last)
-            workspace.discard(met)
+            lists = _wave(numbered, lists, shape, len(rounds) + 1, wave, waves)
             changed += lists.agg(F.sum("n")).first()[0] or 0
             workspace.release(spark)
         rounds.append(changed)
@@ -694,8 +708,7 @@ def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 128
     shape, (sample, sample_vec) = graph.shape, graph.sample
     nb, gid, dim, beam = shape.n_blocks, shape.gid, shape.dim, max(beam, 2 * k)
     qb = max(1, min(8, n_queries // 64), math.ceil(n_queries / 4096))
-    plain = {"compression": "none", "parquet.enable.dictionary": "false"}
-    ways = workspace.materialise(_ways(graph, both or graph.k), "ways", **plain)
+    ways = workspace.materialise(_ways(graph, both or graph.k), "ways", **PLAIN)
     workspace.release(spark)
 
     def scatter(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -776,10 +789,10 @@ def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 128
         yield blocks.pack(inbox.block, STATE, len(asked), ids, vec, best, sims)
         yield from asks(inbox.block, who, node, vec, sims[:, -1])
 
-    at = workspace.materialise(blocks.at_blocks([queries.select("query", "vec").mapInArrow(scatter, blocks.MESSAGE)], qb, enter), "walk", **plain)
+    at = workspace.materialise(blocks.at_blocks([queries.select("query", "vec").mapInArrow(scatter, blocks.MESSAGE)], qb, enter), "walk", **PLAIN)
     while (at.filter(F.col("kind") == STATE).agg(F.sum("n")).first()[0] or 0) > 0:
         answered = _kind(at, ASK).unionByName(ways).repartitionById(nb, "block").mapInArrow(answer, blocks.MESSAGE)
-        last, at = at, workspace.materialise(blocks.at_blocks([answered, _kind(at, STATE)], qb, step), "walk", **plain)
+        last, at = at, workspace.materialise(blocks.at_blocks([answered, _kind(at, STATE)], qb, step), "walk", **PLAIN)
         workspace.discard(last)
         workspace.release(spark)
 
