@@ -146,3 +146,71 @@ def test_quality_of_documents_short_long_and_odd(spark):
     assert quality.quality(df.limit(0)).count() == 0
 
 
+
+
+NUMBERED = "\n".join(f"{i:02d}. Check the valve and the pipe here" for i in range(60))
+ODD = [
+    NUMBERED,
+    "สวัสดีชาวโลกนี่คือข้อความยาวมากที่ไม่มีช่องว่าง" * 30 + " " + "ไทย" * 5 + "。" + "ไทย" * 40,
+    "a.<strong>B c</strong> D. " * 40,
+    "...... " * 100 + "x y. " * 50,
+    "the" * 300 + " the of. " * 30,
+    "  12. abc\n\n  13. x y z\n1234. no. Yes.\n" * 20,
+    PROSE * 4 + JUNK * 4,
+]
+
+
+def test_every_chunk_size_gives_the_counts_of_the_whole_document():
+    for text in ODD:
+        whole = quality.finish(quality.partial(text))
+        for size in [*range(3, 180), 400, 777, 1117, 1500]:
+            cut = quality.chunks(text, size)
+            assert "".join(t for t, _ in cut) == text
+            parts = [quality.partial(t, i == 0, around) for i, (t, around) in enumerate(cut)]
+            left = parts[0]
+            for p in parts[1:]:
+                left = quality.merge(left, p)
+            while len(parts) > 1:
+                parts = [quality.merge(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+            assert quality.finish(left) == whole == quality.finish(parts[0]), (text[:40], size)
+
+
+def test_chunked_and_whole_documents_agree_in_spark(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    whole = sorted(map(tuple, quality.counts(df).collect()))
+    assert sorted(map(tuple, quality.counts(df, chunk=97, fan=3).collect())) == whole
+
+
+def test_abbreviations_are_those_of_the_language():
+    assert cut("This is the state of the art. The next step is clear.") == ["This is the state of the art.", "The next step is clear."]
+    assert cut("The gap is 5 mm. The plate is thin.") == ["The gap is 5 mm.", "The plate is thin."]
+    assert cut("Pay 5 mt. Then leave.") == ["Pay 5 mt.", "Then leave."]
+    assert cut("The hut on Mt. Everest is cold. It is high.") == ["The hut on Mt. Everest is cold.", "It is high."]
+    french = "Selon l'art. Premier de la loi. Il est long."
+    assert cut(french) == ["Selon l'art. Premier de la loi.", "Il est long."]
+    # one sentence of another language in a text, and tags where the text has no function words
+    assert cut("Im Abschnitt steht, dass ca. 43 Proben da sind. The art. It is there, and that is all of it.")[0].endswith("da sind.")
+    spans = sentences.sentence_spans
+    assert len(spans("Chap. Deux", "FR")) == 1 and len(spans("Chap. Deux", "en")) == 2 and len(spans("Chap. Deux", None)) == 1
+
+
+def test_long_blocks_take_linear_time():
+    import time
+
+    def took(text):
+        began = time.process_time()
+        sentences.sentence_spans(text)
+        return time.process_time() - began
+
+    for unit in ("{}. Check the valve.\n", "(a. ", "a.", "x.) ", "«Go on. "):
+        n = 8000
+        assert took("".join(unit.format(i % 999) for i in range(n))) < 1.0
+    assert took('"' + "Go on. " * 8000 + '"') < 1.0
+
+
+def test_spans_of_records_with_and_without_language_tags(spark):
+    rows = [("f", 1, "The gap is 5 mm. The plate is thin.", "FR"), ("f", 2, "Chap. Deux", "fr"), ("f", 3, None, None), ("f", 4, "Chap. Deux", " EN ")]
+    df = spark.createDataFrame(rows, "src_field string, rec_id long, text string, lang string")
+    count = {r.rec_id: r["count"] for r in sentences.sentences(df).groupBy("rec_id").count().collect()}
+    assert count == {1: 2, 2: 1, 4: 2}
+    assert sentences.sentences(df.drop("lang")).filter("rec_id = 4").count() == 1

@@ -171,8 +171,9 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def _long_texts(spark: SparkSession, d: str) -> DataFrame:
     reports, rules = table(spark, d, "reach_reports"), table(spark, d, "regulation")
-    parts = [(reports, "content"), (reports, "abstract"), (rules, "enmainrequire")]
-    rows = [t.select(F.lit(c).alias("src_field"), "rec_id", F.col(c).alias("text")) for t, c in parts]
+    unknown = F.lit(None).cast("string")  # the field of the English texts holds other languages too
+    parts = [(reports, "content", F.col("lang")), (reports, "abstract", F.col("lang")), (rules, "enmainrequire", unknown)]
+    rows = [t.select(F.lit(c).alias("src_field"), "rec_id", F.col(c).alias("text"), lang.alias("lang")) for t, c, lang in parts]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
