@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -40,6 +41,27 @@ def test_row_groups_below_the_current_nth_score_are_skipped(spark, tmp_path):
     assert sorted((r.item, r.rank) for r in got.collect()) == [(999, 1), (1999, 2), (2999, 3)]
 
 
+def test_a_group_of_a_million_is_read_in_part_and_tables_are_removed(spark, tmp_path):
+    """Of the large group only its first row groups are read; small groups, whose first rows all row groups hold, are read whole."""
+    hot = spark.range(1_000_000).selectExpr("7L as g", "id as i", "cast((id * 7919) % 1000003 as double) + 1 as s")
+    small = spark.range(3_000).selectExpr("id div 6 + 100 as g", "id as i", "cast(id % 11 as double) + 1 as s")
+    rows = topn.Clustered.build(hot.unionByName(small), "g", "i", "s")
+    best = rows.top(5)
+    got = {(r.grp, r.item) for r in best.collect()}
+    large = sorted(((i * 7919) % 1000003, -i) for i in range(1_000_000))[-5:]
+    assert {i for g, i in got if g == 7} == {-i for _, i in large}
+    assert len(got) == 5 + 500 * 5
+    (groups, n, size), (groups_read, n_read, size_read) = rows.whole, rows.read
+    assert n == 1_003_000 and groups > 40
+    assert groups_read < groups / 3 and n_read < n / 3 and size_read < size / 3
+    again = rows.top(2)  # the clustered table answers any number of calls
+    assert {(r.grp, r.item) for r in again.filter("grp = 7").collect()} == {(7, -i) for _, i in large[-2:]}
+    at = rows.path.removeprefix("file:")
+    assert os.path.exists(at)
+    rows.remove()
+    assert not os.path.exists(at) and best.count() == len(got)
+
+
 def test_top_n_of_an_empty_table(spark):
     assert topn.top_n_per_group(spark.createDataFrame([], "g long, i long, s double"), "g", "i", "s").count() == 0
 
@@ -123,3 +145,39 @@ def test_distinctive_terms_against_brute_force(spark):
             want |= {(k, t) for _, t in sorted(s)[:3]}
         got = distinct.distinctive_terms(df, by=by, broadcast_terms=limit, hot_shares=5)
         assert {(r.rec_key, r.term) for r in got.collect()} == want, (by, limit)
+
+
+def test_counts_are_reopened_in_another_session_and_take_changes(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    store = frequency.TermCounts(spark, path, buckets=5).apply(as_change(spark, [t for _, t in TEXTS], 1))
+    assert store.version == 1
+    other = spark.newSession()
+    again = frequency.TermCounts(other, path, buckets=99)
+    assert (again.version, again.n_buckets) == (1, 5)
+    assert {r.term: (r.occurrences, r.records) for r in again.counts().collect()} == brute_counts([t for _, t in TEXTS])
+    new = {1: "b a a", 2: "now here", 3: "", 4: None, 6: "x", 8: "a late one", 9: None}
+    old = other.createDataFrame(TEXTS, "k long, t string")
+    change = frequency.changes(old, other.createDataFrame(list(new.items()), "k long, t string"), "k", "t")
+    signs = {r.sign for r in change.collect()}
+    assert signs == {1, -1}
+    again.apply(change.select(frequency.F.lit("f").alias("field"), frequency.white_space_terms(frequency.F.col("text")).alias("terms"), "sign"))
+    third = frequency.TermCounts(spark, path)
+    assert third.version == 2
+    assert {r.term: (r.occurrences, r.records) for r in third.counts().collect()} == brute_counts(list(new.values()))
+    assert [r.n for r in third.record_totals().collect()] == [len(new)]
+    third.vacuum()
+    left = sorted(x for x in os.listdir(path) if not x.startswith("."))
+    assert [x for x in left if x.startswith("manifest")] == ["manifest-0000000002"]
+    assert {r.term: (r.occurrences, r.records) for r in frequency.TermCounts(spark, path).counts().collect()} == brute_counts(list(new.values()))
+
+
+def test_a_version_is_committed_once(spark, tmp_path):
+    path = str(tmp_path / "race")
+    one, two = frequency.TermCounts(spark, path, 3), frequency.TermCounts(spark, path, 3)
+    one.apply(as_change(spark, ["a b"], 1))
+    try:
+        two.apply(as_change(spark, ["c"], 1))
+        raise AssertionError("a second writer must not win")
+    except RuntimeError:
+        pass
+    assert {r.term for r in frequency.TermCounts(spark, path).counts().collect()} == {"a", "b"}

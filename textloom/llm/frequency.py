@@ -2,8 +2,14 @@
 
 A ``TermCounts`` store holds, per (field, term), the number of occurrences and of records, in persistent buckets by a
 hash of the term, and per field the number of records.  A change set brings records that were added (+1) or deleted
-(-1); a changed record is both.  ``apply`` reduces the change set to one signed row per term, map-side first, and merges
-it with the buckets that it touches; other buckets keep their files.  The whole collection is never counted again.
+(-1); a changed record is both.  ``apply`` reads the change set once, reduces it to one signed row per term, map-side
+first, and merges it with the buckets that it touches; other buckets keep their files.  The whole collection is never
+counted again.
+
+The state is in the folder alone: a manifest names, for a version, the number of buckets and the folder of each.  A
+version is committed by renaming its manifest into place, which fails if another writer has committed that version;
+whoever opens the path sees the newest version, and an ``apply`` that broke off leaves no trace in it.  ``vacuum``
+deletes folders that the newest version does not use.
 
 Defined cases: a null text counts as a record without terms; an empty or blank text too; a term may be any length;
 repeated terms count as occurrences but once as a record; terms whose counts return to zero leave the store; an empty
@@ -12,6 +18,9 @@ change set leaves it as it was; clashing names of further columns do not matter,
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +48,15 @@ def changes(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def term_deltas(change: DataFrame) -> DataFrame:
-    """One row per (field, term): signed change of occurrences and of records.  change: field, terms, sign."""
+    """One row per (field, term): signed change of occurrences and of records; a null term counts the records themselves.
+
+    change: field, terms, sign.
+    """
     s = F.sort_array("terms")
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))))
-    each = change.filter(F.size("terms") > 0).select("field", "sign", F.explode(F.arrays_zip(s.alias("t"), before.alias("p"))).alias("x"))
+    terms = F.when(F.size("terms") > 0, F.arrays_zip(s.alias("t"), before.alias("p")))
+    record = F.array(F.struct(F.lit(None).cast("string").alias("t"), F.lit("").alias("p")))
+    each = change.select("field", "sign", F.explode(F.concat(record, F.coalesce(terms, F.slice(record, 1, 0)))).alias("x"))
     first = F.when(F.col("x.t").eqNullSafe(F.col("x.p")), 0).otherwise(F.col("sign"))
     return each.groupBy("field", F.col("x.t").alias("term")).agg(F.sum("sign").alias("occurrences"), F.sum(first).alias("records"))
 
@@ -54,53 +68,83 @@ class TermCounts:
     SCHEMA = "field string, term string, occurrences long, records long"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        # as many buckets as shuffle partitions, by the hash the shuffle uses: a task of the final aggregation holds
-        # whole buckets, so each bucket is written once and without another shuffle
+        """Opens the newest version at the path; a store that is not there yet has no terms.
+
+        ``buckets`` counts for a new store alone.  Its default are the shuffle partitions: a task of the final aggregation
+        then holds whole buckets, so each is written once and without another shuffle.
+        """
         self.spark, self.path = spark, path
+        self._fs = self._at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.version, self.buckets = 0, {}
         self.n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.version = 0
-        self.current: dict[int, str] = {}  # bucket -> folder of its newest version
-        self.totals: str | None = None
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._at(path))] if self._fs.exists(self._at(path)) else []
+        versions = sorted(x for x in names if x.startswith("manifest-"))
+        if versions:
+            got = json.loads(spark.read.text(f"{path}/{versions[-1]}", wholetext=True).first()[0])
+            self.version, self.n_buckets = got["version"], got["n_buckets"]
+            self.buckets = {int(k): v for k, v in got["buckets"].items()}  # bucket -> its folder below the path
+
+    def _at(self, path: str):  # noqa: ANN202
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _commit(self, version: int, buckets: dict[int, str]) -> None:
+        draft, final = self._at(f"{self.path}/v{version}/manifest"), self._at(f"{self.path}/manifest-{version:010d}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps({"version": version, "n_buckets": self.n_buckets, "buckets": buckets}).encode()))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            raise RuntimeError(f"version {version} of {self.path} was committed by another writer")
+        self.version, self.buckets = version, buckets
+
+    def _rows(self, buckets: list[int] | None = None) -> DataFrame:
+        """All rows of some buckets, or of all; the null term counts records."""
+        folders = sorted(f for b, f in self.buckets.items() if buckets is None or b in buckets)
+        if not folders:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def counts(self) -> DataFrame:
-        if not self.current:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*sorted(self.current.values()))
+        return self._rows().filter(F.col("term").isNotNull())
 
     def record_totals(self) -> DataFrame:
         """(field, n) - a row per field."""
-        if self.totals is None:
-            return self.spark.createDataFrame([], "field string, n long")
-        return self.spark.read.schema("field string, n long").parquet(self.totals)
+        return self._rows().filter(F.col("term").isNull()).select("field", F.col("records").alias("n"))
 
     def apply(self, change: DataFrame) -> TermCounts:
         """Merges a change set (field, terms array<string>, sign) into the store."""
-        self.version += 1
-        home = f"{self.path}/v{self.version}"
-        delta = term_deltas(change)
+        version = self.version + 1
         bucket = F.pmod(F.hash("field", "term"), F.lit(self.n_buckets))
-        if self.current:
-            old, touched = self.counts(), set(self.current)
-            if len(self.current) > 8:  # a small change set may leave most buckets alone
-                delta = workspace.materialise(delta.withColumn("bucket", bucket), "delta")
-                touched = {r[0] for r in delta.select("bucket").distinct().collect()}
-                delta = delta.drop("bucket")
-                kept = [p for b, p in sorted(self.current.items()) if b in touched]
-                old = self.spark.read.schema(self.SCHEMA).parquet(*kept) if kept else old.limit(0)
-            merged = delta.unionByName(old).groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-            merged = merged.filter((F.col("occurrences") != 0) | (F.col("records") != 0))
-        else:
-            touched, merged = set(), delta.filter((F.col("occurrences") != 0) | (F.col("records") != 0))
-        merged.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{home}/terms")
-        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{home}/terms")
-        fs = fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        there = {int(s.getPath().getName()[7:]): s.getPath().toString() for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("bucket=")}
-        self.current = {b: p for b, p in self.current.items() if b not in touched} | there
-        rows = change.groupBy("field").agg(F.sum("sign").cast("long").alias("n"))
-        rows.unionByName(self.record_totals()).groupBy("field").agg(F.sum("n").alias("n")).coalesce(1).write.parquet(f"{home}/totals")
-        self.totals = f"{home}/totals"
+        merged = delta = term_deltas(change)
+        touched: list[int] = []
+        if self.buckets:
+            delta = workspace.materialise(delta, "delta")
+            touched = [r[0] for r in delta.select(bucket.alias("b")).distinct().collect()]  # at most n_buckets numbers
+            merged = delta.unionByName(self._rows(touched)).groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+        merged = merged.filter((F.col("occurrences") != 0) | (F.col("records") != 0))
+        home = f"v{version}-{uuid.uuid4().hex[:8]}"
+        merged.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{self.path}/{home}")
+        there = [x.getPath().getName() for x in self._fs.listStatus(self._at(f"{self.path}/{home}"))]
+        kept = {b: f for b, f in self.buckets.items() if b not in set(touched)}
+        self._commit(version, kept | {int(x[7:]): f"{home}/{x}" for x in there if x.startswith("bucket=")})
+        workspace.discard(delta)
         return self
 
+    def vacuum(self) -> None:
+        """Deletes the folders of buckets, and the manifests, that the newest version does not use."""
+        used = set(self.buckets.values())
+        for at in self._fs.listStatus(self._at(self.path)):
+            name = at.getPath().getName()
+            if name.startswith("manifest-"):
+                if int(name[9:]) < self.version:
+                    self._fs.delete(at.getPath(), False)
+                continue
+            inside = [x.getPath() for x in self._fs.listStatus(at.getPath()) if x.getPath().getName().startswith("bucket=")]
+            for p in inside:
+                if f"{name}/{p.getName()}" not in used:
+                    self._fs.delete(p, True)
+            if not any(f.startswith(f"{name}/") for f in used):
+                self._fs.delete(at.getPath(), True)
+
     def marked(self, rare_below: int = 3, common_share: float = 0.05) -> DataFrame:
         """Counts with ``mark``: rare (fewer occurrences than rare_below), else common (in more than common_share of the
         field's records), else null."""

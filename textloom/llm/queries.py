@@ -134,6 +134,33 @@ marked AS (
 SQL["p6_found"] = _COUNTS + "SELECT src_field, term, mark FROM marked WHERE mark IS NOT NULL"
 SQL["p6_counts"] = _COUNTS + "SELECT src_field, term, occurrences, records, mark FROM marked"
 
+
+
+def _cell_terms(df: DataFrame, text: str, sign: int | None = None) -> DataFrame:
+    terms = df.select(F.lit("row_str").alias("field"), frequency.white_space_terms(F.col(text)).alias("terms"), *([] if sign is not None else ["sign"]))
+    return terms.withColumn("sign", F.lit(sign)) if sign is not None else terms
+
+
+@query
+def p6_changed(spark: SparkSession, d: str) -> DataFrame:
+    """The counts after a second dump: late cells added, cells without a country deleted, texts in lower case and trimmed."""
+    cells = table(spark, d, "ygp_rows").select("row_uid", "row_str", "country", "loaded_at")
+    old = cells.filter(F.col("loaded_at") < F.lit(FIRST_LOAD_UNTIL).cast("timestamp"))
+    new = cells.filter(F.col("country").isNotNull()).select("row_uid", F.lower(F.trim("row_str")).alias("row_str"))
+    store = frequency.TermCounts(spark, new_dir(spark, "counts")).apply(_cell_terms(old, "row_str", 1))
+    store = frequency.TermCounts(spark, store.path).apply(_cell_terms(frequency.changes(old, new, "row_uid", "row_str"), "text"))
+    return store.marked().select("term", "occurrences", "records", "mark")
+
+
+SQL["p6_changed"] = """
+WITH cells AS (
+  SELECT row_uid AS k, list_filter(regexp_split_to_array(lower(trim(row_str, ' ')), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS terms
+  FROM ygp_rows WHERE country IS NOT NULL),
+tf AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(terms) AS term FROM cells) GROUP BY ALL)
+SELECT term, sum(tf)::BIGINT AS occurrences, count(*) AS records,
+  CASE WHEN sum(tf) < 3 THEN 'rare' WHEN count(*) > 0.05 * (SELECT count(*) FROM cells) THEN 'common' END AS mark
+FROM tf GROUP BY term"""
+
 # 8: filling fixed-capacity containers; 9: mixing sources
 
 
