@@ -3,7 +3,8 @@
 * Vectors are normalised and kept as 100 signed bytes each (an error of about 0.001 in the cosine), so joins move a
   quarter of the floats.  Exact copies are represented by the one of smallest id.
 * *Start.* Landmarks are drawn from a bounded sample; every vector goes to the cells of its ``probes`` nearest landmarks,
-  and each cell gives its members' first lists by blocked matrix products.  Cells that the sample shows to be crowded are
+  and each cell gives its members' first lists by blocked matrix products.  Cells hold about the square root of the vectors,
+  up to a bound.  Cells that the sample shows to be crowded are
   split by further hyperplanes, and a cell that is still larger is worked off in runs of bounded length.
 * *Descent.* Lists hold ``width`` neighbours, more than the k that are asked for.  In every round each node gathers a
   sample of its new and of its old neighbours, forward and reverse; new ones are compared with each other and with the
@@ -206,6 +207,18 @@ def _numbered(nodes: DataFrame, dim: int, n_blocks: int) -> DataFrame:
     return blocks.at_blocks([nodes.select("id", "vec").mapInArrow(scatter, blocks.MESSAGE)], n_blocks, number)
 
 
+def _unpacked(numbered: DataFrame, dim: int) -> DataFrame:
+    """(id, vec, copy) of the nodes, none of which has copies."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, vec in zip(b.column(0), b.column(1), strict=True):
+                own = np.frombuffer(ids.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), _binary(np.frombuffer(vec.as_buffer(), np.int8).reshape(-1, dim)), _binary(own.reshape(-1, 1))], ["id", "vec", "copy"])
+
+    return numbered.select("b", "c").mapInArrow(rows, "id long, vec binary, copy binary")
+
+
 def _cell_candidates(nodes: DataFrame, cells: Cells, shape: Shape, longest: int) -> DataFrame:
     """The nearest members of each of its cells for every node, as messages CANDIDATE to the blocks of the lists."""
     dim, width, gid = shape.dim, shape.width, shape.gid
@@ -516,7 +529,7 @@ def nn_descent(
     width: int = 20,
     sample: int = 12,
     probes: int = 4,
-    cell_rows: int = 1500,
+    cell_rows: int | None = None,
     max_cells: int = 4096,
     sample_rows: int = 8192,
     block_rows: int = 40_000,
@@ -537,9 +550,14 @@ def nn_descent(
     n = nodes.count()
     if n == 0:
         return Graph(packed, nodes, None, None, None, k, None, [])
+    # about the square root: then landmarks and members cost a vector alike
+    cell_rows = cell_rows or min(1500, max(64, int(3.4 * math.sqrt(n))))
     n_blocks = max(1, min(6, n // 256), math.ceil(n / block_rows))
     shape = Shape(dim, n, n_blocks, width, sample)
     numbered = workspace.materialise(_numbered(nodes, dim, n_blocks), "numbered", **PLAIN)
+    if nodes is packed:
+        workspace.discard(packed)
+        nodes = packed = _unpacked(numbered, dim)
     gids, vec = _sample(numbered, dim, n, sample_rows)
     cells = Cells(_unit(vec), n, cell_rows, probes, max_cells)
     lists = _started(numbered, cells, shape, 4 * cell_rows)

@@ -267,7 +267,7 @@ SELECT DISTINCT least(a, b) AS voca_idx_a, greatest(a, b) AS voca_idx_b FROM r W
 @query
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     # far neighbours take longer lists than close pairs
-    g = _graph(spark, d, width=32, sample=16, stop_share=0.01)
+    g = _graph(spark, d, width=40, sample=20, stop_share=0.01)
     e = neighbours.rows_of_copies(g, g.edges(), 10)
     return e.select(F.col("src").alias("voca_idx"), F.col("dst").alias("similar_voca_idx"), F.round(F.col("sim").cast("double"), 2).alias("cosine"))
 
