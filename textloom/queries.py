@@ -208,7 +208,7 @@ def bigram_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_TOKENS} SELECT a.word, b.word AS context, count(*) AS n FROM tokens a JOIN tokens b
-ON a.sent_uid = b.sent_uid AND a.pos <> b.pos AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 GROUP BY ALL HAVING count(*) >= 20""")
+ON a.sent_uid = b.sent_uid AND a.pos <> b.pos AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 GROUP BY ALL""")
 def context_counts(spark: SparkSession, d: str) -> DataFrame:
     pairs = tokens.context_pairs(_tokens(spark, d), 2)
     return pairs.groupBy("word", "context").agg(F.count("*").alias("n"))
@@ -318,7 +318,7 @@ def tfidf_top(spark: SparkSession, d: str) -> DataFrame:
 
 _SEARCH = f"""
 q AS (SELECT sent_uid AS q, pos AS q_pos, word, score, lead(word) OVER (PARTITION BY sent_uid ORDER BY pos) AS head_word
-  FROM (SELECT t.*, coalesce(s.score, 0.0) AS score FROM tokens t LEFT JOIN scores s USING (word)) WHERE sent_idx = 0 AND chunk_idx IN (SELECT doc_id FROM documents WHERE source = 'query.log')),
+  FROM (SELECT t.*, coalesce(s.score, 0.0) AS score FROM tokens t LEFT JOIN scores s USING (word)) WHERE chunk_idx IN (SELECT doc_id FROM documents WHERE source = 'query.log')),
 qh AS (SELECT q.*, coalesce(s.score, 0.0) AS head_score FROM q LEFT JOIN scores s ON q.head_word = s.word),
 voc AS (SELECT DISTINCT word, lower(word) AS low FROM tokens),
 sim AS (SELECT a.word, b.word AS sim_word, CASE WHEN a.word = b.word THEN 1.0 ELSE 0.9 END AS similarity FROM voc a JOIN voc b USING (low)),
@@ -649,7 +649,7 @@ def rows_with_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT a.input_uid, a.result_sent_uid, c.table_name, coalesce(a.result_sent_country, 'Unknown') AS country, length(y.row_str) AS n_chars
-FROM (SELECT input_uid, result_sent_uid, result_row_uid, max(result_sent_country) AS result_sent_country FROM ask_results WHERE score >= 3 AND isfinite(score) GROUP BY ALL) a
+FROM (SELECT input_uid, result_sent_uid, result_row_uid, max(result_sent_country) AS result_sent_country FROM ask_results WHERE score > 0 AND isfinite(score) GROUP BY ALL) a
 JOIN ygp_rows y ON a.result_row_uid = y.row_uid LEFT JOIN column_catalog c USING (col_uid)""")
 def results_with_rows(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "ask_results").filter("score > 0 AND NOT isnan(score) AND score < double('Infinity')")
@@ -731,7 +731,7 @@ def discriminative_weights(spark: SparkSession, d: str) -> DataFrame:
 df AS (SELECT word, ln((SELECT count(*) FROM documents WHERE text IS NOT NULL)::DOUBLE / count(*)) AS idf FROM tf GROUP BY word),
 w AS (SELECT doc_id, word, tf * idf AS w FROM tf JOIN df USING (word)), m AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
 u AS (SELECT doc_id, word, w / norm AS u FROM w JOIN m USING (doc_id) WHERE norm > 0),
-s AS (SELECT a.doc_id AS query, b.doc_id, round(sum(a.u * b.u), 6) AS sim FROM u a JOIN u b USING (word) JOIN documents d ON d.doc_id = a.doc_id AND d.source = 'wiki.intro' WHERE a.doc_id <> b.doc_id GROUP BY ALL)
+s AS (SELECT a.doc_id AS query, b.doc_id, round(sum(a.u * b.u), 6) AS sim FROM u a JOIN u b USING (word) WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL)
 SELECT query, doc_id, sim, row_number() OVER (PARTITION BY query ORDER BY sim DESC, doc_id) AS rank FROM s QUALIFY rank <= 5""")
 def similar_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose doc_id is divisible by 20 as queries against all documents."""
@@ -797,7 +797,7 @@ def parse_trees(spark: SparkSession, d: str) -> DataFrame:
 
 
 _KNOWN = f"""
-c AS (SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format('row_str')}) AS word FROM ygp_rows) GROUP BY word ORDER BY n DESC, word LIMIT 500),
+c AS (SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format('row_str')}) AS word FROM ygp_rows) GROUP BY word),
 known AS (SELECT word, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS vec_id FROM c) JOIN embeddings USING (vec_id))"""
 
 
