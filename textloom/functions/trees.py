@@ -30,7 +30,20 @@ def _fold(children: list[Tree]) -> Tree:
 
 
 def show(tree: Tree) -> str:
-    return f"({show(tree[0])} {show(tree[1])})" if isinstance(tree, tuple) else str(tree)
+    """Text of a tree: pairs in brackets."""
+    out: list[str] = []
+    stack: list[object] = [tree]
+    while stack:  # trees may be deeper than calls can be
+        x = stack.pop()
+        if isinstance(x, tuple):
+            stack += [_Text(")"), x[1], _Text(" "), x[0], _Text("(")]
+        else:
+            out.append(str(x))
+    return "".join(out)
+
+
+class _Text(str):
+    """A piece of the text between nodes."""
 
 
 def leaves(tree: Tree) -> list[str]:

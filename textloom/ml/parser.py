@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,27 +66,59 @@ def greedy_in_context(m: ContextMerger, words: list[str], vectors: list[np.ndarr
 
 
 def greedy(m: Merger, words: list[str], vectors: list[np.ndarray]) -> tuple[Tree, float]:
-    """Merges the best neighbouring pair until one node is left; the score is the sum over merges."""
-    nodes: list[tuple[Tree, np.ndarray]] = list(zip(words, vectors, strict=True))
-    total = 0.0
-    pairs = [m.phrase(nodes[i][1], nodes[i + 1][1]) for i in range(len(nodes) - 1)]
-    while len(nodes) > 1:
-        scores = [m.score(p) for p in pairs]
-        k = int(np.argmax(scores))
-        total += scores[k]
-        nodes[k : k + 2] = [((nodes[k][0], nodes[k + 1][0]), pairs[k])]
-        del pairs[k]
-        if k > 0:
-            pairs[k - 1] = m.phrase(nodes[k - 1][1], nodes[k][1])
-        if k < len(nodes) - 1:
-            pairs[k : k + 1] = [m.phrase(nodes[k][1], nodes[k + 1][1])] if k < len(pairs) else []
-            if len(pairs) < len(nodes) - 1:
-                pairs.append(m.phrase(nodes[-2][1], nodes[-1][1]))
-    return nodes[0][0], total
+    """Merges the best neighbouring pair until one node is left; the score is the sum over merges, ties go to the first pair.
+
+    Pairs wait in a heap; a merge makes two new ones, and outdated ones are passed over.
+    """
+    n = len(words)
+    node: list[Tree] = list(words)
+    vec, after, before = list(vectors), list(range(1, n + 1)), list(range(-1, n - 1))
+    version = [0] * n  # a node keeps the number of its first word
+    heap: list[tuple[float, int, int, int, np.ndarray]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        p = m.phrase(vec[i], vec[j])
+        heapq.heappush(heap, (-m.score(p), i, version[i], version[j], _Kept(p)))
+
+    for i in range(n - 1):
+        offer(i)
+    total, left = 0.0, n
+    while left > 1:
+        s, i, vi, vj, p = heapq.heappop(heap)
+        j = after[i]
+        if version[i] != vi or j >= n or version[j] != vj:
+            continue
+        total -= s
+        node[i], vec[i] = (node[i], node[j]), p.vector
+        version[i] += 1
+        version[j] = -1
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        left -= 1
+        if after[i] < n:
+            offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return node[0], total
+
+
+class _Kept:
+    """A vector that a heap carries and never compares."""
+
+    __slots__ = ("vector",)
+
+    def __init__(self, vector: np.ndarray):
+        self.vector = vector
+
+    def __lt__(self, other: object) -> bool:
+        return False
 
 
 def chart(m: Merger, words: list[str], vectors: list[np.ndarray], penalty: float = 0.0, against: set[tuple[int, int]] | None = None) -> tuple[Tree, float]:
-    """Best tree over all spans by dynamic programming over one vector per span; spans outside ``against`` cost the penalty."""
+    """(tree, its score): best tree over all spans by dynamic programming over one vector per span; spans outside ``against``
+    cost the penalty.  A span keeps one vector, so the greedy tree can be better; then it is given."""
     n = len(words)
     best: dict[tuple[int, int], tuple[float, Tree, np.ndarray]] = {(i, i): (0.0, words[i], vectors[i]) for i in range(n)}
     for size in range(2, n + 1):
@@ -101,7 +134,11 @@ def chart(m: Merger, words: list[str], vectors: list[np.ndarray], penalty: float
                 options.append((s, (a[1], b[1]), p))
             best[(i, j)] = max(options, key=lambda x: x[0])
     s, tree, _ = best[(0, n - 1)]
-    return tree, max(s, greedy(m, words, vectors)[1]) if penalty == 0 else s
+    if penalty == 0:
+        other, high = greedy(m, words, vectors)
+        if high > s:
+            return other, high
+    return tree, s
 
 
 def score_gradient(m: Merger, tree: Tree, vector_of) -> tuple[float, dict[str, np.ndarray]]:
@@ -169,8 +206,16 @@ class DecayingSgd:
             values[k] += rate * g
 
 
-def parse_sentences(sentences: DataFrame, vectors: dict[str, np.ndarray], m: Merger, how: str = "greedy", longest: int = 60) -> DataFrame:
-    """(sent_uid, tree, score) of sentences (sent_uid, ws) of at most ``longest`` words; unknown words are zero vectors.
+def hashed_vector(word: str, dim: int) -> np.ndarray:
+    """A vector of a word's own, drawn by a hash: for parses without a trained vocabulary."""
+    import zlib
+
+    return np.random.default_rng(zlib.crc32(word.encode("utf-8", "surrogatepass"))).normal(0, 1, dim)
+
+
+def parse_sentences(sentences: DataFrame, vectors: dict[str, np.ndarray] | None, m: Merger, how: str = "greedy", longest: int | None = None) -> DataFrame:
+    """(sent_uid, tree, score) of sentences (sent_uid, ws), if told so of at most ``longest`` words; unknown words are zero
+    vectors, without a vocabulary each word has a hashed one.  Brackets in words show as ⟨ and ⟩, those of the tree are round.
 
     The word vectors go to the tasks with the function: a vocabulary of bounded size.
     """
@@ -178,16 +223,24 @@ def parse_sentences(sentences: DataFrame, vectors: dict[str, np.ndarray], m: Mer
     zero = np.zeros(dim)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[str, np.ndarray] = {}
         for pdf in batches:
             rows = []
             for s, ws in zip(pdf["sent_uid"], pdf["ws"], strict=True):
                 ws = list(ws)
-                vs = [vectors.get(w, zero) for w in ws]
+                if vectors is None:
+                    vs = [own[w] if w in own else own.setdefault(w, hashed_vector(w, dim)) for w in ws]
+                    if len(own) > 100_000:
+                        own.clear()
+                else:
+                    vs = [vectors.get(w, zero) for w in ws]
+                ws = [w.replace("(", "⟨").replace(")", "⟩") for w in ws]
                 tree, score = greedy(m, ws, vs) if how == "greedy" else chart(m, ws, vs)
                 rows.append((s, show(tree), score))
             yield pd.DataFrame(rows, columns=["sent_uid", "tree", "score"])
 
-    return sentences.filter((F.size("ws") > 0) & (F.size("ws") <= longest)).select("sent_uid", "ws").mapInPandas(run, "sent_uid long, tree string, score double")
+    fits = F.size("ws") > 0 if longest is None else F.size("ws").between(1, longest)
+    return sentences.filter(fits).select("sent_uid", "ws").mapInPandas(run, "sent_uid long, tree string, score double")
 
 
 def minibatch_gradient(trees: DataFrame, vectors: dict[str, np.ndarray], m: Merger) -> tuple[float, dict[str, np.ndarray]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +41,13 @@ def clip(matches: list[tuple[float, int, int]], begs: list[int], ends: list[int]
 def clip_offsets(matches: Column, begs: Column, ends: Column, max_len: int = 200) -> Column:
     """Clip of the few ranked results of a query; it folds over one sentence and runs on ranked rows alone."""
 
-    @F.udf("struct<beg:int,end:int>")
-    def fold(ms: list, bs: list, es: list) -> tuple[int, int] | None:
-        if bs is None:
-            return None
-        return clip([(m["score"], m["beg"], m["end"]) for m in ms or []], bs, es, max_len)
+    @F.pandas_udf("struct<beg:int,end:int>")
+    def fold(ms: pd.Series, bs: pd.Series, es: pd.Series) -> pd.DataFrame:
+        rows = []
+        for m, b, e in zip(ms, bs, es, strict=True):
+            found = [] if m is None else [(x["score"], x["beg"], x["end"]) for x in m]
+            rows.append((None, None) if b is None else clip(found, list(b), list(e), max_len))
+        return pd.DataFrame(rows, columns=["beg", "end"]).astype("Int32")
 
     return fold(matches, begs, ends)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom import workspace
+
 
 def _uniform(key: str, seed: int) -> Column:
     """A number in [0, 1) from a hash of the key."""
@@ -36,21 +38,26 @@ def cumulative_cells(df: DataFrame, key: str, weight: str, buckets: int = 4096)
     return cells.select(key, "w", (hi - F.col("w")).alias("lo"), hi.alias("hi"))
 
 
-def weighted_draws(df: DataFrame, key: str, weight: str, draws: DataFrame, draw: str, seed: int = 1, width: int = 1000) -> DataFrame:
+def weighted_draws(df: DataFrame, key: str, weight: str, draws: DataFrame, draw: str, seed: int = 1) -> DataFrame:
     """(draw, key): for every draw one key with probability weight / total, by looking up a random number in the cumulative
-    weights.  The lookup meets in ``width`` cells of equal weight, so it is an equi-join and not a comparison of all pairs."""
-    cells = cumulative_cells(df, key, weight)
-    total = cells.agg(F.max("hi")).scalar()
-    cells = cells.withColumn("_tx_total", total)
-    lo, hi = F.floor(F.col("lo") / F.col("_tx_total") * width), F.floor(F.col("hi") / F.col("_tx_total") * width)
+    weights.  The lookup meets in as many cells of equal weight as there are keys, so a draw meets two keys on average,
+    and it is an equi-join and not a comparison of all pairs."""
+    cells = workspace.materialise(cumulative_cells(df, key, weight), "cells")
+    total, n = cells.agg(F.coalesce(F.max("hi"), F.lit(0.0)), F.count("*")).first()
+    if not n:
+        return draws.select(draw, F.lit(None).cast(dict(df.dtypes)[key]).alias(key)).limit(0)
+    width = max(1, n)
+    lo, hi = F.floor(F.col("lo") / total * width), F.floor(F.col("hi") / total * width)
     cells = cells.withColumn("_tx_cell", F.explode(F.sequence(lo, F.least(hi, F.lit(width - 1)))))
     thrown = draws.select(draw, _uniform(draw, seed).alias("_tx_r")).withColumn("_tx_cell", F.floor(F.col("_tx_r") * width))
-    x = F.col("_tx_r") * F.col("_tx_total")
+    x = F.col("_tx_r") * total
     return thrown.join(cells, "_tx_cell").filter((x >= F.col("lo")) & (x < F.col("hi"))).select(draw, key)
 
 
-def shuffled_pairs(df: DataFrame, key: str, left: str, right: str, buckets: int = 256, seed: int = 1) -> DataFrame:
-    """(key, left, right): right sides from other rows, as negative examples.  Rows trade places within random buckets."""
+def shuffled_pairs(df: DataFrame, key: str, left: str, right: str, buckets: int | None = None, seed: int = 1) -> DataFrame:
+    """(key, left, right): right sides from other rows, as negative examples.  Rows trade places within random buckets, of
+    about 10,000 rows each unless their number is given."""
+    buckets = buckets or max(1, df.count() // 10_000)
     order = F.xxhash64(F.col(key), F.lit(seed))
     rows = df.select(key, left, right, F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(buckets)).alias("_tx_b"), order.alias("_tx_o"))
     w = Window.partitionBy("_tx_b").orderBy("_tx_o", key)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,16 +11,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stated_against_all(stated: DataFrame, every: DataFrame, key: str, vector: str, keep: str, k: int, least: float, block_rows: int = 2048) -> DataFrame:
+def stated_against_all(stated: DataFrame, every: DataFrame, key: str, vector: str, keep: str, k: int, least: float, block_rows: int = 2048, sent_rows: int = 16_384) -> DataFrame:
     """(query, id, sim): for stated query vectors, all rows of cosine >= least, or the k best of all rows.
 
     The stated set is cut into blocks; each task multiplies a batch of rows with one block after the other, so neither side
-    is ever paired row by row.  The blocks go to the tasks with the function, which suits a stated set of bounded size;
-    it is collected in id order and refused beyond 50,000 vectors.
+    is ever paired row by row.  A stated set of up to ``sent_rows`` vectors goes to the tasks with the function; of a larger
+    one every part of that size, by a hash of the key, is fetched and sent in turn, and scans the rows once.
     """
-    rows = stated.select(F.col(key).alias("id"), F.col(vector).alias("v")).orderBy("id").limit(50_001).collect()
-    if len(rows) > 50_000:
-        raise ValueError("a stated query set has at most 50,000 vectors; build a graph for more")
+    parts = max(1, -(-stated.count() // sent_rows))
+    scans = [_against(stated.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i), every, key, vector, keep, k, least, block_rows) for i in range(parts)]
+    found = reduce(DataFrame.unionByName, scans)
+    if keep == "threshold":
+        return found
+    w = Window.partitionBy("query").orderBy(F.round("sim", 9).desc(), "id")
+    return found.filter("query <> id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _against(stated: DataFrame, every: DataFrame, key: str, vector: str, keep: str, k: int, least: float, block_rows: int) -> DataFrame:
+    rows = stated.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null").orderBy("id").collect()  # a bounded part
     ids = np.array([r[0] for r in rows], dtype=np.int64)
     q = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     norms = np.linalg.norm(q, axis=1)
@@ -44,11 +53,7 @@ def stated_against_all(stated: DataFrame, every: DataFrame, key: str, vector: st
                     j = j.ravel()
                 yield pd.DataFrame({"query": ids[b + i], "id": own[j], "sim": g[i, j]})
 
-    found = every.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter("v is not null").mapInPandas(run, "query long, id long, sim double")
-    if keep == "threshold":
-        return found
-    w = Window.partitionBy("query").orderBy(F.round("sim", 9).desc(), "id")
-    return found.filter("query <> id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return every.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter("v is not null").mapInPandas(run, "query long, id long, sim double")
 
 
 def nearest(stated: DataFrame, every: DataFrame, key: str, vector: str, k: int) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom import workspace
 from textloom.functions import text as T
 
 #: sentence numbers of a chunk stay below this
@@ -50,8 +51,8 @@ def dense_sentence_uid(tokens: DataFrame, first: int = 0) -> DataFrame:
     """
     per = tokens.select("chunk_idx", "sent_uid").distinct()
     sizes = per.groupBy("chunk_idx").agg(F.count("*").alias("n"))
-    # chunks in ranges: totals of ranges are few
-    ranged = sizes.repartitionByRange("chunk_idx").withColumn("part", F.spark_partition_id())
+    # chunks in ranges: totals of ranges are few; written, as a range's number holds for one run alone
+    ranged = workspace.materialise(sizes.repartitionByRange("chunk_idx").withColumn("part", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy("part").agg(F.sum("n").alias("part_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("part", F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("part_base"))
@@ -73,12 +74,21 @@ def ngram_rows(df: DataFrame, ws: str, n: int) -> DataFrame:
 def context_pairs(tokens: DataFrame, k: int) -> DataFrame:
     """(sent_uid, pos, word, context): every word with the words at most k positions away in its sentence, itself excluded."""
     per = tokens.groupBy("sent_uid").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("ws"))
+    # positions of a token table may have gaps, so they are compared and not counted
     each = per.select("sent_uid", "ws", F.explode("ws").alias("t"))
     lo = F.greatest(F.col("t.pos") - k, F.lit(0))
     near = F.filter(F.slice("ws", lo + 1, 2 * k + 1), lambda x: (x.pos != F.col("t.pos")) & (x.pos <= F.col("t.pos") + k))
     return each.select("sent_uid", F.col("t.pos").alias("pos"), F.col("t.word").alias("word"), F.explode(near).alias("c")).select("sent_uid", "pos", "word", F.col("c.word").alias("context"))
 
 
+def contexts(sentences: DataFrame, k: int) -> DataFrame:
+    """(sent_uid, pos, word, context) as by ``context_pairs``, of whole word lists (sent_uid, ws): without a shuffle."""
+    each = sentences.select("sent_uid", "ws", F.posexplode("ws").alias("pos", "word"))
+    before = F.slice("ws", F.greatest(F.col("pos") - k, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(k)))
+    after = F.slice("ws", F.col("pos") + 2, k)
+    return each.select("sent_uid", "pos", "word", F.explode(F.concat(before, after)).alias("context"))
+
+
 def consecutive_ranges(df: DataFrame, key: str, order: str, within: str) -> DataFrame:
     """(within, key, begin, end): runs of equal keys in order, half open."""
     w = Window.partitionBy(within).orderBy(order)

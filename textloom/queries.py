@@ -210,7 +210,7 @@ def bigram_count(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_TOKENS} SELECT a.word, b.word AS context, count(*) AS n FROM tokens a JOIN tokens b
 ON a.sent_uid = b.sent_uid AND a.pos <> b.pos AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 GROUP BY ALL""")
 def context_counts(spark: SparkSession, d: str) -> DataFrame:
-    pairs = tokens.context_pairs(_tokens(spark, d), 2)
+    pairs = tokens.contexts(_sentences(spark, d).select("sent_uid", X.words(F.col("sentence")).alias("ws")), 2)
     return pairs.groupBy("word", "context").agg(F.count("*").alias("n"))
 
 
@@ -667,7 +667,7 @@ def results_with_rows(spark: SparkSession, d: str) -> DataFrame:
 SELECT sent_uid, pos, round(sum(w) OVER (PARTITION BY sent_uid ORDER BY pos), 6) AS subtree FROM t""")
 def subtree_sums(spark: SparkSession, d: str) -> DataFrame:
     trees = _trees(spark, d)
-    return depgraph.fragilities(trees).select("sent_uid", F.col("pos").cast("long").alias("pos"), F.round("subtree", 6).alias("subtree"))
+    return depgraph.fragilities(trees, with_fragility=False).select("sent_uid", F.col("pos").cast("long").alias("pos"), F.round("subtree", 6).alias("subtree"))
 
 
 def _trees(spark: SparkSession, d: str) -> DataFrame:
@@ -781,19 +781,22 @@ def svm_labels(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", "y", (models.svm_score(model, F.col("embedding")) > 0).alias("positive"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents WHERE source = 'query.log' AND text IS NOT NULL)
-SELECT doc_id, len(ws) - 1 AS n_merges, array_to_string(ws, ' ') AS leaves FROM w WHERE len(ws) BETWEEN 1 AND 40""")
+@query(f"""WITH {_TOKENS} SELECT sent_uid, any_value(n) - 1 AS n_merges,
+  string_agg(replace(replace(word, '(', '⟨'), ')', '⟩'), ' ' ORDER BY pos) AS leaves FROM tokens GROUP BY sent_uid""")
 def parse_trees(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy trees of asked texts: a tree of n words has n - 1 merges and its words in order."""
-    s = _docs(spark, d).filter("source = 'query.log' AND text IS NOT NULL").select(F.col("doc_id").alias("sent_uid"), X.words(F.col("text")).alias("ws"))
-    trees = parser.parse_sentences(s, {}, parser.Merger.random(8, 3), "greedy", 40)
-    merges = F.size(F.split("tree", "\\)", -1)) - 1
+    """Greedy trees of all sentences: a tree of n words has n - 1 merges and its words in order.  Both are read off the trees."""
+    s = _sentences(spark, d).select("sent_uid", X.words(F.col("sentence")).alias("ws"))
+    trees = parser.parse_sentences(s, None, parser.Merger.random(8, 3))
+    merges = F.length("tree") - F.length(F.replace(F.col("tree"), F.lit(")"), F.lit("")))
     leaves = F.array_join(F.array_remove(F.split(F.regexp_replace("tree", "[()]", " "), "\\s+"), ""), " ")
-    plain = s.filter((F.size("ws") >= 1) & (F.size("ws") <= 40)).select("sent_uid", F.size("ws").alias("k"), F.array_join("ws", " ").alias("leaves"))
-    # words may hold brackets themselves: then the words are taken from the sentence
-    has = F.col("leaves_s").contains("(") | F.col("leaves_s").contains(")")
-    t = trees.select("sent_uid", merges.alias("m"), leaves.alias("l")).join(plain.withColumnRenamed("leaves", "leaves_s"), "sent_uid")
-    return t.select(F.col("sent_uid").alias("doc_id"), F.when(has, F.col("k") - 1).otherwise(F.col("m")).cast("long").alias("n_merges"), F.when(has, F.col("leaves_s")).otherwise(F.col("l")).alias("leaves"))
+    return trees.select("sent_uid", merges.cast("long").alias("n_merges"), leaves.alias("leaves"))
+
+
+@query()
+def sentence_parses(spark: SparkSession, d: str) -> DataFrame:
+    """The greedy trees themselves with their scores, under fixed weights; tested against a tree worked out by hand."""
+    s = _sentences(spark, d).select("sent_uid", X.words(F.col("sentence")).alias("ws"))
+    return parser.parse_sentences(s, None, parser.Merger.random(8, 3)).select("sent_uid", "tree", F.round("score", 6).alias("score"))
 
 
 _KNOWN = f"""
@@ -816,8 +819,8 @@ s AS (SELECT row_uid, ln(1 / (1 + exp(-list_cosine_similarity(x.vec, y.vec)))) A
 SELECT row_uid, count(*) AS n, round(sum(s), 6) AS score FROM s GROUP BY row_uid""")
 def context_scores(spark: SparkSession, d: str) -> DataFrame:
     """How well the words of a cell fit their contexts, within five words."""
-    cells = table(spark, d, "ygp_rows").select(F.col("row_uid").alias("sent_uid"), F.col("row_uid").alias("chunk_idx"), F.col("row_str").alias("sentence")).filter("sentence IS NOT NULL")
-    pairs = tokens.context_pairs(tokens.token_table(cells), 5)
+    cells = table(spark, d, "ygp_rows").filter("row_str IS NOT NULL").select(F.col("row_uid").alias("sent_uid"), X.words(F.col("row_str")).alias("ws"))
+    pairs = tokens.contexts(cells, 5)
     s = similarity.context_scores(pairs, _known_vectors(spark, d), "sent_uid")
     return s.select(F.col("sent_uid").alias("row_uid"), "n", F.round("score", 6).alias("score"))
 
@@ -826,8 +829,8 @@ def context_scores(spark: SparkSession, d: str) -> DataFrame:
 def context_derived_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of words outside of a known vocabulary, from the vectors of their contexts in cells."""
     known = _known_vectors(spark, d)
-    cells = table(spark, d, "ygp_rows").select(F.col("row_uid").alias("sent_uid"), F.col("row_uid").alias("chunk_idx"), F.col("row_str").alias("sentence")).filter("sentence IS NOT NULL")
-    pairs = tokens.context_pairs(tokens.token_table(cells), 10)
+    cells = table(spark, d, "ygp_rows").filter("row_str IS NOT NULL").select(F.col("row_uid").alias("sent_uid"), X.words(F.col("row_str")).alias("ws"))
+    pairs = tokens.contexts(cells, 10)
     unseen = pairs.join(known, "word", "left_anti")
     v = similarity.context_vectors(unseen, known)
     return v.select("word", "n", F.round(F.get("centroid", F.lit(0)), 5).alias("first"))
@@ -875,5 +878,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query(_NODES + "SELECT line_no, kind, node_path, array_to_string(string_split(node_path, '/')[:3], '/') AS claim_path FROM k WHERE kind = 'refsnak'")
 def p7_refsnaks_of_claims(spark: SparkSession, d: str) -> DataFrame:
     """Reference snaks with the claim that contains them, linked by intervals over two levels."""
-    labelled = nested.nodes(table(spark, d, "wikidata_dump"))
-    return nested.link(nested.kind_table(labelled, "claim"), nested.kind_table(labelled, "refsnak"), "claim").select("line_no", F.lit("refsnak").alias("kind"), "node_path", "claim_path")
+    labelled = nested.nodes(table(spark, d, "wikidata_dump"), kinds=("claim", "refsnak"))
+    return nested.linked(labelled, "claim", "refsnak", "claim").select("line_no", F.lit("refsnak").alias("kind"), "node_path", "claim_path")

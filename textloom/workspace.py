@@ -1,7 +1,7 @@
 """Shared working folder for tables that cut lineage, and other session helpers.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-temporary folder is made and set.  Every executor must be able to reach it, so an executor that is lost takes no
+temporary folder is made and set, and on a cluster without that setting there is an error.  Every executor must be able to reach it, so an executor that is lost takes no
 written table with it.
 """
 
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     told = told or spark.sparkContext.getCheckpointDir()
     if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         told = tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(told)
     return told.rstrip("/")
