@@ -10,8 +10,12 @@ languages of its script, plus some bytes for each letter that the language does
 ``STEP_COST`` bytes a step.  The chain of least length wins; leaving the piece unchanged costs nothing and wins all ties.  Dictionaries are trained on at most ``sample_rows``
 labelled rows a language, taken in hash order, from rows whose letters all belong to the language's alphabet.
 
-Pieces are sentences or lines of a cell; what is around a garbled piece does not matter.  A piece with replacement characters,
-or with a broken sequence of a multi-byte encoding, is garbled but can't be restored.
+A further candidate describes a piece that lost a part: without its replacement characters and the remains of broken
+sequences, at the cost of a step.  If that is the shortest, the piece is garbled but can't be restored.
+
+Pieces are sentences or lines of a cell; what is around a garbled piece does not matter.  A candidate is left out of the
+compression only where its lower bound - its escapes, flaws and steps and the smallest size of a compressed piece -
+exceeds the best length so far, so every chain has its say.  Equal pieces of a task are described once.
 
 Defined cases: null, empty and ASCII texts (without escaped characters) are not garbled; equal rows get equal results; texts of any length are read
 whole; without labelled rows of a script its texts are described by an untrained compressor; further columns are ignored.
@@ -21,7 +25,7 @@ from __future__ import annotations
 
 import html
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -56,11 +60,19 @@ LANGUAGES = {
     "Latin": ("en", "de", "fr", "es", "pt"), "Cyrillic": ("ru",), "Arabic": ("ar",), "Devanagari": ("hi",), "Thai": ("th",), "Hangul": ("ko",),
     "Hiragana": ("ja",), "Katakana": ("ja",), "Han": ("zh", "ja"),
 }
-STEP_COST = {"utf-8": 1, "other": 3}
+STEP_COST = {"utf-8": 1, "other": 4, "lost": 1}
+#: no piece is described in fewer bytes
+LEAST_BYTES = 8
+LOST = "lost"
 #: bytes for a letter that is not of the language's alphabet, and for any other unusual sign
 ESCAPE_LETTER, ESCAPE_SIGN = 3, 1
 #: bytes for each place where a text is implausible
 FLAW_COST = 3
+#: bytes for each remain of a broken sequence: where it stands, and where it is described as a lost character
+BROKEN_COST, LOST_COST = 5, 4
+#: bytes for each kind of sign in a result that the language does not have: an encoding without check sums turns anything
+#: into anything, so what it makes must be spelt right; the check of UTF-8 is weak for a single short sequence
+UNSPELT_COST = {"utf-8": 3, "other": 8}
 _SCRIPT_OF = {k: regex.compile(rf"\p{{{k}}}") for k in LANGUAGES}
 _PIECE = regex.compile(r"(?<=[.!?…。！？।؟｡．][\"”»“’)\]]*)\s+|[\r\n]+")
 _USUAL = frozenset("«»“”„‚‘’–—…§°¿¡·，。！？：；（）「」『』、।؟،؛٫｡．  €£±×")
@@ -68,7 +80,7 @@ _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]*[^\x00-\x7F«»“”„’–—…
 #: what no plausible text holds: controls, unassigned, private and replacement characters, signs inside or before words,
 #: words of mixed scripts
 _IMPLAUSIBLE = regex.compile(
-    r"[\x80-\x9F\p{Cn}\p{Co}\p{Cs}\uFFFD]|(?<=\p{L})[\p{S}\p{Pi}¿¡§¶•†‡‰](?=\p{L})|(?<![\p{L}\p{N}])[\p{S}\p{No}--[©®°]](?=\p{L})"
+    r"[\x80-\x9F\p{Cn}\p{Co}\p{Cs}\uFFFD]|(?<=\p{L})[\p{S}\p{Pi}„‚¿¡§¶•†‡‰](?=\p{L})|(?<![\p{L}\p{N}])[\p{S}\p{No}--[©®°]](?=\p{L})"
     r"|(?<=\p{Latin})(?=[\p{L}--\p{Latin}--\p{Han}--\p{Hangul}--\p{Hiragana}--\p{Katakana}--\p{Lm}])"
     r"|(?<=[\p{L}--\p{Latin}--\p{Han}--\p{Hangul}--\p{Hiragana}--\p{Katakana}--\p{Lm}])(?=\p{Latin})|(?<=\p{Ll})[ªº](?=\p{Ll})",
     regex.V1,
@@ -144,15 +156,12 @@ def _high(text: str) -> set[str]:
     return {c for c in set(text) if c > "\x7f"}
 
 
-def candidates(piece: str, high: set[str] | None = None, spelt: Callable[[set[str]], bool] | None = None) -> Iterator[tuple[str, int, str]]:
-    """(chain, cost with that of its flaws, text) of the plausible ways to undo a wrong reading of a piece.
+def candidates(piece: str, high: set[str] | None = None) -> Iterator[tuple[str, int, str]]:
+    """(chain, cost of its steps, text) of the ways to undo a wrong reading of a piece, or to describe what is left of it.
 
-    An encoding without check sums could turn anything into anything: ``spelt`` says whether a language has its result's
-    letters and signs.
+    Those by a table of one character for another are ``translations``.
     """
     high = _high(piece) if high is None else high
-    flaws: int | None = None
-    settled = False
     for encoding in UTF8_READ_AS:
         if not high & _sequences(encoding)[1]:
             continue
@@ -162,28 +171,31 @@ def candidates(piece: str, high: set[str] | None = None, spelt: Callable[[set[st
             if after == text:
                 break
             text, steps = after, steps + 1
-            if flaws is None:
-                flaws = len(_IMPLAUSIBLE.findall(piece))
-            left = len(_IMPLAUSIBLE.findall(text))
-            if left <= flaws:
-                yield ">".join([f"{encoding}:utf-8"] * steps), steps * STEP_COST["utf-8"] + FLAW_COST * left, text
-                settled = settled or (not left and spelt is not None and spelt(_high(text)))
-    if settled:
-        return  # well-formed sequences became text of a language: no chain without such a check describes it shorter
-    for read_as, really in SINGLE_BYTE:
-        table, known = _translation(read_as, really)
-        if high <= known and (spelt is None or spelt({c for x in high for c in table[ord(x)] if c > "\x7f"})):
-            text = piece.translate(table)
-            if text != piece and not _IMPLAUSIBLE.search(text):
-                yield f"{read_as}:{really}", STEP_COST["other"], text
+            yield ">".join([f"{encoding}:utf-8"] * steps), steps * STEP_COST["utf-8"], text
     if len(high) > 1 and high <= _bytes("cp1252").keys():
         raw = piece.translate(_TO_LATIN1).encode("latin-1")
         n = len(raw) - len(raw.translate(None, _HIGH_BYTES))
         for really in DOUBLE_BYTE if n >= 4 else ():
             text = raw.decode(really, "replace")
             wide = len(_WIDE.findall(text))
-            if wide >= 2 and 3 * wide > n and text.count("\ufffd") * 12 <= wide and not regex.search(r"[\p{Co}\p{Cn}\x80-\x9F]", text):
-                yield f"latin-1:{really}", STEP_COST["other"] + FLAW_COST * len(_IMPLAUSIBLE.findall(text)), text
+            if wide >= 2 and 3 * wide > n and text.count("\ufffd") * 12 <= wide and not _NO_TEXT.search(text):
+                yield f"latin-1:{really}", STEP_COST["other"], text
+    if _BROKEN.search(piece):
+        text, n = _BROKEN.subn("", piece)
+        yield LOST, STEP_COST["lost"] + LOST_COST * n, text
+
+
+def translations(high: set[str]) -> Iterator[tuple[str, dict[int, str], set[str]]]:
+    """(chain, table, what becomes of the characters beyond ASCII) of the single-byte encodings that can read a piece."""
+    for read_as, really in SINGLE_BYTE:
+        table, known = _translation(read_as, really)
+        if high <= known:
+            after = {x for c in high for x in table[ord(c)] if x > "\x7f"}
+            if any(table[ord(c)] != c for c in high):
+                yield f"{read_as}:{really}", table, after
+
+
+_NO_TEXT = regex.compile(r"[\p{Co}\p{Cn}\x80-\x9F]")
 
 
 class Describer:
@@ -204,6 +216,8 @@ class Describer:
         self.letters = {k: regex.compile(f"[{v}]") if v else None for k, v in ALPHABET.items()}
         self.escapes: dict[tuple[str, str], int] = {}
         self.scripts: dict[str, frozenset[str]] = {}
+        self.pieces: dict[str, tuple[str | None, str]] = {}
+        self.tables: dict[frozenset[str], list[tuple]] = {}
 
     def languages(self, high: set[str]) -> set[str]:
         found: set[str] = set()
@@ -229,6 +243,28 @@ class Describer:
             self.escapes[(language, c)] = cost
         return cost
 
+    def bound(self, high: set[str], languages: set[str]) -> int:
+        """No text with these characters beyond ASCII has a shorter description."""
+        return LEAST_BYTES + min((sum(self._escape(k, c) for c in high) for k in languages), default=0)
+
+    def translations(self, high: set[str], own: set[str]) -> list[tuple]:
+        """(bound with cost, cost, chain, table, characters beyond ASCII, languages), kept per set of characters."""
+        key = frozenset(high)
+        kept = self.tables.get(key)
+        if kept is None:
+            if len(self.tables) > 50_000:
+                self.tables.clear()
+            kept = self.tables[key] = []
+            for chain, table, after in translations(high):
+                languages = own | self.languages(after)
+                cost = STEP_COST["other"] + UNSPELT_COST["other"] * self.unspelt(after, languages)
+                kept.append((self.bound(after, languages) + cost, cost, chain, table, after, languages))
+        return kept
+
+    def unspelt(self, high: set[str], languages: set[str]) -> int:
+        """How many of these signs the language that has most of them does not have."""
+        return min((sum(1 for c in high if self._escape(k, c)) for k in languages), default=0)
+
     def length(self, text: str, high: set[str], languages: set[str]) -> int:
         raw = text.encode("utf-8", "surrogatepass")
         lower = text.lower().encode("utf-8", "surrogatepass") if sum(map(str.isupper, text)) > 0.4 * len(text) else None
@@ -237,7 +273,7 @@ class Describer:
         # a language with so many more escapes than the best total so far can't be shorter: no piece takes under 8 bytes
         spelling = sorted((sum(self._escape(k, c) * n for c, n in counts), k) for k in languages)
         for escapes, k in spelling:
-            if best is not None and escapes + 8 >= best:
+            if best is not None and escapes + LEAST_BYTES >= best:
                 break
             n = len(self.by_language[k].compress(raw))
             if lower is not None:
@@ -246,32 +282,49 @@ class Describer:
                 best = n + escapes
         return len(self.plain.compress(raw)) if best is None else best
 
-    def spelt(self, high: set[str]) -> bool:
-        """Whether one of the languages has all these letters and signs."""
-        return any(not any(self._escape(k, c) for c in high) for k in self.languages(high))
 
-    def known(self, piece: str) -> bool:
-        """Whether all words of a piece with letters beyond ASCII are words of the training rows."""
-        return all(w in self.words for w in _WORDS.findall(piece))
+
+def _flaws(text: str) -> int:
+    return FLAW_COST * len(_IMPLAUSIBLE.findall(text)) + BROKEN_COST * len(_BROKEN.findall(text))
 
 
 def restore_piece(piece: str, describer: Describer) -> tuple[str | None, str]:
-    """(chain or None, text): the chain of least description length."""
-    if describer.known(piece):
-        return None, piece  # nothing to gain: no escapes, and the dictionary knows its words
+    """(chain or None, text): the chain of least description length; ``LOST`` leaves the piece as it is."""
+    kept = describer.pieces.get(piece)
+    if kept is None:
+        if len(describer.pieces) > 50_000:
+            describer.pieces.clear()
+        kept = describer.pieces[piece] = _restore_piece(piece, describer)
+    return kept
+
+
+def _restore_piece(piece: str, describer: Describer) -> tuple[str | None, str]:
     high = _high(piece)
     own = describer.languages(high)
-    tried = []
-    for chain, cost, text in candidates(piece, high, describer.spelt):
+    tried: list[tuple] = []
+    for chain, cost, text in candidates(piece, high):
         after = _high(text)
-        tried.append((describer.length(text, after, own | describer.languages(after)) + cost, cost, chain, text))
+        languages = own | describer.languages(after)
+        if chain != LOST:
+            cost += UNSPELT_COST["utf-8" if chain.endswith("utf-8") else "other"] * describer.unspelt(after, languages)
+        tried.append((describer.bound(after, languages) + cost, cost, chain, text, after, languages))
+    tried += describer.translations(high, own)
     if not tried:
         return None, piece
-    best = min(tried, key=lambda x: x[:2])
-    unchanged = describer.length(piece, high, own | describer.languages(_high(best[3])))
-    if best[0] >= unchanged:  # only then the flaws of the piece itself matter
-        unchanged += FLAW_COST * len(_IMPLAUSIBLE.findall(piece))
-    return (best[2], best[3]) if best[0] < unchanged else (None, piece)
+    best_length = describer.length(piece, high, own) + _flaws(piece)
+    best: tuple[str, str] | None = None
+    for least, cost, chain, text, after, languages in sorted(tried, key=lambda x: x[:2]):
+        if least >= best_length:
+            break  # nor can any that follows be shorter
+        text = piece.translate(text) if isinstance(text, dict) else text
+        length = describer.length(text, after, languages) + cost
+        if length < best_length:
+            length += _flaws(text)
+            if length < best_length:
+                best_length, best = length, (chain, text)
+    if best is None:
+        return None, piece
+    return best[0], piece if best[0] == LOST else best[1]
 
 
 def restore(text: str, describer: Describer) -> tuple[bool, str | None, str]:
@@ -284,7 +337,7 @@ def restore(text: str, describer: Describer) -> tuple[bool, str | None, str]:
         garbled, chain, better = restore(plain, describer) if plain != text and not _ESCAPES.search(plain) else (False, None, text)
         if chain is not None:
             return True, f"html>{chain}", better
-    if text.isascii() or describer.known(text) and not _BROKEN.search(text):
+    if text.isascii():
         return False, None, text
     chains: list[str] = []
     garbled = False
@@ -299,10 +352,8 @@ def restore(text: str, describer: Describer) -> tuple[bool, str | None, str]:
         chain, better = restore_piece(piece, describer)
         if chain is not None:
             garbled = True
-            if chain not in chains:
+            if chain != LOST and chain not in chains:
                 chains.append(chain)
-        elif _BROKEN.search(better):
-            garbled = True
         out.append(better)
     return garbled, "; ".join(chains) or None, "".join(out)
 
