@@ -705,6 +705,48 @@ def result_rows(spark: SparkSession, d: str) -> DataFrame:
     return per.select("q", "n", F.array_join(F.transform("s", lambda x: x.sent_uid.cast("string")), ",").alias("sents"), "n_high")
 
 
+@query(f"""WITH {_TOKENS}, {_PAIRS}, {_SEARCH}, total AS (SELECT q, sent_uid, round(sum(score), 6) AS score FROM hits GROUP BY ALL HAVING round(sum(score), 6) > 0),
+r AS (SELECT q, sent_uid FROM total QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, sent_uid) <= 5),
+places AS (SELECT sent_uid, pos, word, lead(word) OVER (PARTITION BY sent_uid ORDER BY pos) AS head_word FROM tokens),
+m AS (SELECT qh.q, qh.q_pos, p.sent_uid, p.pos, round(qh.score * s.similarity * (1 + qh.head_score * coalesce(h.similarity, 0.0)), 6) AS score
+  FROM r JOIN qh USING (q) JOIN sim s ON qh.word = s.word JOIN places p ON p.word = s.sim_word AND p.sent_uid = r.sent_uid
+  LEFT JOIN sim h ON h.word = qh.head_word AND h.sim_word = p.head_word WHERE qh.score >= 0.6)
+SELECT q, sent_uid, q_pos, pos, score FROM m QUALIFY row_number() OVER (PARTITION BY q, sent_uid, q_pos ORDER BY score DESC, pos) = 1""")
+def result_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Where every word of an asked sentence meets each of its results."""
+    imp = _importance(spark, d)
+    t = materialise(_tokens(spark, d), "tokens")
+    words = _query_words(spark, d, t, imp)
+    similar = search.exact_similar(t.select("word").distinct())
+    found = search.find_similar_sentences(words, similar, t)
+    return search.match_list(found, words, similar, t).select("q", "sent_uid", F.col("q_pos").cast("long").alias("q_pos"), F.col("pos").cast("long").alias("pos"), "score")
+
+
+@query(f"""WITH {_TOKENS}, {_PAIRS}, {_SEARCH}
+SELECT q, string_agg(word, ' ' ORDER BY q_pos) AS words, string_agg(CASE WHEN score >= 0.6 THEN '1' ELSE '0' END, '' ORDER BY q_pos) AS kept, round(sum(score), 6) AS cutoff FROM q GROUP BY q""")
+def query_info(spark: SparkSession, d: str) -> DataFrame:
+    """Words of every asked sentence, which of them count, and the sum of their importances."""
+    words = _query_words(spark, d, _tokens(spark, d), _importance(spark, d))
+    per = words.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("q_pos", "word", (F.col("score") >= 0.6).cast("int").cast("string").alias("k")))).alias("ws"), F.round(F.sum("score"), 6).alias("cutoff"))
+    return per.select("q", F.array_join(F.transform("ws", lambda x: x.word), " ").alias("words"), F.array_join(F.transform("ws", lambda x: x.k), "").alias("kept"), "cutoff")
+
+
+@query("""WITH v AS (SELECT word, min(list_transform(wvec, lambda x: x::DOUBLE)) AS v, max(n_seen) AS n FROM word_vectors
+  WHERE word IS NOT NULL AND len(wvec) = 100 AND len(list_filter(wvec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(wvec, lambda x: x <> 0)) > 0 GROUP BY word),
+u AS (SELECT word, n, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))::DOUBLE[100] AS v FROM v),
+s AS (SELECT word, 0.9 * (1 - 1 / greatest(1.0, ln(n) + 0.001)) AS score, v FROM u WHERE n > 0),
+p AS (SELECT a.word, b.word AS sim_word, a.score, array_inner_product(a.v, b.v) AS c FROM s a JOIN u b ON TRUE WHERE a.score >= 0.6)
+SELECT word, sim_word, round(c, 4) AS similarity FROM p WHERE round(c, 9) >= round(0.7 * score, 9)""")
+def similar_words(spark: SparkSession, d: str) -> DataFrame:
+    """For each word whose importance, here by how often it was seen, is not noisy: all words within its threshold."""
+    numbers = F.filter("wvec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    v = table(spark, d, "word_vectors").filter((F.size("wvec") == 100) & (F.size(numbers) == 100) & F.exists("wvec", lambda x: x != 0))
+    v = v.select("word", F.col("wvec").cast("array<double>").alias("vec"), "n_seen")
+    stated = v.filter("word is not null").groupBy("word").agg(F.max("n_seen").alias("n")).filter("n > 0")
+    stated = stated.select("word", importance.score(F.log(F.col("n"))).alias("score"))
+    return search.vector_similar(stated, v).withColumn("similarity", F.round("similarity", 4))
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # learned weights, latent spaces, trees
 
