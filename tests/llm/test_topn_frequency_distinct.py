@@ -181,3 +181,13 @@ def test_a_version_is_committed_once(spark, tmp_path):
     except RuntimeError:
         pass
     assert {r.term for r in frequency.TermCounts(spark, path).counts().collect()} == {"a", "b"}
+
+
+def test_rows_of_a_repeated_key_are_ranked_as_one_record(spark):
+    rows = [("f", 0, "alpha alpha beta")] * 300 + [("f", 1, "alpha"), ("f", 2, "gamma beta"), ("f", 3, "beta"), ("f", None, "alpha"), ("f", None, "delta")]
+    df = spark.createDataFrame(rows, "src_field string, rec_key long, text string")
+    got = {(r.rec_key, r.term): (r.tf, r.df, r.cf) for r in distinct.distinctive_terms(df, min_df=1).collect()}
+    assert got[0, "alpha"] == (600, 302, 602) and got[0, "beta"] == (300, 302, 302)
+    assert got[None, "delta"] == (1, 1, 1) and got[2, "gamma"] == (1, 1, 1)
+    tf_idf = {(r.rec_key, r.term): r.tf_idf for r in distinct.distinctive_terms(df, min_df=1, by="tf_idf").collect()}
+    assert tf_idf[2, "gamma"] == round(math.log(305), 6)
