@@ -171,3 +171,17 @@ def test_few_or_no_vectors(spark):
     assert neighbours.similar_pairs(neighbours.nn_descent(one, "k", "v"), one, "k", "v", 10, 0.8).count() == 0
     two = spark.createDataFrame([(1, [1.0] * 100), (2, [2.0] * 99 + [2.1])], "k long, v array<float>")
     assert neighbours.similar_pairs(neighbours.nn_descent(two, "k", "v"), two, "k", "v", 10, 0.8).count() == 1
+
+
+def test_schedules_of_a_table(spark):
+    s = spark.createDataFrame([(k, "ab"[k % 2], 10) for k in range(4000)], "doc_id long, source string, n_tokens long")
+    t = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    told = spark.createDataFrame([("m", "a", 0.8), ("m", "b", -0.8), ("m", "c", 5.0), ("n", "a", None)], "mix_name string, source string, slope double")
+    rows = mixing.mix(s, t, schedules=told).collect()
+    half = [r.source for r in rows if r.position < 20_000]
+    # the integral of 0.5 * (1 + 0.8 * (1 - 2t)) up to 1/2 is 0.35 of the whole
+    assert abs(half.count("a") / 4000 - 0.35) < 0.01 and abs(half.count("b") / 4000 - 0.15) < 0.01
+    steep = {r.source: r.slope for r in mixing.mix_plan(s, t, schedules=told.selectExpr("mix_name", "source", "slope * 9 as slope")).collect()}
+    assert steep == {"a": 0.95, "b": -0.95}
+    flat = {r.source: r.slope for r in mixing.mix_plan(s, t, schedules=told.limit(0)).collect()}
+    assert flat == {"a": 0.0, "b": 0.0}

@@ -2,8 +2,9 @@
 
 For every mix, source s has a target share p_s and a weight schedule w_s(t) = p_s (1 + a_s (1 - 2 t)) over training time
 t in [0, 1].  Its integral over the whole time is p_s, so the shares are those of the table, while a positive slope a_s
-brings a source early and a negative one late.  Slopes come from the sources' mean document lengths (short documents
-first), centred so that the weights of all sources add to the same rate at any time.
+brings a source early and a negative one late.  Slopes come from a table of schedules, or else from the sources' mean
+document lengths (short documents first); they are centred so that the weights of all sources add to the same rate at any
+time, and flattened alike where one would leave (-1, 1).
 
 1. Demand: a mix has the total size of its sources (or ``total``); source s should give p_s of it.
 2. Supply: at most ``max_repeats`` passes over its documents; a source that is short, or has no documents, gives what it
@@ -25,8 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """One row per mix and source: available and wanted tokens, what is taken, slope.  Bounded by the table of targets."""
+def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None, schedules: DataFrame | None = None) -> DataFrame:
+    """One row per mix and source: available and wanted tokens, what is taken, slope.  Bounded by the table of targets.
+
+    schedules: mix_name, source, slope; what it does not list, or lists without a slope, has the slope 0.
+    """
     have = sizes.groupBy("source").agg(F.sum("n_tokens").alias("available"), F.count("*").alias("documents"))
     want = (
         targets.filter((F.col("target_share") > 0) & F.col("mix_name").isNotNull() & F.col("source").isNotNull())
@@ -39,12 +43,18 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) ->
     plan = plan.withColumn("mix_tokens", size).withColumn("wanted", F.col("target_share") * F.col("mix_tokens"))
     supply = F.col("available") * F.coalesce(F.col("max_repeats"), F.lit(1))
     plan = plan.withColumn("taken", F.least(F.col("wanted"), supply.cast("double")))
-    # slope: place of the source in the order of mean lengths, centred by what the sources give; always within (-1, 1)
-    mean = F.col("available") / F.greatest(F.col("documents"), F.lit(1))
-    by_length = Window.partitionBy("mix_name").orderBy(mean, "source")
-    plan = plan.withColumn("place", F.percent_rank().over(by_length))
-    centre = F.sum(F.col("place") * F.col("taken")).over(mix) / F.greatest(F.sum("taken").over(mix), F.lit(1.0))
-    return plan.withColumn("slope", F.round(0.9 * (centre - F.col("place")), 9)).drop("place")
+    if schedules is None:
+        # place of the source in the order of mean lengths
+        mean = F.col("available") / F.greatest(F.col("documents"), F.lit(1))
+        by_length = Window.partitionBy("mix_name").orderBy(mean, "source")
+        plan = plan.withColumn("told", -0.9 * F.percent_rank().over(by_length))
+    else:
+        told = schedules.groupBy("mix_name", "source").agg(F.max("slope").cast("double").alias("told"))
+        plan = plan.join(told, ["mix_name", "source"], "left").withColumn("told", F.when(F.isnan("told"), 0.0).otherwise(F.coalesce("told", F.lit(0.0))))
+    centre = F.sum(F.col("told") * F.col("taken")).over(mix) / F.greatest(F.sum("taken").over(mix), F.lit(1.0))
+    plan = plan.withColumn("told", F.col("told") - centre)
+    steepest = F.max(F.when(F.col("taken") > 0, F.abs("told")).otherwise(0.0)).over(mix)
+    return plan.withColumn("slope", F.round(F.col("told") * F.least(F.lit(1.0), 0.95 / F.greatest(steepest, F.lit(1e-9))), 9)).drop("told")
 
 
 def prefix_tokens(sizes: DataFrame, buckets: int = 4096) -> DataFrame:
@@ -59,10 +69,10 @@ def prefix_tokens(sizes: DataFrame, buckets: int = 4096) -> DataFrame:
     return rows.join(sums, ["source", "bucket"]).select("doc_id", "source", "n_tokens", (F.col("base") + F.col("inner")).alias("upto"))
 
 
-def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, schedules: DataFrame | None = None) -> DataFrame:
     """(mix_name, position, doc_id, copy_no, source, n_tokens), range-sorted by mix and position."""
     sizes = sizes.filter(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
-    plan = mix_plan(sizes, targets, total).filter(F.col("taken") > 0)
+    plan = mix_plan(sizes, targets, total, schedules).filter(F.col("taken") > 0)
     # the plan has at most as many rows as the fixed table of targets
     rows = prefix_tokens(sizes).join(F.broadcast(plan), "source")
     passes = F.ceil(F.col("taken") / F.col("available")).cast("int")
@@ -77,11 +87,11 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataF
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def shares(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+def shares(sizes: DataFrame, targets: DataFrame, total: int | None = None, schedules: DataFrame | None = None) -> DataFrame:
     """What each source of each mix really gives: target and actual share, tokens, copies, documents, passes."""
     known = sizes.filter(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
-    plan = mix_plan(known, targets, total)
-    got = mix(sizes, targets, total).groupBy("mix_name", "source").agg(
+    plan = mix_plan(known, targets, total, schedules)
+    got = mix(sizes, targets, total, schedules).groupBy("mix_name", "source").agg(
         F.sum("n_tokens").alias("tokens"), F.count("*").alias("copies"), (F.max("copy_no") + 1).alias("passes")
     )
     every = plan.join(got, ["mix_name", "source"], "left").fillna(0, ["tokens", "copies", "passes"])
