@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import distinct, encoding, frequency, mixing, neighbours, packing, quality, sentences, tokens, topn
+from textloom.operators import similarity
 from textloom.workspace import materialise, new_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,6 +185,53 @@ def p8_filled(spark: SparkSession, d: str) -> DataFrame:
     return packing.filled(_packed(spark, d), table(spark, d, "containers"))
 
 
+def _in_characters(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(table(spark, d, "documents").select("doc_id", "source", F.length("text").cast("long").alias("n_tokens")), "sizes")
+
+
+@query
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Packing by characters, of which SQL knows the sizes: what is placed, containers that hold too much or have gaps, and
+    documents that are split although they fit."""
+    kinds = table(spark, d, "containers").select("container_kind", (4 * F.col("capacity_tokens")).alias("room"))
+    packed = materialise(packing.pack(_in_characters(spark, d), {r[0]: r[1] for r in kinds.collect()}, "doc_id", "n_tokens"), "packed")  # 4 rows, fixed
+    per_box = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("begin") + F.col("n_tokens")).alias("end"))
+    boxes = per_box.join(F.broadcast(kinds), "container_kind").groupBy("container_kind").agg(
+        F.sum((F.col("n") > F.col("room")).cast("long")).alias("overfull"), F.sum((F.col("n") != F.col("end")).cast("long")).alias("gaps")
+    )
+    per_doc = packed.groupBy("container_kind", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"))
+    docs = per_doc.join(F.broadcast(kinds), "container_kind").groupBy("container_kind").agg(
+        F.count("*").alias("documents"), F.sum("n").alias("characters"), F.sum((F.col("pieces") != F.ceil(F.col("n") / F.col("room"))).cast("long")).alias("split")
+    )
+    return docs.join(boxes, "container_kind")
+
+
+SQL["p8_invariants"] = """SELECT container_kind, count(*) AS documents, sum(length(text))::BIGINT AS characters, 0 AS split, 0 AS overfull, 0 AS gaps
+FROM containers, documents WHERE length(text) > 0 GROUP BY container_kind"""
+
+
+@query
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Mixing by characters: what each source has and should give, whether it gives that to within its longest document,
+    in how many passes, and whether each document comes once more for every whole pass."""
+    sizes, targets = _in_characters(spark, d), table(spark, d, "mix_targets")
+    given = mixing.shares(sizes, targets)
+    rows = materialise(mixing.mix(sizes, targets), "mixed")
+    longest = sizes.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    copies = rows.groupBy("mix_name", "source", "doc_id").agg(F.count("*").alias("n"), F.max("copy_no").alias("last"))
+    whole = copies.groupBy("mix_name", "source").agg(F.min(F.col("n") == F.col("last") + 1).alias("in_turn"), (F.max("n") - F.min("n") <= 1).alias("even"))
+    plan = mixing.mix_plan(sizes.filter("source IS NOT NULL AND n_tokens > 0"), targets).select("mix_name", "source", "taken")
+    all_ = given.join(plan, ["mix_name", "source"]).join(longest, "source", "left").join(whole, ["mix_name", "source"], "left")
+    near = F.abs(F.col("tokens") - F.col("taken")) <= F.coalesce("longest", F.lit(0))
+    return all_.select("mix_name", "source", "available", F.round("taken", 3).alias("taken"), near.alias("reached"), F.coalesce(F.col("in_turn") & F.col("even"), F.lit(True)).alias("even"), (F.col("passes") <= F.col("max_repeats")).alias("within"))
+
+
+SQL["p9_invariants"] = """WITH have AS (SELECT source, sum(length(text))::BIGINT AS available FROM documents WHERE source IS NOT NULL AND length(text) > 0 GROUP BY source),
+t AS (SELECT mix_name, source, target_share, max_repeats, coalesce(available, 0) AS available FROM mix_targets LEFT JOIN have USING (source) WHERE target_share > 0),
+m AS (SELECT *, sum(available) OVER (PARTITION BY mix_name) AS whole FROM t)
+SELECT mix_name, source, available, round(least(target_share * whole, (available * max_repeats)::DOUBLE), 3) AS taken, TRUE AS reached, TRUE AS even, TRUE AS within FROM m"""
+
+
 @query
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"))
@@ -225,6 +273,19 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality(table(spark, d, "documents"))
 
+
+
+@query
+def p10_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts that SQL can form too."""
+    return quality.counts(table(spark, d, "documents")).select("doc_id", "n_chars", "n_visible", "n_words", "n_lines")
+
+
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SQL["p10_counts"] = f"""SELECT doc_id, length(text) AS n_chars, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS n_visible,
+len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda w: w <> '')) AS n_words, length(text) - length(replace(text, chr(10), '')) AS n_lines
+FROM documents WHERE text IS NOT NULL"""
+
 # 4: garbled text from wrong character encoding
 
 
@@ -264,6 +325,24 @@ r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k
 SELECT DISTINCT least(a, b) AS voca_idx_a, greatest(a, b) AS voca_idx_b FROM r WHERE k <= 10 AND c >= 0.8"""
 
 
+@query
+def p1_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every vector whose voca_idx is divisible by 20 among all rows, exactly, by blocked products."""
+    numbers = F.filter("wvec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    v = table(spark, d, "word_vectors").filter((F.size("wvec") == 100) & (F.size(numbers) == 100) & F.exists("wvec", lambda x: x != 0))
+    v = v.select("voca_idx", F.col("wvec").cast("array<double>").alias("v"))
+    found = similarity.nearest(v.filter("voca_idx % 20 = 0"), v, "voca_idx", "v", 10)
+    return found.select(F.col("query").alias("voca_idx"), F.col("id").alias("similar_voca_idx"), F.round("sim", 6).alias("cosine"))
+
+
+SQL["p1_exact"] = """
+WITH v AS (SELECT voca_idx, list_transform(wvec, lambda x: x::DOUBLE) AS v FROM word_vectors WHERE len(wvec) = 100 AND len(list_filter(wvec, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT voca_idx, v, sqrt(list_inner_product(v, v)) AS n FROM v),
+w AS (SELECT voca_idx, list_transform(v, lambda x: x / n)::DOUBLE[100] AS v FROM u WHERE n > 0),
+p AS (SELECT a.voca_idx, b.voca_idx AS similar_voca_idx, array_inner_product(a.v, b.v) AS c FROM w a JOIN w b ON a.voca_idx <> b.voca_idx WHERE a.voca_idx % 20 = 0)
+SELECT voca_idx, similar_voca_idx, round(c, 6) AS cosine FROM p QUALIFY row_number() OVER (PARTITION BY voca_idx ORDER BY round(c, 9) DESC, similar_voca_idx) <= 10"""
+
+
 @query
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     # far neighbours take longer lists than close pairs
