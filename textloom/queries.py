@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions import vectors as V
-from textloom.ml import models, parser, weighting
+from textloom.ml import metric_tree, models, parser, weighting
 from textloom.operators import depgraph, entities, importance, knowledge, nested, ranking, render, sampling, search, similarity, tokens, vocabulary
 from textloom.sources import readers
 from textloom.streaming import flows
@@ -812,7 +812,24 @@ def principal_plane(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def document_topics(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).filter("text IS NOT NULL").select("doc_id", X.words(F.lower("text")).alias("words"))
-    return models.hashed_topics(docs, "doc_id", "words", features=4096, clusters=8)
+    return models.hashed_topics(docs, "doc_id", "words")
+
+
+@query()
+def word_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of vectors by k-means."""
+    numbers = F.filter("wvec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    v = table(spark, d, "word_vectors").filter((F.size("wvec") == 100) & (F.size(numbers) == 100))
+    return models.word_classes(v, "voca_idx", "wvec", 20)
+
+
+@query("""WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS query, b.vec_id AS id, round(list_distance(a.v, b.v), 6) AS distance, list_distance(a.v, b.v) AS d FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query, id, distance FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(d, 9), id) <= 5""")
+def nearest_by_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest rows by vantage-point trees, of every vector whose vec_id is divisible by 20."""
+    e = table(spark, d, "embeddings")
+    return metric_tree.nearest_by_tree(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 5).select("query", "id", F.round("distance", 6).alias("distance"))
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -166,6 +166,25 @@ def parse_remote(df: DataFrame, text: str, parser, limit: int = 99_000) -> DataF
     return clean.mapInPandas(run, f"{schema}, value string").drop("clean")
 
 
+def http_parser(address: str, timeout: float = 60.0) -> Callable[[list[str]], list[str | None]]:
+    """A parser for ``parse_remote`` that posts each text to a server and gives the body of its answer, None if it fails."""
+
+    def parse(texts: list[str]) -> list[str | None]:
+        from urllib.error import URLError
+        from urllib.request import Request, urlopen
+
+        out: list[str | None] = []
+        for text in texts:
+            try:
+                with urlopen(Request(address, (text or "").encode(), {"Content-Type": "text/plain; charset=utf-8"}), timeout=timeout) as answer:
+                    out.append(answer.read().decode())
+            except (URLError, TimeoutError, UnicodeDecodeError):
+                out.append(None)
+        return out
+
+    return parse
+
+
 def latest_version(names: DataFrame, column: str) -> DataFrame:
     """The name of highest (major, minor), compared as numbers, per base name."""
     v = names.withColumn("v", X.version(F.col(column))).filter("v.base <> ''")

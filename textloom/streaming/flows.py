@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from textloom.functions import text as T
 
@@ -32,3 +35,24 @@ def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> Da
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+class Progress(StreamingQueryListener):
+    """Tells how many rows a stream has read, whenever another ``every`` rows are full: spark.streams.addListener(Progress(print))."""
+
+    def __init__(self, tell: Callable[[int], None], every: int = 1000):
+        self.tell, self.every, self.rows = tell, every, 0
+
+    def onQueryStarted(self, event: object) -> None:
+        pass
+
+    def onQueryProgress(self, event: object) -> None:
+        before, self.rows = self.rows, self.rows + event.progress.numInputRows
+        if self.rows // self.every > before // self.every:
+            self.tell(self.rows // self.every * self.every)
+
+    def onQueryIdle(self, event: object) -> None:
+        pass
+
+    def onQueryTerminated(self, event: object) -> None:
+        pass
