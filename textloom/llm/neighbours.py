@@ -25,7 +25,8 @@ repeated ids keep one vector; words and further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -712,22 +713,33 @@ def _pick(counts: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return flat[np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(rows) else flat[:0]
 
 
-def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 128, starts: int = 32, both: int | None = None) -> DataFrame:
+def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 64, starts: int = 16, expand: int = 12, both: int | None = None, part_rows: int = 4096) -> DataFrame:
     """(query, id, sim, rank): the k most similar nodes of every query (query, vec) by greedy search on the graph.
 
-    A query enters at the ``starts`` nearest nodes of the bounded sample.  A node that comes among its ``beam`` best is
-    expanded to the ends of its edges; the walk ends when no query's best nodes change any more.
+    A query enters at the ``starts`` nearest nodes of the bounded sample.  In each step its ``expand`` best nodes that are
+    not yet expanded give way to the ends of their edges; the walk ends when all ``beam`` best nodes of every query are
+    expanded, so none of them changes any more.  Queries walk in parts of
+    about ``part_rows``, one part after the other, so that what is on the way at a time stays bounded.
     """
     spark = queries.sparkSession
-    schema = "query long, id long, sim float"
     n_queries = queries.count()
     if graph.lists is None or not n_queries:
-        return spark.createDataFrame([], schema + ", rank int")
+        return spark.createDataFrame([], "query long, id long, sim float, rank int")
+    ways = workspace.materialise(_ways(graph, both or graph.k), "ways", **PLAIN)
+    workspace.release(spark)
+    parts = -(-n_queries // part_rows)
+    found = [_walk(graph, ways, queries.filter(F.pmod(F.xxhash64("query", F.lit(9)), F.lit(parts)) == i), k, beam, starts, expand) for i in range(parts)]
+    workspace.discard(ways)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _walk(graph: Graph, ways: DataFrame, queries: DataFrame, k: int, beam: int, starts: int, expand: int) -> DataFrame:
+    """The search of one part of the queries, in a table of its own."""
+    spark = queries.sparkSession
+    n_queries = queries.count()
     shape, (sample, sample_vec) = graph.shape, graph.sample
     nb, gid, dim, beam = shape.n_blocks, shape.gid, shape.dim, max(beam, 2 * k)
     qb = max(1, min(8, n_queries // 64), math.ceil(n_queries / 4096))
-    ways = workspace.materialise(_ways(graph, both or graph.k), "ways", **PLAIN)
-    workspace.release(spark)
 
     def scatter(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -749,7 +761,7 @@ def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 128
         take = min(starts, g.shape[1])
         near = np.argpartition(g, g.shape[1] - take, axis=1)[:, -take:]
         q = np.repeat(np.arange(len(ids)), take)
-        yield blocks.pack(inbox.block, STATE, len(q), ids, vec, np.full((len(ids), beam), -1, gid), np.full((len(ids), beam), -2, np.float32))
+        yield blocks.pack(inbox.block, STATE, len(q), ids, vec, np.full((len(ids), beam), -1, gid), np.full((len(ids), beam), -2, np.float32), np.zeros((len(ids), beam), np.int8))
         yield from asks(inbox.block, q, sample[near].ravel().astype(gid), vec, np.full(len(ids), -2, np.float32))
 
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -772,45 +784,52 @@ def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 128
                 for s in range(0, len(node), 50_000):
                     part = slice(s, s + 50_000)
                     sim[part] = np.einsum("ij,ij->i", vec[row[part]].astype(np.float32), q[at[part]]) * inverse[row[part]]
-                good = sim > worst[at]
+                good = sim >= worst[at]
                 yield blocks.pack(to, ANSWER, 0, who[at[good]], node[good], sim[good])
                 seen = np.unique(row[good])
                 yield blocks.pack(to, WAYS, 0, gids[seen], count[seen], _pick(count, flat, seen))
 
     def step(inbox: Inbox) -> Iterator[Row]:
-        ids, vec, best, sims = inbox.get(STATE, (np.int64, 0), (np.int8, dim), (gid, beam), (np.float32, beam))
+        ids, vec, best, sims, done = inbox.get(STATE, (np.int64, 0), (np.int8, dim), (gid, beam), (np.float32, beam), (np.int8, beam))
         q, node, sim = inbox.get(ANSWER, (np.int32, 0), (gid, 0), (np.float32, 0))
         known, count, flat = inbox.get(WAYS, (gid, 0), (np.int32, 0), (gid, 0))
         has = best >= 0
         r = np.r_[np.nonzero(has)[0], q].astype(np.int64)
         n = np.r_[best[has], node].astype(np.int64)
-        v, fresh = np.r_[sims[has], sim], np.r_[np.zeros(has.sum(), bool), np.ones(len(q), bool)]
+        v, fresh, gone = np.r_[sims[has], sim], np.r_[np.zeros(has.sum(), bool), np.ones(len(q), bool)], np.r_[done[has], np.zeros(len(q), np.int8)]
         order = np.argsort((r << 46 | n) << 1 | fresh)
-        r, n, v, fresh = r[order], n[order], v[order], fresh[order]
+        r, n, v, gone = r[order], n[order], v[order], gone[order]
         first = np.r_[True, (r[1:] != r[:-1]) | (n[1:] != n[:-1])][: len(r)]
-        r, n, v, fresh = r[first], n[first], v[first], fresh[first]
+        r, n, v, gone = r[first], n[first], v[first], gone[first]
         order = np.argsort(r << 32 | ((1.001 - v.astype(np.float64)) * 2**30).astype(np.int64), kind="stable")
-        r, n, v, fresh = r[order], n[order], v[order], fresh[order]
+        r, n, v, gone = r[order], n[order], v[order], gone[order]
         place = _places(r)
         keep = place < beam
-        r, n, v, fresh, place = r[keep], n[keep], v[keep], fresh[keep], place[keep]
-        best, sims = np.full((len(ids), beam), -1, gid), np.full((len(ids), beam), -2, np.float32)
-        best[r, place], sims[r, place] = n, v
-        # expand what came in
+        r, n, v, gone, place = r[keep], n[keep], v[keep], gone[keep], place[keep]
+        # the best open nodes: those whose edges came with the answers are expanded, the edges of others are asked for
+        still = np.flatnonzero(gone == 0)
+        turn = still[_places(r[still]) < expand]
         order = np.argsort(known)
-        at = order[np.searchsorted(known[order], n[fresh])] if len(known) else np.zeros(0, np.int64)
-        ends = _pick(count, flat, at).astype(np.int64)
-        asked = np.unique(np.repeat(r[fresh], count[at]) << 46 | ends)
-        inside = r << 46 | n
-        asked = asked[~np.isin(asked, inside)]
+        there = np.isin(n[turn], known)
+        now, later = turn[there], turn[~there]
+        at = order[np.searchsorted(known[order], n[now])] if len(now) else np.zeros(0, np.int64)
+        gone[now] = 1
+        best, sims, done = np.full((len(ids), beam), -1, gid), np.full((len(ids), beam), -2, np.float32), np.zeros((len(ids), beam), np.int8)
+        best[r, place], sims[r, place], done[r, place] = n, v, gone
+        asked = np.unique(np.repeat(r[now], count[at]) << 46 | _pick(count, flat, at).astype(np.int64))
+        asked = asked[~np.isin(asked, r << 46 | n)]
+        asked = np.r_[asked, r[later] << 46 | n[later]]
         who, node = asked >> 46, (asked & (1 << 46) - 1).astype(gid)
-        yield blocks.pack(inbox.block, STATE, len(asked), ids, vec, best, sims)
+        yield blocks.pack(inbox.block, STATE, len(asked) + int((gone == 0).sum()), ids, vec, best, sims, done)
         yield from asks(inbox.block, who, node, vec, sims[:, -1])
 
     at = workspace.materialise(blocks.at_blocks([queries.select("query", "vec").mapInArrow(scatter, blocks.MESSAGE)], qb, enter), "walk", **PLAIN)
-    while (at.filter(F.col("kind") == STATE).agg(F.sum("n")).first()[0] or 0) > 0:
+    def walked(at: DataFrame) -> DataFrame:
         answered = _kind(at, ASK).unionByName(ways).repartitionById(nb, "block").mapInArrow(answer, blocks.MESSAGE)
-        last, at = at, workspace.materialise(blocks.at_blocks([answered, _kind(at, STATE)], qb, step), "walk", **PLAIN)
+        return workspace.materialise(blocks.at_blocks([answered, _kind(at, STATE)], qb, step), "walk", **PLAIN)
+
+    while (at.filter(F.col("kind") == STATE).agg(F.sum("n")).first()[0] or 0) > 0:
+        last, at = at, walked(at)
         workspace.discard(last)
         workspace.release(spark)
 
@@ -822,4 +841,6 @@ def greedy_search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 128
 
     found = graph.named(blocks.each(_kind(at, STATE), leave), "query long, id long, sim float")
     keep = Window.partitionBy("query").orderBy(F.col("sim").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(keep)).filter(F.col("rank") <= k)
+    found = workspace.materialise(found.withColumn("rank", F.row_number().over(keep)).filter(F.col("rank") <= k), "found")
+    workspace.discard(at)
+    return found
