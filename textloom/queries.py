@@ -340,7 +340,7 @@ def _query_words(spark: SparkSession, d: str, t: DataFrame, imp: DataFrame) -> D
 
 def _search(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     imp = _importance(spark, d)
-    t = _tokens(spark, d)
+    t = materialise(_tokens(spark, d), "tokens")  # read for the vocabulary, the queries and the postings
     similar = search.exact_similar(t.select("word").distinct())
     return search.find_similar_sentences(_query_words(spark, d, t, imp), similar, t, k=k)
 
