@@ -222,7 +222,8 @@ def _unpacked(numbered: DataFrame, dim: int) -> DataFrame:
 
 def _cell_candidates(nodes: DataFrame, cells: Cells, shape: Shape, longest: int) -> DataFrame:
     """The nearest members of each of its cells for every node, as messages CANDIDATE to the blocks of the lists."""
-    dim, width, gid = shape.dim, shape.width, shape.gid
+    dim, gid = shape.dim, shape.gid
+    most = max(12, shape.width * 12 // (5 * cells.probes))  # a node's cells together give more than its list takes
 
     def assign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -266,7 +267,7 @@ def _cell_candidates(nodes: DataFrame, cells: Cells, shape: Shape, longest: int)
         held, size = [], 0
         for own, q in runs(rows):
             m = _unit(q)
-            take = min(-(-width * 3 // 5), len(m) - 1)
+            take = min(most, len(m) - 1)
             for at in range(0, len(m) if take > 0 else 0, 1024):
                 g = m[at : at + 1024] @ m.T
                 g[np.arange(len(g)), np.arange(at, at + len(g))] = -2

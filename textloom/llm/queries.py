@@ -305,6 +305,10 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
 # 1: most similar vectors for every vector
 
 
+#: far neighbours take longer lists and a wider start than the close pairs of p1_found
+FAR = {"width": 56, "sample": 22, "probes": 9, "waves": 4, "stop_share": 0.01}
+
+
 def _graph(spark: SparkSession, d: str, **how: float) -> neighbours.Graph:
     return neighbours.nn_descent(table(spark, d, "word_vectors"), "voca_idx", "wvec", dim=100, k=10, **how)
 
@@ -345,8 +349,7 @@ SELECT voca_idx, similar_voca_idx, round(c, 6) AS cosine FROM p QUALIFY row_numb
 
 @query
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    # far neighbours take longer lists than close pairs
-    g = _graph(spark, d, width=40, sample=20, stop_share=0.01)
+    g = _graph(spark, d, **FAR)
     e = neighbours.rows_of_copies(g, g.edges(), 10)
     return e.select(F.col("src").alias("voca_idx"), F.col("dst").alias("similar_voca_idx"), F.round(F.col("sim").cast("double"), 2).alias("cosine"))
 
@@ -354,7 +357,7 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_search(spark: SparkSession, d: str) -> DataFrame:
     """Every vector whose voca_idx is divisible by 20 as a query against all rows, by greedy search on the graph."""
-    g = _graph(spark, d)
+    g = _graph(spark, d, **FAR)
     asked = g.nodes.filter(F.col("id") % 20 == 0)
     if g.nodes is not g.packed:  # a representative is asked for all of its copies
         asked = g.nodes.join(g.packed.filter(F.col("id") % 20 == 0).select("copy").distinct(), "copy", "left_semi")
