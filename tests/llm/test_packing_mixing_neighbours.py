@@ -185,3 +185,29 @@ def test_schedules_of_a_table(spark):
     assert steep == {"a": 0.95, "b": -0.95}
     flat = {r.source: r.slope for r in mixing.mix_plan(s, t, schedules=told.limit(0)).collect()}
     assert flat == {"a": 0.0, "b": 0.0}
+
+
+def test_invariants_look_at_every_document(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from textloom.llm import queries
+
+    docs = [(i, "x" * (10 + i % 7), "much" if i < 60 else "more" if i < 80 else "few") for i in range(90)] + [(90, "x", "more"), (91, "", "few"), (92, "xx", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = [("m", "much", 0.2, 2), ("m", "more", 0.4, 4), ("m", "few", 0.4, 3), ("m", "gone", 0.1, 2)]
+    spark.createDataFrame(t, "mix_name string, source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+
+    def even(change):
+        monkeypatch.setattr(queries.mixing, "mix", lambda *a: change(whole(*a)))
+        return {(r.source, r.even) for r in queries.p9_invariants(spark, str(tmp_path)).collect()}
+
+    whole, right = mixing.mix, {("much", True), ("more", True), ("few", True), ("gone", True)}
+    assert even(lambda df: df) == right
+    # a short document of a source of nearly two passes is never drawn
+    assert even(lambda df: df.filter("doc_id != 90")) == right - {("more", True)} | {("more", False)}
+    # the second copy of a document has the number of the first
+    twice = F.when(F.expr("doc_id = 85 AND copy_no = 1"), 0).otherwise(F.col("copy_no"))
+    assert even(lambda df: df.withColumn("copy_no", twice)) == right - {("few", True)} | {("few", False)}
+    # a document is drawn under another source
+    other = F.when(F.expr("doc_id = 90"), "much").otherwise(F.col("source"))
+    assert even(lambda df: df.withColumn("source", other)) == right - {("much", True), ("more", True)} | {("much", False), ("more", False)}

@@ -213,17 +213,25 @@ FROM containers, documents WHERE length(text) > 0 GROUP BY container_kind"""
 @query
 def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Mixing by characters: what each source has and should give, whether it gives that to within its longest document,
-    in how many passes, and whether each document comes once more for every whole pass."""
+    in how many passes, and whether each document, drawn or not, comes once for every whole pass and at most once more,
+    each time with another of the numbers from 0. One row per mix and source, however many documents there are."""
     sizes, targets = _in_characters(spark, d), table(spark, d, "mix_targets")
     given = mixing.shares(sizes, targets)
     rows = materialise(mixing.mix(sizes, targets), "mixed")
     longest = sizes.groupBy("source").agg(F.max("n_tokens").alias("longest"))
-    copies = rows.groupBy("mix_name", "source", "doc_id").agg(F.count("*").alias("n"), F.max("copy_no").alias("last"))
-    whole = copies.groupBy("mix_name", "source").agg(F.min(F.col("n") == F.col("last") + 1).alias("in_turn"), (F.max("n") - F.min("n") <= 1).alias("even"))
-    plan = mixing.mix_plan(sizes.filter("source IS NOT NULL AND n_tokens > 0"), targets).select("mix_name", "source", "taken")
-    all_ = given.join(plan, ["mix_name", "source"]).join(longest, "source", "left").join(whole, ["mix_name", "source"], "left")
+    known = sizes.filter("source IS NOT NULL AND n_tokens > 0")
+    plan = mixing.mix_plan(known, targets)
+    passes = F.col("taken") / F.col("available")
+    due = known.join(F.broadcast(plan.filter("taken > 0")), "source").select("mix_name", "source", "doc_id", F.floor(passes).alias("least"), F.ceil(passes).alias("most"))
+    copies = due.unionByName(rows.select("mix_name", "source", "doc_id", "copy_no"), allowMissingColumns=True).groupBy("mix_name", "source", "doc_id").agg(
+        F.max("least").alias("least"), F.max("most").alias("most"), F.count("copy_no").alias("n"), F.count_distinct("copy_no").alias("numbers"), F.max("copy_no").alias("last")
+    )
+    in_turn = (F.col("n") == F.col("numbers")) & (F.col("n") == F.coalesce("last", F.lit(-1)) + 1)
+    even = F.coalesce(F.col("n").between(F.col("least"), F.col("most")), F.lit(False))  # what isn't due has no bounds
+    whole = copies.groupBy("mix_name", "source").agg(F.min(in_turn & even).alias("even"))
+    all_ = given.join(plan.select("mix_name", "source", "taken"), ["mix_name", "source"]).join(longest, "source", "left").join(whole, ["mix_name", "source"], "left")
     near = F.abs(F.col("tokens") - F.col("taken")) <= F.coalesce("longest", F.lit(0))
-    return all_.select("mix_name", "source", "available", F.round("taken", 3).alias("taken"), near.alias("reached"), F.coalesce(F.col("in_turn") & F.col("even"), F.lit(True)).alias("even"), (F.col("passes") <= F.col("max_repeats")).alias("within"))
+    return all_.select("mix_name", "source", "available", F.round("taken", 3).alias("taken"), near.alias("reached"), F.coalesce("even", F.lit(True)).alias("even"), (F.col("passes") <= F.col("max_repeats")).alias("within"))
 
 
 SQL["p9_invariants"] = """WITH have AS (SELECT source, sum(length(text))::BIGINT AS available FROM documents WHERE source IS NOT NULL AND length(text) > 0 GROUP BY source),
