@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from textloom.ml import weighting
 from textloom.operators import entities, search, tokens
 from textloom.queries import QUERIES
 
@@ -21,7 +22,7 @@ def test_entity_search_hands_on_no_hits(spark, tmp_path):
     d = written(spark, tmp_path, documents=(rows, DOCS), wikidata_items=(items, "rec_id long, item_id string, item_label string"))
     df = QUERIES["sentences_with_entities"](spark, d)
     assert "MapInArrow" in plan(df) and "Join" not in plan(df)
-    got = {(r.q, r["rank"]): (r.sent_uid, r.score) for r in df.collect()}
+    got = {(r.q, r["rank"]): (r.sent_uid, round(r.score, 2)) for r in df.collect()}
     one = 77 * tokens.SENTENCES_PER_CHUNK
     # "North Lake" shares its entity with its last word too
     assert [got[one, k] for k in range(1, 6)] == [(i * tokens.SENTENCES_PER_CHUNK + j, 1.0) for i, j in ((1, 0), (1, 1), (2, 0), (2, 1), (3, 0))]
@@ -46,3 +47,26 @@ def test_both_searches_agree(spark):
     want = sorted(map(tuple, search.find_similar_sentences(q, sim, posts, ents, posts_e).select("q", "sent_uid", "score", "rank").collect()))
     got = search.find_in_sentences(q, sim, s, names=names, query_names=wanted, pairs=pairs)
     assert want and sorted(map(tuple, got.collect())) == want
+
+
+def test_numbers_of_sentences_without_their_tokens(spark, tmp_path):
+    rows = [(i, "One two. Three\nfour! " * (i % 4), "news") for i in (5, 2, 9, 14, 3, 7)] + [(5, "One. Two. Three. Four. Five. Six. Seven.", "news"), (None, "Last. More.", "news"), (1, None, "news")]
+    d = written(spark, tmp_path, documents=(rows, DOCS))
+    df = QUERIES["dense_sentence_numbers"](spark, d)
+    assert "Generate" not in plan(df)
+    got = {r.sent_uid: r.sent_no for r in df.collect()}
+    uids = sorted({r[0] for r in tokens.sentence_table(spark.createDataFrame(rows, DOCS)).select("sent_uid").collect()}, key=lambda u: (u is None, u))
+    assert got == {u: (1 << 31) + i for i, u in enumerate(uids)} and None in got
+
+
+def test_similar_documents_by_blocks(spark):
+    words = [["all", "red"], ["all", "red", "cat", "cat"], ["all", "cat", f"own{1}"], ["all"], [], ["all", "blue", "dog"], ["all", "dog", "red"]]
+    docs = [(i, words[i % 7] + [f"w{i % 11}"] * (i % 3)) for i in range(1, 90)]
+    df = spark.createDataFrame(docs, "doc long, words array<string>")
+    w = weighting.tfidf(df, "doc", "words").select("doc", "word", F.col("tfidf").alias("w"))
+    stated = df.filter("doc % 5 = 0")
+    want = sorted(map(tuple, weighting.document_similarity(w, stated.select("doc"), "doc", 4).select("query", "doc", "sim", "rank").collect()))
+    for part, frequent in ((1_000_000, 0.05), (5, 0.5), (1_000_000, 2.0)):
+        got = weighting.similar_by_words(df, stated, "doc", "words", df.count(), 4, part_rows=part, frequent=frequent)
+        assert "Join" not in plan(got)
+        assert sorted(map(tuple, got.select("query", "doc", "sim", "rank").collect())) == want
