@@ -44,24 +44,26 @@ def is_noun(word: Column) -> Column:
     return word.rlike("^[A-Z]") | word.rlike("^[A-Za-z]{4,}$")
 
 
-def dense_sentence_uid(tokens: DataFrame, first: int = 0) -> DataFrame:
-    """sent_no: dense numbers of sentences in order of (chunk, sentence), continuing from ``first``.
+def dense_numbers(sentences: DataFrame, first: int = 0) -> DataFrame:
+    """(sent_uid, sent_no): dense numbers of sentences (chunk_idx, sent_uid) in order, continuing from ``first``.
 
-    Two levels, so no task sorts all rows: sentences per chunk, running totals over chunks, then ranks within a chunk.
+    Sentences are sorted in ranges and numbered as they are written; a range then starts at the size of those before it, so
+    no task sorts all rows and nothing is joined but the few sizes.
     """
-    per = tokens.select("chunk_idx", "sent_uid").distinct()
-    sizes = per.groupBy("chunk_idx").agg(F.count("*").alias("n"))
-    # chunks in ranges: totals of ranges are few; written, as a range's number holds for one run alone
-    ranged = workspace.materialise(sizes.repartitionByRange("chunk_idx").withColumn("part", F.spark_partition_id()), "ranged")
-    totals = ranged.groupBy("part").agg(F.sum("n").alias("part_n"))
+    order = [F.col("chunk_idx").asc_nulls_last(), F.col("sent_uid").asc_nulls_last()]
+    ranged = sentences.select("chunk_idx", "sent_uid").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    # part << 33 | place; written, as a range's number holds for one run alone
+    ranged = workspace.materialise(ranged.select("sent_uid", F.monotonically_increasing_id().alias("at")), "ranged")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    totals = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("part", F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("part_base"))
-    inside = Window.partitionBy("part").orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ranged.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(totals), "part")
-    bases = bases.select("chunk_idx", (F.col("part_base") + F.col("inner") + first).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("chunk_idx").orderBy("sent_uid")) - 1
-    numbers = per.withColumn("k", rank).join(bases, "chunk_idx").select("sent_uid", (F.col("base") + F.col("k")).alias("sent_no"))
-    return tokens.join(numbers, "sent_uid")
+    totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return ranged.withColumn("part", part).join(F.broadcast(totals), "part").select("sent_uid", (F.col("base") + place + first).alias("sent_no"))
+
+
+def dense_sentence_uid(tokens: DataFrame, first: int = 0) -> DataFrame:
+    """sent_no: dense numbers of sentences in order of (chunk, sentence), continuing from ``first``, beside every token."""
+    return tokens.join(dense_numbers(tokens, first), "sent_uid")
 
 
 def ngram_rows(df: DataFrame, ws: str, n: int) -> DataFrame:
