@@ -70,3 +70,24 @@ def test_similar_documents_by_blocks(spark):
         got = weighting.similar_by_words(df, stated, "doc", "words", df.count(), 4, part_rows=part, frequent=frequent)
         assert "Join" not in plan(got)
         assert sorted(map(tuple, got.select("query", "doc", "sim", "rank").collect())) == want
+
+
+def test_annotation_by_parts_of_the_dictionary(spark):
+    names = [(1, ["a"]), (2, ["a", "b"]), (3, ["a", "b", "c"]), (4, ["b", "c"]), (5, ["a", "b"]), (6, ["c", "c"])]
+    sents = [(10, list("abcab")), (11, list("aabbc")), (12, []), (13, list("cccc")), (14, list("abxab")), (15, list("bcabcc"))]
+    s, n = spark.createDataFrame(sents, "sent_uid long, ws array<string>"), spark.createDataFrame(names, "entity_uid long, ws array<string>")
+    trie = entities.build_trie(names)
+    want = sorted((k, b, m, tuple(c)) for k, ws in sents for b, m, c in entities.annotate_words(ws, trie))
+    for part in (1_000_000, 2, 1):
+        got = entities.annotate(s, n, part_names=part)
+        assert sorted((r.sent_uid, r.token_pos, r.token_len, tuple(r.candidates)) for r in got.collect()) == want
+
+
+def test_candidates_are_written_out_once_a_name(spark, tmp_path):
+    items = [(i, f"Q{i}", f"Old{i} Lake") for i in range(1, 9)]
+    docs = [(i, "see Lake here. the Old3 Lake.", "news") for i in range(4)] + [(5, "Old2 Lake x", "news")]
+    df = QUERIES["annotated_entities"](spark, written(spark, tmp_path, documents=(docs, DOCS), wikidata_items=(items, "rec_id long, item_id string, item_label string")))
+    above = plan(df).split("Join")[0]
+    assert "array_join" not in above and "transform" not in above
+    got = sorted((r.sent_uid, r.token_pos, r.token_len, r.candidates) for r in df.collect())
+    assert got == [(i * tokens.SENTENCES_PER_CHUNK, 1, 1, "1,2,3,4,5,6,7,8") for i in range(4)] + [(5 * tokens.SENTENCES_PER_CHUNK, 0, 2, "2")]
