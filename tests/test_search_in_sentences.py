@@ -1,11 +1,18 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from textloom.ml import weighting
 from textloom.operators import entities, search, tokens
-from textloom.queries import QUERIES
+from textloom.queries import QUERIES, SQL
 
 DOCS = "doc_id long, text string, source string"
 
+CAT, DOG = "red Cat runs. ", "blue dog sleeps. "
+ODD = [(i, CAT + DOG + CAT + DOG if i % 2 else DOG + CAT + "runs red cat red cat. " + DOG + CAT, "news") for i in range(101, 115)]
+ODD += [(i, f"word{i} here. other{i} there. runs. sleeps. cat.", "news") for i in range(20, 60)]
+ODD += [(9, "red cat runs. blue dog sleeps. RED runs.", "query.log"), (10, "Runs sleeps.", "query.log"), (11, None, "query.log"), (12, "", "news")]
+
+
 def written(spark, d, **tables):
     for t, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{d}/{t}.parquet")
@@ -72,6 +79,25 @@ def test_similar_documents_by_blocks(spark):
         assert sorted(map(tuple, got.select("query", "doc", "sim", "rank").collect())) == want
 
 
+def as_sql(spark, name, d):
+    df, c = QUERIES[name](spark, d), duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet/*.parquet')")
+    want = c.sql(SQL[name]).select(", ".join(df.columns)).fetchall()
+    assert want and sorted(map(tuple, df.collect())) == sorted(want)
+    return df
+
+
+def test_sentence_search_hands_on_no_hits(spark, tmp_path):
+    df = as_sql(spark, "similar_sentences", written(spark, tmp_path, documents=(ODD, DOCS)))
+    assert "MapInArrow" in plan(df) and "Join" not in plan(df)
+
+
+def test_rows_of_one_sentence_number_are_one_sentence(spark, tmp_path):
+    docs = [*ODD, (104, "blue dog runs. red cat.", "news"), (None, "red dog. blue cat runs.", "news"), (None, "red cat runs blue.", "news")]
+    got = QUERIES["similar_sentences"](spark, written(spark, tmp_path, documents=(docs, DOCS))).collect()
+    assert len({(r.q, r.sent_uid) for r in got}) == len(got)
+
+
 def test_annotation_by_parts_of_the_dictionary(spark):
     names = [(1, ["a"]), (2, ["a", "b"]), (3, ["a", "b", "c"]), (4, ["b", "c"]), (5, ["a", "b"]), (6, ["c", "c"])]
     sents = [(10, list("abcab")), (11, list("aabbc")), (12, []), (13, list("cccc")), (14, list("abxab")), (15, list("bcabcc"))]
