@@ -98,6 +98,10 @@ def test_rows_of_one_sentence_number_are_one_sentence(spark, tmp_path):
     assert len({(r.q, r.sent_uid) for r in got}) == len(got)
 
 
+def test_rows_of_results_from_the_same_search(spark, tmp_path):
+    assert "MapInArrow" in plan(as_sql(spark, "result_rows", written(spark, tmp_path, documents=(ODD, DOCS))))
+
+
 def test_annotation_by_parts_of_the_dictionary(spark):
     names = [(1, ["a"]), (2, ["a", "b"]), (3, ["a", "b", "c"]), (4, ["b", "c"]), (5, ["a", "b"]), (6, ["c", "c"])]
     sents = [(10, list("abcab")), (11, list("aabbc")), (12, []), (13, list("cccc")), (14, list("abxab")), (15, list("bcabcc"))]
