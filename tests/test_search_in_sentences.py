@@ -1,6 +1,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from textloom import workspace
 from textloom.ml import weighting
 from textloom.operators import entities, search, tokens
 from textloom.queries import QUERIES, SQL
@@ -102,6 +103,12 @@ def test_rows_of_results_from_the_same_search(spark, tmp_path):
     assert "MapInArrow" in plan(as_sql(spark, "result_rows", written(spark, tmp_path, documents=(ODD, DOCS))))
 
 
+def test_matches_write_no_tokens_of_all_sentences(spark, tmp_path):
+    before = len(workspace._made)
+    as_sql(spark, "result_matches", written(spark, tmp_path, documents=(ODD, DOCS)))
+    assert not [p for _, p in workspace._made[before:] if "textloom-tokens" in p]
+
+
 def test_annotation_by_parts_of_the_dictionary(spark):
     names = [(1, ["a"]), (2, ["a", "b"]), (3, ["a", "b", "c"]), (4, ["b", "c"]), (5, ["a", "b"]), (6, ["c", "c"])]
     sents = [(10, list("abcab")), (11, list("aabbc")), (12, []), (13, list("cccc")), (14, list("abxab")), (15, list("bcabcc"))]
